@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabulon.llm import textblocks as tb
-from tabulon.llm.common import columns_of, prepare
+from tabulon.llm.common import prepare
 
 #: Classes of characters: 0 what isn't a letter, 1 a letter that training text lacks, then one for each letter it has.
 GAP, RARE, ALPHABET = 0, 1, 96
@@ -151,14 +152,15 @@ def training_sample(docs: DataFrame, docs_per_language: int, chars: int, held_ou
     return {k: v for k, v in joined.items() if any(c.isalpha() for c in v)}
 
 
-def language_id(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+def language_id(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Predict the language of every whole text.
 
     Input: doc_id and text; other columns are ignored. samples: text per language, as training_sample() gives it.
     Returns for each input row, repeated ones too: doc_id, lang_pred (the language whose automaton needs the fewest
     phrases for the text; ties go to the first by name; 'und' for null texts and those without a letter, and without
     samples), score (0 to 1: one less the ratio of the fewest phrases to the second fewest; 1 with a single language, 0
-    for 'und'), phrase_rate (phrases a character of the language chosen; null for 'und'). Case is ignored, and every run
+    for 'und'), phrase_rate (phrases a character of the language chosen; null for 'und'),
+    and the input's columns named in keep, which must not have those names. Case is ignored, and every run
     of other characters than letters counts as one gap. Long texts are parsed in stretches of STRETCH characters, all of
     them, so work is one table look-up a character and language, and memory a block of texts.
     """
@@ -179,11 +181,11 @@ def language_id(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 text = part.tobytes().decode("utf-8")
                 found = parser.table[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
                 at = np.searchsorted(np.flatnonzero((part & 0xC0) != 0x80), offsets[low : high + 1] - offsets[low])
-                keep = np.ones(len(found), bool)
-                keep[1:] = (found[1:] != GAP) | (found[:-1] != GAP)
-                sums = np.concatenate([[0], np.cumsum(keep)])
+                parsed = np.ones(len(found), bool)
+                parsed[1:] = (found[1:] != GAP) | (found[:-1] != GAP)
+                sums = np.concatenate([[0], np.cumsum(parsed)])
                 letter = np.concatenate([[0], np.cumsum(found != GAP)])
-                codes, at2 = found[keep], sums[at]
+                codes, at2 = found[parsed], sums[at]
                 total = parser.phrases(codes, at2)
                 has = letter[at[1:]] > letter[at[:-1]]
                 best = np.argmin(total, 1)
@@ -193,7 +195,8 @@ def language_id(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 names[where] = np.array(parser.languages, object)[best[has]]
                 score[where] = (1 - fewest / np.maximum(second, 1))[has]
                 rate[where] = (fewest / np.maximum(np.diff(at2), 1))[has]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64(), mask=np.isnan(rate))], names=["doc_id", "lang_pred", "score", "phrase_rate"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64(), mask=np.isnan(rate)), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", "phrase_rate", *keep])
 
-    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, phrase_rate double")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("_text"), *[docs[c] for c in keep])
+    kind = StructType([*StructType.fromDDL("doc_id long, lang_pred string, score double, phrase_rate double").fields, *rows.schema.fields[2:]])
+    return rows.mapInArrow(run, kind)

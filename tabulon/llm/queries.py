@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import exact_dedup, language_id, packing, url_filters
+from tabulon.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, packing, sentencepieces, suffix_dedup, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,45 @@ select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from d window w as (partition by text_sha256)"""
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, as their number and CRC-32, and whether decoding them gives the text back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    rows = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", (F.col("decoded") == F.col("normalised")).alias("round_trip"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = language_id.split_of(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, labels, held)
+    return toxicity.toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_packing, op3_exact_dedup, op6_url_filters)
+    for f in (
+        op1_language_id, op2_packing, op3_exact_dedup, op4_sentencepiece, op5_line_dedup, op6_url_filters,
+        op7_suffix_dedup, op8_toxicity, op9_embedding_dedup, op10_jaccard_join,
+    )
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op6_url_filters": url_filters.oracle()}
