@@ -67,15 +67,32 @@ def prefix_length(n, percent: int):  # noqa: ANN001, ANN201
     return n - (n * percent + 99) // 100 + 1
 
 
+def summary(found: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of about half as many ranges, one byte each (255: or more)."""
+    bits = min(max(4, (len(found) // 2).bit_length()), 20)
+    counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def most_in_common(one: bytes, two: bytes) -> float:
+    """No fewer elements than two sets with these summaries have in common."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    if (x == 255).any() or (y == 255).any():
+        return float("inf")
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    size = min(len(x), len(y))
+    return float(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
+
+
 def described(texts: DataFrame, k: int, percent: int, often: np.ndarray) -> DataFrame:
-    """For each document: size of its set, a 128-bit identity of the set, its rarest tokens and what scanning their lists costs."""
+    """For each document: size of its set, a 128-bit identity and a summary of the set, its rarest tokens and what scanning their lists costs."""
     counts = texts.sparkSession.sparkContext.broadcast(often.astype(np.int32 if often.max(initial=0) < 2**31 else np.int64))
     level = float(often.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            size, one, two, rare, cost = [], [], [], [], []
+            size, one, two, rare, cost, bulk = [], [], [], [], [], []
             for _, found in shingle_sets(batch, 1, k):
                 n = len(found)
                 size.append(n)
@@ -86,9 +103,10 @@ def described(texts: DataFrame, k: int, percent: int, often: np.ndarray) -> Data
                 order = np.lexsort((found, seen))[: min(p, n)]
                 rare.append(found[order].view(np.int64))
                 cost.append(float(np.maximum(seen[order][: p - 1] - level, 1).sum()) if n else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(cost, pa.float64())], names=["doc_id", "n", "f1", "f2", "rare", "cost"])
+                bulk.append(summary(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(cost, pa.float64()), pa.array(bulk, pa.binary())], names=["doc_id", "n", "f1", "f2", "rare", "cost", "bulk"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, rare array<long>, cost double")
+    return texts.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, rare array<long>, cost double, bulk binary")
 
 
 def boundary(reps: DataFrame, percent: int) -> int:
@@ -140,8 +158,21 @@ def _rows(keys: list, *numbers: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (one, *rest)], names=["key", "rep", "n"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets have the similarity, by their whole sets."""
+def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that, by sizes and summaries, may have the similarity; none that has it is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [most_in_common(x, y) * (100 + percent) >= percent * (m + n) for m, x, n, y in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bulk").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
+    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets have the similarity: first by summaries, then by their whole sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,6 +181,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 found = [x.view(np.int64) for _, x in shingle_sets(part, 1, k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "tokens"])
 
+    pairs = stored(possible(pairs, reps, percent), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     whole = stored(texts.join(chosen, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, tokens array<long>"), "sets")
@@ -164,7 +196,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return out
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, limit: int | None = None) -> DataFrame:
     """Groups of documents that are linked, directly or not, by similar sets of word shingles.
 
     Input: doc_id (integer) and text; other columns are ignored. Words are runs of other bytes than ASCII white space,
@@ -176,10 +208,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Equal sets become one representative by an aggregation. Tokens are ordered by a frequency sketch over all documents;
     in that order similar sets share a token of their prefixes, and two of prefixes longer by one. Sets with prefixes up
-    to the boundary, chosen by cost, list their subsets of two; longer ones enter inverted lists of single tokens.
+    to the boundary list their subsets of two; longer ones enter inverted lists of single tokens. The boundary is limit, or
+    chosen by cost if None.
     Members of a list or subset are first compared with its smallest member, in one join. What this links falls into
-    one component, and only members of one list in different components are compared further. Comparisons are exact, on
-    whole sets; every list is worked on by equi-joins whose large keys Spark can split, and none is cut short.
+    one component, and only members of one list in different components are compared further. Pairs whose sizes and summaries
+    (an upper bound of what they have in common) rule the similarity out go; the rest are compared exactly, on whole sets; every list is worked on by equi-joins whose large keys Spark can split, and none is cut short.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -188,14 +221,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     same = ["n", "f1", "f2"]
     least = 100 // (100 - percent) - 1 if percent < 100 else 1 << 62
     # one representative of each set; the smallest sets can only equal each other
-    groups = about.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("rare", "doc_id").alias("rare"), F.min("cost").alias("cost"))
+    groups = about.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("rare", "doc_id").alias("rare"), F.min("cost").alias("cost"), F.min_by("bulk", "doc_id").alias("bulk"))
     reps = stored(groups.drop("f1", "f2").where(F.col("n") >= least), "reps")
-    lists = postings(reps, percent, boundary(reps, percent))
+    lists = postings(reps, percent, boundary(reps, percent) if limit is None else limit)
     heads = lists.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("head")).where("size > 1")
     shared = stored(lists.join(heads, "key"), "lists")
     pairs = stored(shared.where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     node = texts.where("doc_id is not null")
-    links = verified(pairs, node, k, percent)
+    links = verified(pairs, reps, node, k, percent)
     found = stored(components(links), "components")
     # members of one list in different components
     placed = shared.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "head", F.coalesce("component", "rep").alias("component"))
@@ -207,7 +240,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     more = left.join(right, "key").where(f"a < b and ca <> cb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = stored(more, "pairs")
     if more.limit(1).count():
-        links = links.unionByName(verified(more, node, k, percent))
+        links = links.unionByName(verified(more, reps, node, k, percent))
         found = stored(components(links), "components")
     member = about.where("n > 0").join(groups.select(*same, "rep"), same).join(found.withColumnRenamed("node", "rep"), "rep", "left")
     rows = member.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))

@@ -378,8 +378,8 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_join(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "limit"), [(3, 90, None), (5, 80, 20)])
+def test_jaccard_join(spark, k, percent, limit):
     rng = random.Random(12)
     rows = []
     for base in range(25):
@@ -393,7 +393,7 @@ def test_jaccard_join(spark, k, percent):
     sets = {i: shingles(t, k) for i, t in rows if i is not None}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     group = closure(sets, links)
-    got = jaccard_join.jaccard_groups(frame(spark, rows), k=k, percent=percent).collect()
+    got = jaccard_join.jaccard_groups(frame(spark, rows), k=k, percent=percent, limit=limit).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is not None:
