@@ -30,7 +30,8 @@ def signature(line: Column) -> Column:
 
 def _segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment k (from 0) of edits + 1; the last segments take what is left over."""
-    base, rest = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
+    rest = length % (edits + 1)
+    base = ((length - rest) / (edits + 1)).cast("int")
     shorter = edits + 1 - rest
     return base * k + F.greatest(F.lit(0), F.lit(k) - shorter), base + F.when(F.lit(k) >= shorter, 1).otherwise(0)
 
@@ -114,12 +115,12 @@ def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFr
     rows = lines_of(columns_of(docs, "doc_id", "text"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "line")
     distinct = rows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("copies"))
-    distinct = stored(distinct.select("h1", "h2", "copies", "first.none", "first.doc_id", "first.line_no", "first.line"), "lines")
+    distinct = distinct.select("h1", "h2", "copies", "first.none", "first.doc_id", "first.line_no", "first.line")
+    distinct = stored(distinct.withColumn("n", F.length("line")).withColumn("mark", F.when(F.col("n") >= min_chars, signature(F.col("line")))), "lines")
 
-    long = distinct.select(F.col("h1").alias("id"), "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
-    signed = signature(F.col("line")).alias("mark")
-    index = long.select(F.explode(F.array(*index_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("a"), signed.alias("ma"))
-    probe = long.select(F.explode(F.array(*probe_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("b"), signed.alias("mb")).where("key is not null")
+    long = distinct.select(F.col("h1").alias("id"), "line", "n", "mark").where(F.col("n") >= min_chars)
+    index = long.select(F.explode(F.array(*index_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("a"), F.col("mark").alias("ma"))
+    probe = long.select(F.explode(F.array(*probe_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("b"), F.col("mark").alias("mb")).where("key is not null")
     pairs = index.join(probe, "key").where(f"a <> b and bit_count(ma ^ mb) <= {2 * edits}")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
