@@ -18,9 +18,9 @@ from tabulon.llm.common import columns_of, prepare
 
 MARK = "▁"
 #: Units that a worker remembers, and pairs of pieces.
-CACHE, PAIRS = 300_000, 3_000_000
+CACHE, PAIRS = 200_000, 600_000
 #: Characters of new units that are indexed at once.
-INDEXED = 1 << 20
+INDEXED = 1 << 18
 _models: dict[str, Pieces] = {}
 
 
@@ -77,8 +77,15 @@ class Pieces:
         for name in self.score:
             for a, b in itertools.pairwise(name):
                 self.beside[self.class_of[a], self.class_of[b]] = True
-        # pieces that merging can reach, and single characters that aren't pieces
-        self.known = [(name, i) for name, (_, i) in self.score.items() if len(name) == 1 or self.merged(name) == [name]]
+        # pieces that merging can reach, each with the two parts of its last merge, and single characters that aren't pieces
+        self.parts: dict[str, tuple[str, str]] = {}
+        self.known = []
+        for name, (_, i) in self.score.items():
+            if len(name) == 1:
+                self.known.append((name, i))
+            elif len(self.merged(name, 2)) == 2 and self.merged(name) == [name]:
+                self.parts[name] = tuple(self.merged(name, 2))
+                self.known.append((name, i))
         self.known += [(c, -k) for k, c in enumerate(letters, 1) if c not in self.score]
         self.width = max([4, *(len(n) for n, _ in self.known)])
         self.width += -self.width % 4
@@ -96,10 +103,10 @@ class Pieces:
         """Rows of 16-bit numbers as fewer 64-bit numbers of the same order."""
         return np.ascontiguousarray(classes).astype(">u2").view(">u8").astype(np.uint64)
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by merging the best adjacent pair, the leftmost of equals, while there is one."""
+    def merged(self, text: str, most: int = 1) -> list[str]:
+        """The pieces of a short text by merging the best adjacent pair, the leftmost of equals, while there is one and more than most."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > most:
             best, at = None, -1
             for k in range(len(parts) - 1):
                 found = self.score.get(parts[k] + parts[k + 1])
@@ -110,6 +117,26 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def stand(self, a: str, b: str) -> bool:
+        """Whether merging the joint text of two pieces gives just them.
+
+        Their merges are undone from the last one back. If what then touches could have merged before the merge that was
+        undone (for equal scores: if it stands to the left of it), the pieces would not have come about.
+        """
+        score, parts = self.score, self.parts
+        floor, left_wins = float("-inf"), False
+        while True:
+            joint = score.get(a + b)
+            if joint is not None and (joint[0] > floor or left_wins and joint[0] == floor):
+                return False
+            x, y = parts.get(a), parts.get(b)
+            if x is None and y is None:
+                return True
+            if y is None or x is not None and score[a][0] < score[b][0]:
+                floor, left_wins, a = score[a][0], False, x[1]
+            else:
+                floor, left_wins, b = score[b][0], True, y[0]
+
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two pieces (-1: the beginning) can stand side by side: merging their joint text gives just them."""
         n = len(self.known)
@@ -125,7 +152,7 @@ class Pieces:
             found = self.fits.get(key)
             if found is None:
                 a, b = self.known[key // n][0], self.known[key % n][0]
-                found = self.fits[key] = self.merged(a + b) == [a, b]
+                found = self.fits[key] = self.stand(a, b)
             out[k] = found
         return out[which]
 
@@ -149,7 +176,7 @@ class Pieces:
         unit_start[inside] = np.repeat(starts, sizes)
         end = begin + self.lengths[piece]
         reach = end - unit_start[begin]
-        by = np.lexsort((-self.lengths[piece], end, reach))
+        by = np.argsort((reach << 40) + (end << 8) - self.lengths[piece])
         piece, begin, end, reach = piece[by], begin[by], end[by], reach[by]
         # relax: of the edges that end at a position, the longest that fits the best path to its beginning
         last = np.full(len(text) + 1, -1, np.int64)
@@ -272,13 +299,14 @@ def _model(path: str) -> Pieces:
     return _models.get(path) or _models.setdefault(path, Pieces(path))
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str, digest: bool = False) -> DataFrame:
     """Ids of every whole text by a SentencePiece BPE model, equal to the library's.
 
     Input: doc_id (integer) and text; other columns are ignored. model: the path of the model's file. Returns a row for
     each input row, repeated ones too: doc_id, ids (array<int>; empty for null and empty texts), ids_crc32 (of the ids as
     little-endian 32-bit numbers), normalised (what decode() gives back: the text, null as empty, without extra spaces if the model removes
-    them, and with U+2581 as a space).
+    them, and with U+2581 as a space). With digest: doc_id, n_ids, ids_crc32 and round_trip, whether decoding the ids, done
+    in the same task, gives that text.
 
     A block of texts is cut into units, between any two characters that no piece has side by side, so merges never cross
     a cut. Distinct units that the worker doesn't remember are joined to one text; its suffix array is searched for every
@@ -297,11 +325,19 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 ids, ends = pieces.block(part, at)
                 raw = ids.astype("<i4").tobytes()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in itertools.pairwise(ends.tolist())]
+                if digest:
+                    whole, spans = part.tobytes(), itertools.pairwise(at.tolist())
+                    same = [pieces.decode(ids[a:b].tolist()) == whole[c:d].decode("utf-8").replace(MARK, " ") for (a, b), (c, d) in zip(itertools.pairwise(ends.tolist()), spans, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
+                    continue
                 texts = pa.Array.from_buffers(pa.large_string(), high - low, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists, pa.array(crc, pa.int64()), texts.cast(pa.string())], names=["doc_id", "ids", "ids_crc32", "normalised"])
 
-    out = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, ids_crc32 long, normalised string")
+    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    if digest:
+        return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    out = rows.mapInArrow(run, "doc_id long, ids array<int>, ids_crc32 long, normalised string")
     return out.withColumn("normalised", F.translate("normalised", MARK, " "))
 
 

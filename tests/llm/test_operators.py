@@ -202,9 +202,20 @@ def test_sentencepieces_equal_the_library(spark):
     for k, text in enumerate(texts):
         assert got[k]["ids"] == model.encode(text or ""), text
         assert got[k]["decoded"] == got[k]["normalised"] == (text or "").replace("\u2581", " ")
+    digests = sentencepieces.encode(frame(spark, list(enumerate(texts))), path, digest=True).collect()
+    assert all(r["round_trip"] and r["n_ids"] == len(got[r["doc_id"]]["ids"]) and r["ids_crc32"] == got[r["doc_id"]]["ids_crc32"] for r in digests)
     assert sentencepieces.encode(frame(spark, []), path).count() == 0
 
 
+def test_pieces_stand_side_by_side():
+    model = sentencepieces.Pieces(queries.tokenizer_file("piece_bpe_32k.model"))
+    rng = random.Random(13)
+    names = [n for n, _ in model.known if set(n) <= set("abenrst▁")]
+    for _ in range(20_000):
+        a, b = rng.choice(names), rng.choice(names)
+        assert model.stand(a, b) == (model.merged(a + b) == [a, b]), (a, b)
+
+
 # --- 5 line dedup
 
 
