@@ -56,10 +56,10 @@ def head_bytes(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
 def encoding_of(raw: bytes) -> str:
     """UTF-8 (a byte order mark is left out by the reader), else Windows-1252, else Latin-1."""
     try:
-        raw[: len(raw) - len(raw) % 4 or None].decode("utf-8")
+        raw.decode("utf-8")
         return "UTF-8"
     except UnicodeDecodeError as e:
-        if e.start >= len(raw) - 4:
+        if len(raw) >= 65_536 and e.start >= len(raw) - 4:  # a character that the sample cuts
             return "UTF-8"
     try:
         raw.decode("cp1252")
