@@ -74,6 +74,19 @@ def summary(found: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+#: Bits of a set's parity sketch.
+ODD = 512
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each of ODD cells, whether an odd number of the set's hashes fall in it, as ODD / 64 numbers.
+
+    An element that only one of two sets has changes one bit, so the bits that differ are no more than such elements.
+    """
+    bits = np.bincount((found & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def most_in_common(one: bytes, two: bytes) -> float:
     """No fewer elements than two sets with these summaries have in common."""
     x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
@@ -92,7 +105,7 @@ def described(texts: DataFrame, k: int, percent: int, often: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            size, one, two, rare, cost, bulk = [], [], [], [], [], []
+            size, one, two, rare, cost, bulk, odd = [], [], [], [], [], [], []
             for _, found in shingle_sets(batch, 1, k):
                 n = len(found)
                 size.append(n)
@@ -104,9 +117,10 @@ def described(texts: DataFrame, k: int, percent: int, often: np.ndarray) -> Data
                 rare.append(found[order].view(np.int64))
                 cost.append(float(np.maximum(seen[order][: p - 1] - level, 1).sum()) if n else 0.0)
                 bulk.append(summary(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(cost, pa.float64()), pa.array(bulk, pa.binary())], names=["doc_id", "n", "f1", "f2", "rare", "cost", "bulk"])
+                odd.append(parities(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(cost, pa.float64()), pa.array(bulk, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n", "f1", "f2", "rare", "cost", "bulk", "odd"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, rare array<long>, cost double, bulk binary")
+    return texts.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, rare array<long>, cost double, bulk binary, odd array<long>")
 
 
 def boundary(reps: DataFrame, percent: int) -> int:
@@ -211,7 +225,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, limit: int |
     to the boundary list their subsets of two; longer ones enter inverted lists of single tokens. The boundary is limit, or
     chosen by cost if None.
     Members of a list or subset are first compared with its smallest member, in one join. What this links falls into
-    one component, and only members of one list in different components are compared further. Pairs whose sizes and summaries
+    one component, and only members of one list in different components are compared further, unless their sizes or
+    parity sketches (fewer differing bits than elements) rule it out inside the join. Pairs whose sizes and summaries
     (an upper bound of what they have in common) rule the similarity out go; the rest are compared exactly, on whole sets; every list is worked on by equi-joins whose large keys Spark can split, and none is cut short.
     """
     spark = docs.sparkSession
@@ -221,7 +236,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, limit: int |
     same = ["n", "f1", "f2"]
     least = 100 // (100 - percent) - 1 if percent < 100 else 1 << 62
     # one representative of each set; the smallest sets can only equal each other
-    groups = about.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("rare", "doc_id").alias("rare"), F.min("cost").alias("cost"), F.min_by("bulk", "doc_id").alias("bulk"))
+    groups = about.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("rare", "doc_id").alias("rare"), F.min("cost").alias("cost"), F.min_by("bulk", "doc_id").alias("bulk"), F.min_by("odd", "doc_id").alias("odd"))
     reps = stored(groups.drop("f1", "f2").where(F.col("n") >= least), "reps")
     lists = postings(reps, percent, boundary(reps, percent) if limit is None else limit)
     heads = lists.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("head")).where("size > 1")
@@ -234,10 +249,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, limit: int |
     placed = shared.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "head", F.coalesce("component", "rep").alias("component"))
     placed = stored(placed, "lists")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = placed.join(mixed, "key")
-    left = rest.where("rep > head").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = rest.where("rep > head").select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    more = left.join(right, "key").where(f"a < b and ca <> cb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = placed.where("rep > head").join(mixed, "key").join(reps.select("rep", "odd"), "rep")
+    left = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    right = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    differ = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(ODD // 64))
+    fits = f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na and ({differ}) * {100 + percent} <= (na + nb) * {100 - percent}"
+    more = left.join(right, "key").where(f"a < b and ca <> cb and {fits}").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = stored(more, "pairs")
     if more.limit(1).count():
         links = links.unionByName(verified(more, reps, node, k, percent))
