@@ -97,6 +97,16 @@ def within(one: str, two: str, edits: int) -> Column:
     return (off >= 0) & (off < band) & (F.call_function("shiftright", end, off.cast("int")).bitwiseAND(F.lit(1)) == 1)
 
 
+def plausible(one: str, two: str, edits: int) -> Column:
+    """Whether all but edits of 4 * (edits + 1) segments of one stand somewhere in two, as they do for strings within edits."""
+    length, many = F.length(one), 4 * (edits + 1)
+    missing = F.lit(0)
+    for k in range(many):
+        start, size = _segment(length, k, many - 1)
+        missing = missing + F.when(F.contains(F.col(two), F.col(one).substr(start + 1, size)), 0).otherwise(1)
+    return missing <= edits
+
+
 def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFrame:
     """Classes of lines that are equal, or linked, directly or not, by at most edits edits.
 
@@ -110,7 +120,8 @@ def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFr
     Equal lines become one by an aggregation. A line is cut into edits + 1 segments, of which one stands unchanged in any
     line within edits; an equi-join of segments with the substrings at the few places where they can stand, for each
     length, finds candidates. The join itself leaves out pairs whose signatures of letter counts differ by more than two
-    bits an edit, and splits large keys; the rest is verified on the whole lines.
+    bits an edit, and splits large keys; of the rest, pairs with too few finer segments in common go, and what is left is
+    verified on the whole lines.
     """
     rows = lines_of(columns_of(docs, "doc_id", "text"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "line")
@@ -127,7 +138,7 @@ def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFr
     chosen = long.select("id", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     chosen = stored(chosen, "chosen")
     both = pairs.join(chosen.select(F.col("id").alias("a"), F.col("line").alias("one")), "a").join(chosen.select(F.col("id").alias("b"), F.col("line").alias("two")), "b")
-    links = stored(both.where(within("one", "two", edits)).select("a", "b"), "links")
+    links = stored(both.where(F.when(plausible("one", "two", edits), within("one", "two", edits)).otherwise(False)).select("a", "b"), "links")
     for t in (chosen, ids, pairs):
         discard(t)
     found = stored(components(links), "components")
@@ -144,7 +155,7 @@ def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFr
 
 def without_repeated_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs with the lines that aren't kept left out of text; all columns stay, and rows without such lines as they are."""
-    gone = classes.where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"] == F.col("_id"), "left")
-    cut = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.select(*[F.when(F.col("_gone").isNull(), docs[c]).otherwise(cut).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    gone = classes.where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
+    cut = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    return joined.select(*[F.when(F.col("__gone").isNull(), docs[c]).otherwise(cut).alias(c) if c == "text" else docs[c] for c in docs.columns])
