@@ -20,9 +20,11 @@ def _retyped(docs: DataFrame, like: DataFrame) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; rejects texts that are null or have no letter. A null lang becomes the one predicted."""
     samples = language_id.training_sample(docs, 64, 32_768, F.lit(False))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    known = language_id.language_id(docs, samples, keep=others).where("lang_pred <> 'und'")
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    # the operator's own columns may have the names of extra ones
+    held = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    known = language_id.language_id(docs.withColumnsRenamed(held), samples, keep=("text", *held.values())).where("lang_pred <> 'und'")
+    back = [F.coalesce(F.col(held[c]), F.col("lang_pred")).alias(c) if c == "lang" else F.col(held[c]).alias(c) if c in held else F.col(c) for c in docs.columns]
+    return known.select(*back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id."""
     groups = jaccard_join.jaccard_groups(docs, k=5, percent=80)
-    gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
     small = gone.count() <= jaccard_join.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("__id"), "left_anti")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -301,12 +301,12 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     All columns of docs stay; rows without such spans stay as they are. spans: as repeated_passages() returns it.
     """
     prepare(docs.sparkSession)
-    gone = spans.where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("_cut"))
-    gone = stored(gone.withColumnRenamed("doc_id", "_id"), "cuts")
+    gone = spans.where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
+    gone = stored(gone.withColumnRenamed("doc_id", "__id"), "cuts")
     names = docs.columns
-    near = F.broadcast(gone.select("_id")) if gone.count() <= BROADCAST_IDS else gone.select("_id")
-    touched = docs.join(near, docs["doc_id"] == F.col("_id"), "left_semi").join(gone, docs["doc_id"] == F.col("_id")).select(*names, "_cut")
-    others = docs.join(near, docs["doc_id"] == F.col("_id"), "left_anti")
+    near = F.broadcast(gone.select("__id")) if gone.count() <= BROADCAST_IDS else gone.select("__id")
+    touched = docs.join(near, docs["doc_id"] == F.col("__id"), "left_semi").join(gone, docs["doc_id"] == F.col("__id")).select(*names, "__cut")
+    others = docs.join(near, docs["doc_id"] == F.col("__id"), "left_anti")
     where = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
