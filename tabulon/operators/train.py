@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import metrics as M
 from tabulon.functions.values import number
+from tabulon.operators import capped
+from tabulon.operators.capped import Capped
 from tabulon.operators.encode import Encoding, fit_auto
 from tabulon.operators.profile import NUMERIC, kind_of_type
 from tabulon.operators.splits import folds
@@ -113,6 +115,16 @@ SPECS: dict[str, Spec] = {
         Spec("linear_svm", (CLASSIFICATION,), lambda task, k: _one_vs_rest(lambda: C.LinearSVC(regParam=1e-3))(k), tier="extra"),
         Spec("lda", (CLASSIFICATION,), lambda task, k: Discriminant(shared=True), quick=True),
         Spec("qda", (CLASSIFICATION,), lambda task, k: Discriminant(shared=False), tier="extra"),
+        Spec("knn", BOTH, lambda task, k: Capped(capped.neighbours, k, 5_000), cap=200_000, note="nearest of 5,000 reference rows"),
+        Spec("svm", BOTH, lambda task, k: Capped(capped.fourier_machine, k, 20_000), cap=20_000, note="approximate: random Fourier features"),
+        Spec("bayesian_ridge", (REGRESSION,), lambda task, k: Capped(capped.bayesian_ridge, 0, 20_000), quick=True, note="fitted on up to 20,000 rows"),
+        Spec("adaboost", BOTH, lambda task, k: Capped(capped.boosted_stumps, k, 5_000), tier="extra", note="fitted on up to 5,000 rows"),
+        Spec("gaussian_process", BOTH, lambda task, k: Capped(capped.gaussian_process, k, 2_000), tier="extra", cap=2_000),
+        Spec("theil_sen", (REGRESSION,), lambda task, k: Capped(capped.theil_sen, 0, 10_000), tier="extra", cap=10_000),
+        Spec("ransac", (REGRESSION,), lambda task, k: Capped(capped.ransac, 0, 20_000), tier="extra", note="fitted on up to 20,000 rows"),
+        Spec("kernel_ridge", (REGRESSION,), lambda task, k: Capped(capped.kernel_ridge, 0, 4_000), tier="extra", cap=10_000, note="fitted on up to 4,000 rows"),
+        Spec("pls", (REGRESSION,), lambda task, k: Capped(capped.partial_least_squares, 0, 20_000), tier="extra", note="fitted on up to 20,000 rows"),
+        Spec("mlp_regressor", (REGRESSION,), lambda task, k: Capped(capped.network, 0, 5_000), note="fitted on up to 5,000 rows"),
         Spec("poisson", (REGRESSION,), lambda task, k: R.GeneralizedLinearRegression(family="poisson", link="log"), tier="extra", note="targets of 0 or more"),
         Spec("gamma", (REGRESSION,), lambda task, k: R.GeneralizedLinearRegression(family="gamma", link="log"), tier="extra", note="positive targets"),
         Spec("tweedie", (REGRESSION,), lambda task, k: R.GeneralizedLinearRegression(family="tweedie", variancePower=1.5), tier="extra", note="targets of 0 or more"),
@@ -324,6 +336,26 @@ def best_threshold(df: DataFrame, truth: str = "y", score: str = "s") -> float:
     return r.orderBy(F.desc(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("positives"))), F.desc("s")).first()["s"]
 
 
+def stacked(df: DataFrame, keys: list[str], task: str, classes: int, width: int, k: int = 3):  # noqa: ANN201
+    """Models and a linear model over their out-of-fold predictions; df has row_, label, features and fold."""
+    from functools import reduce
+
+    parts = []
+    for f in range(k):
+        rest, part = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
+        for n, key in enumerate(keys):
+            out = make(key, task, classes, width).fit(rest).transform(part)
+            p = vector_to_array("probability")[classes - 1] if classes and "probability" in out.columns else F.col("prediction")
+            parts.append(out.select("row_", "label", F.lit(n).alias("n"), p.alias("p")))
+    long = reduce(DataFrame.unionByName, parts)
+    wide = long.groupBy("row_", "label").pivot("n", list(range(len(keys)))).agg(F.first("p"))
+    from pyspark.ml.functions import array_to_vector
+
+    table = wide.select("label", array_to_vector(F.array(*[F.coalesce(F.col(str(n)), F.lit(0.0)) for n in range(len(keys))])).alias("features"))
+    top = (C.LogisticRegression(regParam=1e-3) if classes else R.LinearRegression(regParam=1e-3)).fit(table)
+    return [make(key, task, classes, width).fit(df) for key in keys], top
+
+
 def averaged(tables: list[DataFrame], row_id: str) -> DataFrame:
     """(row_id, prediction): the mean of several models' predictions."""
     from functools import reduce
