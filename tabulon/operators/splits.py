@@ -14,11 +14,18 @@ def place(row_id: str, seed: int) -> Column:
 def holdout(df: DataFrame, row_id: str, target: str | None = None, share: float = 0.2, seed: int = 42) -> DataFrame:
     """df with is_test: the first share of each class in random order; without a target, of all rows."""
     if target is None:
-        # a threshold on the hash order: the rank of the last test row is found without a global window
-        n = int(df.count() * share)
-        chosen = df.select(F.col(row_id).alias("_id"), place(row_id, seed).alias("_h")).orderBy("_h").limit(n).select("_id")
-        marked = chosen.withColumn("_t", F.lit(True))
-        return df.join(marked, df[row_id] == F.col("_id"), "left").withColumn("is_test", F.coalesce("_t", F.lit(False))).drop("_id", "_t")
+        # whole buckets of the hash order, and the first rows of the one in which the share ends
+        bucket = F.conv(F.substring(place(row_id, seed), 1, 4), 16, 10).cast("int")
+        counts = {r["b"]: r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()}
+        left, last = int(sum(counts.values()) * share), -1
+        for last in sorted(counts):
+            if counts[last] > left:
+                break
+            left -= counts[last]
+        else:
+            return df.withColumn("is_test", F.lit(bool(counts)))
+        some = df.where(bucket == last).select(F.col(row_id).alias("_id"), place(row_id, seed).alias("_h")).orderBy("_h", "_id").limit(left).select("_id").withColumn("_t", F.lit(True))
+        return df.join(F.broadcast(some), df[row_id] == F.col("_id"), "left").withColumn("is_test", (bucket < last) | F.coalesce("_t", F.lit(False))).drop("_id", "_t")
     w = Window.partitionBy(target).orderBy(place(row_id, seed))
     size = F.count("*").over(Window.partitionBy(target))
     return df.withColumn("is_test", F.row_number().over(w) <= F.floor(size * share))

@@ -191,6 +191,15 @@ def test_psi(spark):
     assert got["c"] == 0 and got["d"] > 0.25
 
 
+def test_holdout(spark):
+    df = spark.range(1000).withColumn("y", F.col("id") % 3)
+    for share, n in ((0.2, 200), (0.0, 0), (1.0, 1000)):
+        assert splits.holdout(df, "id", share=share).where("is_test").count() == n
+    want = {r["id"] for r in df.orderBy(splits.place("id", 42)).limit(200).collect()}
+    assert {r["id"] for r in splits.holdout(df, "id").where("is_test").collect()} == want
+    assert splits.holdout(df, "id", "y").where("is_test").count() == 199
+
+
 def test_encoding(spark):
     df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None)], "x double, c string")
     e = encode.fit_encoding(df, ["x"], ["c"])
