@@ -14,17 +14,73 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import columns_of, components, prepare, stored
 
 #: Bits of a pass's hash, and vectors of a component that are compared with each other in one task.
-BITS, BLOCK = 64, 2048
+BITS, BLOCK = 32, 2048
+#: Vectors that the splits of a width are learned from, the least of them a group is split by, and trials of a pair to meet.
+SAMPLE, LEAST, TRIED, TRIALS = 16_384, 16, 512, 32
 
 
-def passes_for(vectors: int, window: int, cosine: float, recall: float) -> int:
-    """Passes after which a pair at the threshold has met in a window with probability recall.
+def directions(seed: int, d: int, number: int) -> np.ndarray:
+    """The random directions of a pass."""
+    return np.random.default_rng([seed, d, number]).standard_normal((d, BITS))
 
-    In one pass two vectors meet if they agree in about the first log2(vectors / window) random signs.
+
+def split(shares: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, cuts) of rows projected on a pass's directions.
+
+    Each direction cuts a group, the rows alike in the bits before, at its own median, so that a crowd in one direction is
+    split as evenly as the rest. Groups that would have fewer than LEAST sample rows aren't divided further: the bits
+    after that are cut at their medians there. cuts: as learned from a sample, or None to learn them from these rows.
+    """
+    n, learn = len(shares), cuts is None
+    depth = int(math.log2(max(1, n // LEAST))) if learn else cuts.shape[1].bit_length() - 1
+    cuts = np.zeros((BITS, 1 << depth), np.float32) if learn else cuts
+    shares = shares.astype(np.float32)
+    group, code = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for level in range(BITS):
+        if learn:
+            order = np.lexsort((shares[:, level], group))
+            sizes = np.bincount(group, minlength=1 << depth)
+            some = np.flatnonzero(sizes)
+            cuts[level, some] = shares[order[(np.cumsum(sizes) - sizes + sizes // 2)[some]], level]
+        bit = shares[:, level] >= cuts[level, group]
+        code = 2 * code + bit
+        if level < depth:
+            group = 2 * group + bit
+    return code, cuts
+
+
+def passes_for(x: np.ndarray, vectors: int, window: int, cosine: float, recall: float, seed: int) -> int:
+    """Passes after which a pair at the threshold has met in a window with probability recall, wherever it lies.
+
+    x: unit vectors, a sample of vectors ones. Some get a partner at the threshold, half of them in a random direction and
+    half in that of a vector near by, and TRIALS passes are tried on the sample. A partner has met as well if it meets
+    another vector that links with both. The fifth of either half, by how crowded it is there, that meets least counts.
     """
-    agree = 1 - math.acos(cosine) / math.pi
-    met = agree ** max(0.0, math.log2(max(1.0, vectors / window)))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(met, 0.999))))
+    if vectors <= window + 1 or len(x) < 2:
+        return 1
+    rng = np.random.default_rng([seed, x.shape[1]])
+    tried = rng.permutation(len(x))[:TRIED]
+    about = x[tried] @ x.T
+    kth = max(0, len(x) - 1 - math.ceil(len(x) / 100))
+    near = np.argpartition(about, kth, axis=1)[:, kth]
+    crowd, inward = about[np.arange(len(tried)), near], np.arange(len(tried)) % 2 == 1
+    aside = np.where(inward[:, None], x[near], rng.standard_normal((len(tried), x.shape[1])))
+    aside -= (aside * x[tried]).sum(1, keepdims=True) * x[tried]
+    size = np.linalg.norm(aside, axis=1, keepdims=True)
+    partners = cosine * x[tried] + math.sqrt(max(0.0, 1 - cosine * cosine)) * np.divide(aside, size, out=np.zeros_like(aside), where=size > 0)
+    linked = (about >= cosine) & (partners @ x.T >= cosine)
+    linked[np.arange(len(tried)), tried] = True
+    who, whom = np.nonzero(linked)
+    met = np.zeros(len(tried))
+    for number in range(TRIALS):
+        planes = directions(seed, x.shape[1], number)
+        code, cuts = split(x @ planes)
+        own, ranked = split(partners @ planes, cuts)[0][who], np.sort(code)
+        low, high = np.minimum(own, code[whom]), np.maximum(own, code[whom])
+        apart = np.searchsorted(ranked, high, "right") - np.searchsorted(ranked, low, "left")
+        met[np.unique(who[apart <= window * len(x) / vectors])] += 1
+    chances = [max(met[part].mean(), 0.5 / len(part)) / TRIALS for part in np.array_split(np.lexsort((crowd, inward)), 10) if len(part)]
+    return max(1, math.ceil(math.log((1 - recall) / 2) / math.log(1 - min(min(chances), 0.999))))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -55,11 +111,30 @@ class _Forest:
 
 
 def _neighbours(names: np.ndarray, x: np.ndarray, window: int, cosine: float) -> list[tuple[int, int]]:
-    """Links of rows at most window apart that join something not joined yet."""
+    """Links, direct or over others, of rows at most window apart that join something not joined yet."""
     forest, out = _Forest(), []
-    for gap in range(1, min(window, len(names) - 1) + 1):
-        near = np.flatnonzero(np.einsum("ij,ij->i", x[gap:], x[:-gap]) >= cosine)
-        out += [(a, b) for a, b in zip(names[near].tolist(), names[near + gap].tolist(), strict=True) if forest.join(a, b)]
+    rough = x.astype(np.float32)
+    for low in range(0, len(names) - 1, window):
+        high, wide = min(low + window, len(names)), min(low + 2 * window, len(names))
+        one, two = np.nonzero(rough[low:high] @ rough[low:wide].T >= cosine - 1e-4)
+        later = two > one
+        one, two = one[later], two[later]
+        sure = np.concatenate([np.einsum("ij,ij->i", x[low + one[k : k + 65_536]], x[low + two[k : k + 65_536]]) >= cosine for k in range(0, len(one), 65_536)] or [np.empty(0, bool)])
+        near = np.zeros((high - low, wide - low), bool)
+        near[one[sure], two[sure]] = True
+        fresh = np.ones(wide - low, bool)
+        for start in np.flatnonzero(near.any(1)).tolist():
+            if not fresh[start]:
+                continue
+            now = np.array([start])
+            fresh[start] = False
+            while len(now):
+                found = near[now[now < high - low]].any(0)
+                found[: high - low] |= near[:, now].any(1)
+                now = np.flatnonzero(found & fresh)
+                fresh[now] = False
+                a = names[low + start].item()
+                out += [(a, b) for b in names[low + now].tolist() if forest.join(a, b)]
     return out
 
 
@@ -92,7 +167,7 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), *(pa.nulls(n, f.type) for f in list(_EDGE)[2:])], schema=_EDGE)
 
 
-def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 64, passes: int | None = None, recall: float = 0.995, seed: int = 7) -> DataFrame:
+def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 512, passes: int | None = None, recall: float = 0.995, seed: int = 7) -> DataFrame:
     """Groups of vectors linked, directly or not, by a cosine of at least the threshold.
 
     Input: vec_id (integer) and embedding (array of numbers); other columns are ignored. Returns a row for each input
@@ -102,9 +177,10 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 64,
     get a row each; a null vec_id links with nothing, has no component and isn't kept; an empty table gives an empty
     result.
 
-    Equal vectors become one with a weight. In each pass the vectors are sorted by BITS random projection signs, as one
-    number, over all partitions, and each is compared with its window successors, across partition bounds too. passes:
-    as passes_for() gives for recall if None. Every link is verified in double precision. Links of all passes are united
+    Equal vectors become one with a weight. In each pass the vectors are sorted by BITS random projections, each cut at
+    the medians that a sample has among the vectors alike so far, as one number, over all partitions, and each is
+    compared with its window successors, across partition bounds too. passes: as passes_for() finds on the sample for
+    recall if None. Every link is verified in double precision. Links of all passes are united
     to components; the vectors of a component are then compared with each other for n_links, BLOCK against BLOCK, each
     pair of blocks a group of its own that returns a count per vector and no pairs.
     """
@@ -116,23 +192,30 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 64,
     usable = rows.where("f1 is not null").groupBy("vec_id", "f1", "f2").agg(F.first("embedding").alias("v"))
     groups = usable.groupBy("f1", "f2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
     reps = stored(groups.withColumn("d", F.size("v")), "vectors")
-    if passes is None:
-        passes = passes_for(reps.count(), window, cosine, recall)
+    counts = reps.groupBy("d").agg(F.count("*").alias("n"))
+    lot = F.pmod(F.xxhash64("f1", "f2"), F.lit(1 << 30)) < F.lit(SAMPLE * (1 << 30)) / F.col("n")
+    sampled = reps.join(F.broadcast(counts), "d").where(lot).select("d", "n", "rep", "v").toArrow().sort_by("rep")
+    splits: dict[int, list[np.ndarray]] = {}
+    total = 0
+    for d, n in sorted(set(zip(sampled.column("d").to_pylist(), sampled.column("n").to_pylist(), strict=True))):
+        own = sampled.filter(pa.array(np.asarray(sampled.column("d")) == d))
+        x = unit(matrix(own.column("v").combine_chunks(), d))
+        many = passes or passes_for(x, n, window, cosine, recall, seed)
+        splits[d] = [split(x @ directions(seed, d, number))[1] for number in range(many)]
+        total += n * many
+    alone = [np.zeros((BITS, 1), np.float32)]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
             widths = np.asarray(batch.column(2))
             for d in np.unique(widths).tolist():
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * BITS))
                 own = batch.filter(pa.array(widths == d))
-                for low in range(0, len(own), 1024):
-                    part = own.slice(low, 1024)
-                    bits = np.packbits(matrix(part.column(1), d) @ planes[d] > 0, axis=1).reshape(len(part), passes, 8)
-                    code = bits.copy().view(">u8")[:, :, 0].astype(np.uint64).view(np.int64)
-                    for p in range(passes):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, np.int32)), part.column(2), pa.array(code[:, p]), part.column(0), part.column(1)], names=["pass", "d", "code", "rep", "v"])
+                for low in range(0, len(own), 2048):
+                    part = own.slice(low, 2048)
+                    x = unit(matrix(part.column(1), d))
+                    for number, cuts in enumerate(splits.get(d, alone)):
+                        code = split(x @ directions(seed, d, number), cuts)[0]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int32)), part.column(2), pa.array(code), part.column(0), part.column(1)], names=["pass", "d", "code", "rep", "v"])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me = TaskContext.get().partitionId()
@@ -163,7 +246,8 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 64,
             yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in pairs], pa.int64()), pa.array([q[1] for q in pairs], pa.int64())], names=["a", "b"])
 
     coded = reps.select("rep", "v", "d").mapInArrow(project, "pass int, d int, code long, rep long, v array<float>")
-    swept = stored(coded.repartitionByRange("pass", "d", "code", "rep").sortWithinPartitions("pass", "d", "code", "rep").mapInArrow(sweep, _EDGES), "sweeps")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * window)))
+    swept = stored(coded.repartitionByRange(parts, "pass", "d", "code", "rep").sortWithinPartitions("pass", "d", "code", "rep").mapInArrow(sweep, _EDGES), "sweeps")
     over = swept.where("seam is not null").select("seam", "pass", F.size("v").alias("d"), F.col("a").alias("rep"), "v", "place")
     over = over.repartition("seam", "pass", "d").sortWithinPartitions("seam", "pass", "d", "place").drop("place").mapInArrow(seams, "a long, b long")
     links = swept.where("seam is null").select("a", "b").unionByName(over)
