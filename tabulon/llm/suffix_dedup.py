@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,11 +118,39 @@ def _earliest(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return where[low + group * (len(key) + 1)]
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _splits(key: np.ndarray, after: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(j, rows, hashes) for each j: hashes of the key, the j words before and the rest of the context's length after.
+
+    Two suffixes match over a context's length beyond their first words if, and only if, they are equal in one of them.
+    Rows whose text ends within those words have none.
+    """
+    n, wide = len(key), after.shape[1] // GRAIN
+
+    def running(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes = grid.reshape(n, wide, GRAIN).astype(np.uint64) @ (np.uint64(256) ** np.arange(GRAIN, dtype=np.uint64))
+        sums = np.zeros((wide + 1, n), np.uint64)
+        for k in range(wide):
+            sums[k + 1] = _mixed(sums[k] + codes[:, k] + np.uint64(k + 1))
+        return sums, np.where((codes == 0).any(1), (codes == 0).argmax(1), wide)
+
+    (left, words_left), (right, words_right) = running(before), running(after)
+    for j in range(wide + 1):
+        rows = np.flatnonzero((words_left >= j) & (words_right >= wide - j))
+        base = _mixed(key[rows].astype(np.int64).view(np.uint64) + np.uint64(j))
+        yield j, rows, _mixed(_mixed(base + left[j, rows]) ^ right[wide - j, rows])
+
+
 def _matches(rows: pa.Table, size: int, least: int, reach: int) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Marks of sorted suffixes, and the row of the earliest suffix with each one's key.
+    """Marks of sorted suffixes, and their keys.
 
-    Each is compared with reach neighbours on either side, and with the earliest of its key before and behind it. Of a
-    pair that matches over least words, the later one (by doc_id, then position) stands again.
+    Each is compared with reach neighbours on either side, and with the earliest of its key before and behind it; where
+    more share a key that can't go on in other partitions, also with the earliest of those that are equal over least words, for each place of these words. Of
+    a pair that matches over least words, the later one (by doc_id, then position) stands again.
     """
     n = len(rows)
     rows = rows.combine_chunks()
@@ -134,9 +163,8 @@ def _matches(rows: pa.Table, size: int, least: int, reach: int) -> tuple[pa.Reco
     if n:
         front = _earliest(key, rank)
         back = n - 1 - _earliest(key[::-1], rank[::-1])[::-1]
-        champion = np.where(rank[front] < rank[back], front, back)
     else:
-        front = back = champion = np.empty(0, np.int64)
+        front = back = np.empty(0, np.int64)
     best = np.full((n, 4), -1, np.int32)
     first = np.full(n, np.iinfo(np.int64).max)
     every = np.arange(n)
@@ -157,6 +185,24 @@ def _matches(rows: pa.Table, size: int, least: int, reach: int) -> tuple[pa.Reco
                 np.maximum.at(best[:, c], at, left)
                 np.maximum.at(best[:, c + 1], at, right)
             np.minimum.at(first, later, doc[sooner])
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else every
+    sizes = np.diff(np.append(starts, n))
+    crowded = (sizes > reach + 1) & (starts > 0) & (starts + sizes < n)
+    many = np.flatnonzero(np.repeat(crowded, sizes))
+    # parts of many with whole keys
+    bounds = np.append(0, np.cumsum(sizes[crowded]))
+    bounds = bounds[np.append(True, np.diff(bounds >> 15) > 0)]
+    for j, at, hashes in itertools.chain.from_iterable(((j, part[own], h) for part in [many[low:high]] for j, own, h in _splits(key[part], after[part], before[part])) for low, high in itertools.pairwise([*bounds.tolist(), len(many)])):
+        order = np.lexsort((rank[at], hashes))
+        at, hashes = at[order], hashes[order]
+        start = np.append(True, hashes[1:] != hashes[:-1])[: len(at)]
+        sooner = at[np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))]
+        good = (at != sooner) & ((doc[at] != doc[sooner]) | (pos[at] - pos[sooner] >= least))
+        at, sooner = at[good], sooner[good]
+        for who, c in ((sooner, 0), (at, 2)):
+            best[who, c] = np.maximum(best[who, c], j)
+            best[who, c + 1] = np.maximum(best[who, c + 1], least - size - j)
+        first[at] = np.minimum(first[at], doc[sooner])
     parts = []
     for c, again in ((0, False), (2, True)):
         k = np.flatnonzero(best[:, c] >= 0)
@@ -164,7 +210,7 @@ def _matches(rows: pa.Table, size: int, least: int, reach: int) -> tuple[pa.Reco
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
     m = len(columns[0])
     out = [pa.array(c, f.type) for c, f in zip(columns, _MARK, strict=False)] + [pa.nulls(m, f.type) for f in list(_MARK)[6:]]
-    return pa.RecordBatch.from_arrays(out, schema=_MARK), champion
+    return pa.RecordBatch.from_arrays(out, schema=_MARK), key
 
 
 def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int) -> DataFrame:
@@ -206,20 +252,19 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        found, champion = _matches(rows, size, least, reach)
+        found, key = _matches(rows, size, least, reach)
         yield found
-        # keys at the ends may go on in other partitions: their outermost rows and their earliest
-        key = np.asarray(rows.column(0).combine_chunks())
-        ends = set()
-        for value, side in ((key[0], 1), (key[-1], -1)):
-            own = np.flatnonzero(key == value)
-            ends |= {int(champion[own[0]]), int(champion[own[-1]]), *own[:: side][:reach].tolist()}
-        yield edge(rows.take(pa.array(sorted(ends))))
-
-    def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if held:
-            yield _matches(pa.Table.from_batches(held), size, least, reach)[0]
+        # keys at the ends may go on in other partitions
+        yield edge(rows.filter(pa.array((key == key[0]) | (key == key[-1]))))
+
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), 1 << 13):
+                rows = whole.slice(low, 1 << 13)
+                grid = lambda c: np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(len(rows), -1)  # noqa: B023, E731
+                for j, own, hashes in _splits(np.asarray(rows.column(0)), grid(1), grid(2)):
+                    held = rows.take(pa.array(own))
+                    yield _batch(["h", "j", "doc_id", "pos"], [hashes.view(np.int64), np.full(len(own), j), held.column(3), held.column(4)], [pa.int64(), pa.int32(), pa.int64(), pa.int32()])
 
     per_doc = some.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     ids = stored(some.select("doc_id").distinct(), "ids")
@@ -227,8 +272,14 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
     suffixes = chosen.join(per_doc, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts, _SUFFIX)
     order = ["key", "after", "before", "doc_id", "pos"]
     swept = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, _MARKS), "marks")
-    over = swept.where("key is not null").select(*order).distinct().repartition("key").sortWithinPartitions(*order).mapInArrow(seams, _MARKS)
-    return swept.where("key is null").unionByName(over).select("doc_id", "pos", "left", "right", "first_doc", "again")
+    over = swept.where("key is not null").select(*order).distinct()
+    over = over.join(over.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select(*order).mapInArrow(divided, "h long, j int, doc_id long, pos int")
+    heads = stored(over.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("c"), F.count("*").alias("n")).where("n > 1").select("h", "c"), "heads")
+    met = over.join(F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads, "h").where(f"doc_id <> c.doc_id or pos - c.pos >= {least}")
+    both = F.array(*(F.struct(d.alias("doc_id"), p.alias("pos"), F.lit(again).alias("again")) for d, p, again in ((F.col("doc_id"), F.col("pos"), True), (F.col("c.doc_id"), F.col("c.pos"), False))))
+    met = met.select(F.explode(both).alias("at"), "j", F.col("c.doc_id").alias("first_doc")).groupBy("at.doc_id", "at.pos", "at.again")
+    met = met.agg(F.max("j").alias("left"), (wide - F.min("j")).cast("int").alias("right"), F.min("first_doc").alias("first_doc"))
+    return swept.where("key is null").select("doc_id", "pos", "left", "right", "first_doc", "again").unionByName(met)
 
 
 def _spans(rows: list[dict], size: int, keep: bool) -> list[tuple[int, int, int]]:
@@ -271,9 +322,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, size: int | None = None,
     Of each window of least - size + 1 runs of size words, the suffix at the smallest hash is retained, so each passage
     holds one. Retained suffixes are sorted by their first words over all partitions; those with a repeated key come
     with up to least - size words on either side, are sorted by all of these and compared with reach neighbours and with
-    the earliest one of their first words, and matches are extended to the left and to the right. The sort key ends with
-    doc_id and position, so a passage that a third of all documents share is spread over as many partitions as it needs;
-    what stands at a partition's ends is compared across them, a few rows for each.
+    the earliest one of their first words, and matches are extended to the left and to the right. Where more share their
+    first words, each also meets the earliest one that is equal in the j words before and the least - size - j after, for
+    each j, so every match over least words counts however many there are. The sort key ends with doc_id and position, so
+    a passage that a third of all documents share is spread over as many partitions as it needs; suffixes whose first
+    words stand at a partition's ends meet by a grouped minimum and a join on a hash of these words.
     """
     prepare(docs.sparkSession)
     size = size or max(1, least // 2)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabulon.llm import embedding_dedup
+from tabulon.llm import embedding_dedup, suffix_dedup
 
 
 def test_embedding_recall_in_a_hot_cluster(spark):
@@ -24,3 +26,28 @@ def test_embedding_recall_in_a_hot_cluster(spark):
     vectors = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.embedding_groups(vectors.repartition(4, F.col("vec_id"))).collect()}
     assert sum(got[i] == got[j] for i, j in links) >= 0.995 * len(links)
+
+
+def test_passages_that_end_in_a_hot_text(spark):
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    hot = fresh(30)
+    heads = [fresh(20) for _ in range(250)]
+    rows = [(k, f"{fresh(10)} {heads[k % 250]} {hot} {fresh(30)}") for k in range(750)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, F.col("doc_id"))
+    got = {r["doc_id"]: r for r in suffix_dedup.repeated_passages(docs).collect() if not r["kept"]}
+    assert set(got) == set(range(250, 750))
+    assert all((r["start_word"], r["n_words"], r["first_doc_id"]) == (10, 50, k % 250) for k, r in got.items())
+
+
+def test_passages_with_a_hot_text_inside_partitions(spark):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for _ in range(8):
+        hot, heads = fresh(30), [fresh(20) for _ in range(60)]
+        rows += [f"{fresh(10)} {heads[k % 60]} {hot} {fresh(30)}" for k in range(180)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.repeated_passages(docs).collect() if not r["kept"]}
+    assert set(got) == {k for k in range(len(rows)) if k % 180 >= 60}
+    assert all((r["start_word"], r["n_words"], r["first_doc_id"]) == (10, 50, k - k % 180 + k % 60) for k, r in got.items())
