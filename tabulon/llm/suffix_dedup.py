@@ -176,8 +176,8 @@ def _matches(rows: pa.Table, size: int, least: int, reach: int) -> tuple[pa.Reco
             i, j = one[low : low + (1 << 15)], two[low : low + (1 << 15)]
             right, left = _agree(after[i], after[j]), _agree(before[i], before[j])
             span = left + right + size
-            # a passage that overlaps itself is no other
-            good = (span >= least) & ((doc[i] != doc[j]) | (np.abs(pos[i] - pos[j]) >= span))
+            # a passage that overlaps itself is no other, but in copies in a row each run of least words stands apart
+            good = (span >= least) & ((doc[i] != doc[j]) | (np.abs(pos[i] - pos[j]) >= least))
             i, j, left, right = i[good], j[good], left[good], right[good]
             swap = rank[i] < rank[j]
             later, sooner = np.where(swap, j, i), np.where(swap, i, j)
@@ -315,7 +315,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, size: int | None = None,
     with A-Z lower-cased. Returns a row for each maximal span of repeated words: doc_id, start_word, n_words,
     first_doc_id (the smallest document with which it was matched; its own where it is kept), kept (false for words that
     match an earlier place, by doc_id, then position; true for words that only later places match, so one copy of each
-    word of a passage is kept). A passage that overlaps itself isn't another. Null and short texts hold no passages, rows of one doc_id are
+    word of a passage is kept). A passage that overlaps itself isn't another;
+    of copies in a row all but the first are cut. Null and short texts hold no passages, rows of one doc_id are
     one document (repeated rows don't repeat its passages), a null doc_id is ignored, and an empty table gives an empty
     result.
 

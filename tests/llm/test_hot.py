@@ -51,3 +51,14 @@ def test_passages_with_a_hot_text_inside_partitions(spark):
     got = {r["doc_id"]: r for r in suffix_dedup.repeated_passages(docs).collect() if not r["kept"]}
     assert set(got) == {k for k in range(len(rows)) if k % 180 >= 60}
     assert all((r["start_word"], r["n_words"], r["first_doc_id"]) == (10, 50, k - k % 180 + k % 60) for k, r in got.items())
+
+
+def test_paragraphs_in_a_row(spark):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(k, f"{fresh(20)} " + " ".join([fresh(55)] * times) + f" {fresh(20)}") for k, times in enumerate([3, 4, 6] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"].split() for r in suffix_dedup.without_passages(docs, suffix_dedup.repeated_passages(docs)).collect()}
+    for k, text in rows:
+        words = text.split()
+        assert left[k] == [*words[:75], *words[-20:]]
