@@ -578,7 +578,7 @@ def anomaly_forest(spark, sf_dir):  # noqa: ANN001, ANN201
 @query()
 def anomaly_lof(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    return anomaly.local_outlier_factor(rows, ["c_acctbal", "c_nationkey"], "c_custkey", reference=2000)
+    return anomaly.local_outlier_factor(rows, ["c_acctbal", "c_nationkey"], "c_custkey")
 
 
 # --- groups
