@@ -1,6 +1,9 @@
 """Registered queries that read or keep all that their operators do."""
 
-from tabulon.operators import anomaly
+import pytest
+from pyspark.sql import functions as F
+
+from tabulon.operators import anomaly, forecast
 from tabulon.plans import queries
 
 
@@ -9,3 +12,10 @@ def test_lof_has_the_operators_own_reference(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(anomaly, "local_outlier_factor", lambda rows, *a, **b: seen.append((a, b)) or rows)
     queries.QUERIES["anomaly_lof"](spark, sf_dir)
     assert seen == [((["c_acctbal", "c_nationkey"], "c_custkey"), {})]
+
+
+def test_next_values_come_from_all_orders(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(forecast, "forecast", lambda rows, *a: rows)
+    got = queries.QUERIES["forecast_next"](spark, sf_dir).where("not filled").agg(F.sum("y")).first()[0]
+    orders = queries.table(spark, sf_dir, "orders").where("day(o_orderdate) not in (5, 6, 17)")
+    assert float(got) == pytest.approx(float(orders.agg(F.sum("o_totalprice")).first()[0]))
