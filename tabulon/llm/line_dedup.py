@@ -28,42 +28,56 @@ def signature(line: Column) -> Column:
     return out
 
 
-def _segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, k: Column | int, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment k (from 0) of edits + 1; the last segments take what is left over."""
+    k = k if isinstance(k, Column) else F.lit(k)
     rest = length % (edits + 1)
     base = ((length - rest) / (edits + 1)).cast("int")
     shorter = edits + 1 - rest
-    return base * k + F.greatest(F.lit(0), F.lit(k) - shorter), base + F.when(F.lit(k) >= shorter, 1).otherwise(0)
+    return base * k + F.greatest(F.lit(0), k - shorter), base + F.when(k >= shorter, 1).otherwise(0)
 
 
-def _key(length: Column, k: int, piece: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(k), piece)
-
-
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """A key for each segment of a line."""
-    out = []
-    for k in range(edits + 1):
-        start, size = _segment(length, k, edits)
-        out.append(_key(length, k, line.substr(start + 1, size)))
-    return out
-
-
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that can stand where a line of the same length, or one shorter by up to edits, has a segment.
+def places(edits: int, own: bool) -> list[tuple[int, int, int]]:
+    """(less, k, shift): where segment k of a line that is shorter by less can stand in this one; own: its own segments only.
 
     If k segments before a segment took a edits and those behind it b, with a + b at most edits, the substring is shifted
     by no more than a, and by no more than b from the difference of the lengths; one segment of edits + 1 has none, and
     can be chosen so that a is at most k and b at most edits - k.
     """
-    out = []
-    for less in range(edits + 1):
-        shorter = length - less
-        for k in range(edits + 1):
-            start, size = _segment(shorter, k, edits)
-            for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
-                out.append(F.when((start + shift >= 0) & (start + shift + size <= length), _key(shorter, k, line.substr(start + 1 + shift, size))))
-    return out
+    if own:
+        return [(0, k, 0) for k in range(edits + 1)]
+    return [(less, k, shift) for less in range(edits + 1) for k in range(edits + 1) for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)]
+
+
+def entries(lines: DataFrame, edits: int, own: bool) -> DataFrame:
+    """(key, id, mark) of lines (id, line, n): a row for each segment, or for each substring that can match another line's.
+
+    The mark is what entries of one key are compared by before they become a pair. For one edit it holds hashes of the
+    two halves of what the segment leaves of the line: the half before the edit stands where it does in the other line,
+    the half behind it is shifted by less, so the marks agree in the upper or in the lower 32 bits. For more edits it is
+    the signature. Places come before keys, one row each, so that one small expression makes all of them.
+    """
+    spots = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("less", "k", "shift"), spot, strict=True)]) for spot in places(edits, own)])
+    signed = lines if edits == 1 else lines.withColumn("mark", signature(F.col("line")))
+    rows = signed.withColumn("at", F.explode(spots)).select(*signed.columns, "at.less", "at.k", "at.shift")
+    start, size = _segment(F.col("n") - F.col("less"), F.col("k"), edits)
+    rows = rows.withColumn("start", start + F.col("shift")).withColumn("size", size).where("start >= 0 and start + size <= n")
+    key = F.xxhash64(F.col("n") - F.col("less"), "k", F.substr("line", F.col("start") + 1, F.col("size")))
+    if edits > 1:
+        return rows.select(key.alias("key"), "id", "mark")
+    # the part in front of the second segment or behind the first
+    rows = rows.select("id", "less", key.alias("key"), F.expr("if(k = 0, substr(line, start + size + 1), substr(line, 1, start))").alias("part"), F.expr("if(k = 0, n - size - start, start) - less").alias("m"))
+    rows = rows.withColumn("half", F.shiftright("m", 1))
+    mark = F.expr("shiftleft(bigint(hash(substr(part, 1, half))), 32) | (bigint(hash(substr(part, half + 1 + less, m - half))) & 4294967295)")
+    return rows.select("key", "id", mark.alias("mark"))
+
+
+def fits(one: str, two: str, edits: int) -> Column:
+    """Whether the marks of two lines that share a segment leave room for a distance of at most edits."""
+    differ = F.col(one).bitwiseXOR(F.col(two))
+    if edits > 1:
+        return F.bit_count(differ) <= 2 * edits
+    return (F.shiftright(differ, 32) == 0) | (differ.bitwiseAND(F.lit(0xFFFFFFFF)) == 0)
 
 
 def within(one: str, two: str, edits: int) -> Column:
@@ -114,25 +128,27 @@ def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFr
     left out of account, and blank lines are no lines. Returns a row for each line: doc_id, line_no (from 0, blank ones
     counted), rep_doc_id and rep_line_no (the line of its class with the smallest doc_id, then line_no), copies (lines
     equal to it), kept (whether it is that line). Lines shorter than min_chars characters are in one class only if equal.
-    Null and empty texts have no lines; repeated rows repeat their lines, of which only one row of each (doc_id, line_no)
-    counts as the first; lines of a null doc_id are never the first unless all are; an empty table gives an empty result.
-
-    Equal lines become one by an aggregation. A line is cut into edits + 1 segments, of which one stands unchanged in any
-    line within edits; an equi-join of segments with the substrings at the few places where they can stand, for each
-    length, finds candidates. The join itself leaves out pairs whose signatures of letter counts differ by more than two
-    bits an edit, and splits large keys; of the rest, pairs with too few finer segments in common go, and what is left is
-    verified on the whole lines.
+    Null and empty texts have no lines. Repeated rows repeat their lines: rows of one (doc_id, line_no) that is the first
+    of its class are all kept, and each counts as a copy. Lines of a null doc_id are never the first unless all are; an
+    empty table gives an empty result.
+
+    Equal lines become one by an aggregation and get a number. A line is cut into edits + 1 segments, of which one stands
+    unchanged in any line within edits; an equi-join of segments with the substrings at the few places where they can
+    stand, for each length, finds candidates. The join itself leaves out pairs that their marks rule out: for one edit,
+    what the shared segment leaves of a line is cut into halves, of which one must be unchanged as well; for more, the
+    signatures of letter counts differ by no more than two bits an edit. A key that many lines share is split by adaptive
+    execution. Of the rest, pairs with too few finer segments in common go, and what is left is verified on whole lines.
     """
     rows = lines_of(columns_of(docs, "doc_id", "text"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "line")
     distinct = rows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("copies"))
-    distinct = distinct.select("h1", "h2", "copies", "first.none", "first.doc_id", "first.line_no", "first.line")
-    distinct = stored(distinct.withColumn("n", F.length("line")).withColumn("mark", F.when(F.col("n") >= min_chars, signature(F.col("line")))), "lines")
+    distinct = distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "copies", "first.none", "first.doc_id", "first.line_no", "first.line")
+    distinct = stored(distinct, "lines")
 
-    long = distinct.select(F.col("h1").alias("id"), "line", "n", "mark").where(F.col("n") >= min_chars)
-    index = long.select(F.explode(F.array(*index_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("a"), F.col("mark").alias("ma"))
-    probe = long.select(F.explode(F.array(*probe_keys(F.col("line"), F.col("n"), edits))).alias("key"), F.col("id").alias("b"), F.col("mark").alias("mb")).where("key is not null")
-    pairs = index.join(probe, "key").where(f"a <> b and bit_count(ma ^ mb) <= {2 * edits}")
+    long = distinct.select("id", "line", F.length("line").alias("n")).where(F.col("n") >= min_chars)
+    index = entries(long, edits, True).select("key", F.col("id").alias("a"), F.col("mark").alias("ma"))
+    probe = entries(long, edits, False).select("key", F.col("id").alias("b"), F.col("mark").alias("mb"))
+    pairs = index.join(probe, "key").where((F.col("a") != F.col("b")) & fits("ma", "mb", edits))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     chosen = long.select("id", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
@@ -142,15 +158,17 @@ def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFr
     for t in (chosen, ids, pairs):
         discard(t)
     found = stored(components(links), "components")
+    discard(links)
 
-    linked = distinct.select("h1", "none", "doc_id", "line_no").join(found, F.col("h1") == F.col("node"))
+    linked = distinct.select("id", "none", "doc_id", "line_no").join(found, F.col("id") == F.col("node"))
     heads = linked.groupBy("component").agg(F.min(F.struct("none", "doc_id", "line_no")).alias("head"))
-    heads = found.join(heads, "component").select(F.col("node").alias("h1"), "head")
-    classes = distinct.select("h1", "h2", "copies", "doc_id", "line_no").join(heads, "h1", "left")
-    classes = classes.select("h1", "h2", "copies", F.coalesce("head.doc_id", "doc_id").alias("rep_doc_id"), F.coalesce("head.line_no", "line_no").alias("rep_line_no"))
+    heads = found.join(heads, "component").select(F.col("node").alias("id"), "head")
+    classes = distinct.select("id", "h1", "h2", "copies", "doc_id", "line_no").join(heads, "id", "left")
+    classes = classes.select("h1", "h2", "copies", F.when(F.col("head").isNull(), F.struct("doc_id", "line_no")).otherwise(F.struct("head.doc_id", "head.line_no")).alias("rep"))
     out = rows.select("doc_id", "line_no", "h1", "h2").join(classes, ["h1", "h2"])
+    out = out.select("doc_id", "line_no", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.line_no").alias("rep_line_no"), "copies")
     kept = F.col("doc_id").eqNullSafe(F.col("rep_doc_id")) & (F.col("line_no") == F.col("rep_line_no"))
-    return out.select("doc_id", "line_no", "rep_doc_id", "rep_line_no", "copies", kept.alias("kept"))
+    return out.withColumn("kept", kept)
 
 
 def without_repeated_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
