@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import columns_of
@@ -16,20 +17,35 @@ SITE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com
 BLOCKED_WORDS = ("casino", "porn", "xxx", "viagra", "torrent", "warez", "phishing", "malware")
 
 
+#: Rules up to this number are literals of the plan; more are a table that URLs' tokens are joined with.
+LITERAL_RULES = 1_000
+#: Rules of a broadcast table at most; beyond, the join shuffles.
+BROADCAST_RULES = 1_000_000
+_RULE = "token string, rank int, rule string, verdict string, host string, path string, word string"
+
+
 def _quoted(text: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in text)
+    return "".join(c if c.isascii() and c.isalnum() else "\\" + c if c.isascii() else c for c in text)
+
+
+def _words(text: str) -> list[str]:
+    return [x for x in re.split("[^0-9a-z]+", "".join(c.lower() if c.isascii() else c for c in text)) if x]
 
 
-def site_rule(rule: str, verdict: str) -> tuple[str, str, str, int, list[str]]:
-    """(rule, verdict, regular expression over 'host path', rank, literal tokens): a host with its subdomains and a path prefix."""
+def site_rule(rule: str, verdict: str) -> tuple:
+    """(rule, verdict, rank, literal tokens, expressions over host, path and both): a host with its subdomains and a path prefix.
+
+    A URL can go on where the prefix ends, so what follows its last sign that is no letter or digit is no whole token.
+    """
     host, slash, path = rule.partition("/")
-    tokens = [x for x in f"{host}{slash}{path}".lower().replace("/", ".").split(".") if x and x.isalnum() and x.isascii()]
-    return rule, verdict, rf"^([^ ]*\.)?{_quoted(host.lower())} {_quoted(slash + path)}", 1000 + len(rule), tokens
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    whole = re.sub("[0-9A-Za-z]+$", "", path)
+    return rule, verdict, 1000 + len(rule), [*_words(host), *_words(whole)], rf"(?s)\A(.*\.)?{_quoted(host)}\z", rf"\A{_quoted(slash + path)}", None
 
 
-def word_rule(word: str) -> tuple[str | None, str, str, int, list[str]]:
+def word_rule(word: str) -> tuple:
     """A rule that blocks URLs with a word as a token; it has no name, and any host and path rule outranks it."""
-    return None, "block", rf"(?i)(^|[^0-9a-z]){_quoted(word)}([^0-9a-z]|$)", 0, [word]
+    return None, "block", 0, [word], None, None, rf"(?i)(^|[^0-9a-z]){_quoted(word)}([^0-9a-z]|$)"
 
 
 def default_rules() -> list[tuple]:
@@ -42,44 +58,67 @@ def url_parts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER).alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"))
 
 
+def _fits(rule: Column) -> Column:
+    """Whether a rule fits the row's host and path; parts of it that are null fit anything."""
+    both = F.concat_ws(" ", "host", "path")
+    parts = ((F.col("host"), rule["host"]), (F.col("path"), rule["path"]), (both, rule["word"]))
+    host, path, word = (F.coalesce(F.regexp_like(x, y), F.lit(True)) for x, y in parts)
+    return host & path & word
+
+
 def url_filter(pages: DataFrame, rules: Iterable[tuple] | None = None) -> DataFrame:
     """Judge URLs by pattern rules.
 
     Input: page_id and url; other columns are ignored. rules: tuples as site_rule() and word_rule() make them; every
     rule needs a literal token (ASCII letters and digits) that stands as a whole token in each URL it fits. Returns a
     row for each input row, repeated ones too: page_id, host, path, rule (the host and path rule that decided, longest
-    first, else null) and verdict: its verdict, else block where a word rule fits, else allow. A null url or one without
-    '://' has empty host and path, fits nothing and is allowed.
-
-    The index maps a token to rules: each rule stands under the one of its tokens that the fewest URLs have (ties: the first by name); these
-    frequencies are counted over all pages by an aggregation that keeps only tokens of rules. The index has the size of
-    the rule list, so it is a literal of the plan. Each URL's distinct tokens fetch candidate rules,
-    regular expressions run on those alone, and the best fit per URL is an aggregate over its few tokens, computed
-    inside the row, without a shuffle of the URLs.
+    first, else null) and verdict: its verdict, else block where a word rule fits, else allow. A host can hold any sign but
+    / ? and #, white space too, and a URL can be of any length. A null url or one without '://' has empty host and path,
+    fits nothing and is allowed; so is a url without rules; an empty table gives an empty result.
+
+    The index maps a token to rules: each rule stands under the one of its tokens that the fewest URLs have (ties: the
+    first by name); these frequencies are counted over all pages by an aggregation that keeps only tokens of rules. Each
+    URL's distinct tokens fetch candidate rules, and regular expressions run on those alone. Up to LITERAL_RULES rules the
+    index is a literal of the plan, and the best fit is found inside the row, so URLs don't move. More rules are a table,
+    broadcast up to BROADCAST_RULES: distinct hosts and paths are joined with it by token, and the best fit of each is
+    joined back.
     """
     spark = pages.sparkSession
     rules = list(default_rules() if rules is None else rules)
-    if any(not r[4] for r in rules):
+    if any(not r[3] for r in rules):
         raise ValueError("a rule needs a literal token")
     parts = url_parts(columns_of(pages, "page_id", "url"))
-    wide = F.translate(F.concat_ws(" ", "host", "path"), UPPER, LOWER)
-    parts = parts.withColumn("tokens", F.array_distinct(F.split(wide, "[^0-9a-z]+")))
-    words = sorted({t for r in rules for t in r[4]})
-    counts = parts.select(F.explode(F.array_intersect("tokens", F.array(*[F.lit(w) for w in words]))).alias("token")).groupBy("token").count()
-    often = {r["token"]: r["count"] for r in counts.collect()} if words else {}
-    by_token: dict[str, list[tuple]] = {}
-    for r in rules:
-        by_token.setdefault(min(r[4], key=lambda t: (often.get(t, 0), t)), []).append(r)
-    if not by_token:
-        return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    entry = lambda r: F.struct(F.lit(r[3]).alias("rank"), F.lit(r[0]).cast("string").alias("rule"), F.lit(r[1]).alias("verdict"), F.lit(r[2]).alias("regex"))
-    lit = F.create_map(*[x for t, rs in sorted(by_token.items()) for x in (F.lit(t), F.array(*map(entry, rs)))])
-    subject = F.concat_ws(" ", "host", "path")
-    fetched = F.flatten(F.transform(F.array_intersect("tokens", F.map_keys(lit)), lambda t: lit[t]))
-    fits = F.filter(fetched, lambda r: F.regexp_like(subject, r["regex"]))
-    # the highest rank, then the name, so that ties have one answer
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["rank"], r["rule"], r["verdict"])))
-    return parts.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    if not rules:
+        return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+    small = len(rules) <= LITERAL_RULES
+    own = F.array_distinct(F.split(F.translate(F.concat_ws(" ", "host", "path"), UPPER, LOWER), "[^0-9a-z]+"))
+    words = sorted({t for r in rules for t in r[3]})
+    if small:
+        seen = parts.select(F.explode(F.array_intersect(own, F.array(*[F.lit(w) for w in words]))).alias("token"))
+    else:
+        wanted = spark.createDataFrame([(w,) for w in words], "token string")
+        seen = parts.select(F.explode(own).alias("token")).join(F.broadcast(wanted) if len(words) <= BROADCAST_RULES else wanted, "token")
+    # a row for each token of the rules at most, as many as the rules, which are on the driver, have
+    often = {r["token"]: r["count"] for r in seen.groupBy("token").count().collect()}
+    index = [(min(r[3], key=lambda t: (often.get(t, 0), t)), r[2], r[0], r[1], *r[4:]) for r in rules]
+    names = [c.split()[0] for c in _RULE.split(", ")]
+    if not small:
+        known = spark.createDataFrame(index, _RULE).select("token", F.struct(*names[1:]).alias("r"))
+        urls = parts.select("host", "path").distinct().withColumn("token", F.explode(own))
+        fits = urls.join(F.broadcast(known) if len(rules) <= BROADCAST_RULES else known, "token").where(_fits(F.col("r")))
+        best = fits.groupBy("host", "path").agg(F.max(F.struct("r.rank", "r.rule", "r.verdict")).alias("best"))
+        parts = parts.join(best, ["host", "path"], "left")
+    else:
+        by_token: dict[str, list[tuple]] = {}
+        for token, *rest in index:
+            by_token.setdefault(token, []).append(rest)
+        entry = lambda r: F.struct(*[F.lit(x).cast("int" if c == "rank" else "string").alias(c) for c, x in zip(names[1:], r, strict=True)])
+        lit = F.create_map(*[x for t, rs in sorted(by_token.items()) for x in (F.lit(t), F.array(*map(entry, rs)))])
+        fetched = F.flatten(F.transform(F.array_intersect("tokens", F.map_keys(lit)), lambda t: lit[t]))
+        # the highest rank, then the name, so that ties have one answer
+        best = F.array_max(F.transform(F.filter(fetched, _fits), lambda r: F.struct(r["rank"], r["rule"], r["verdict"])))
+        parts = parts.withColumn("tokens", own).withColumn("best", best)
+    return parts.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
 def oracle() -> str:

@@ -280,21 +280,50 @@ def test_line_dedup(spark, edits):
 # --- 6 URL filters
 
 
+def plain_verdict(url, sites, blocked):
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(r), r, v) for r, v in sites if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+    word = any(w in re.split("[^0-9a-z]+", f"{host} {path}".lower()) for w in blocked)
+    _, rule, verdict = max(fits) if fits else (0, None, "block" if word else "allow")
+    return host, path, rule, verdict
+
+
+URLS = ["http://a.example.com/en/x", "https://www.example.com/en/", "http://EXAMPLE.com/en/1?x", "http://x.net/es/", "http://x.net/fr", "http://x.net/de/casino", "http://x.org", "http://x.com", "no url", None, "", "http://", "http://casino.com/", "http://notexample.com/en/", "http://x.net/es/?a://b", "ftp://User@X.COM:80/", "http://com/", "http://x.org/Warez?casino"]
+URLS += ["http://my site.com/", "https://foo bar.example.com/en/1", "http://a b.net/es/x", "http://a\tb.net/fr/", "http://a\nb.example.com/en/", "http://x.com\n/", "http://é.net/es/", "http://x.net/es/" + "a/" * 50_000, "http://" + "a." * 20_000 + "net/fr/", "http://x.net/es/", "http://x.net/ES/"]
+
+
 def test_url_filters(spark):
-    urls = ["http://a.example.com/en/x", "https://www.example.com/en/", "http://EXAMPLE.com/en/1?x", "http://x.net/es/", "http://x.net/fr", "http://x.net/de/casino", "http://x.org", "http://x.com", "no url", None, "", "http://", "http://casino.com/", "http://notexample.com/en/", "http://x.net/es/?a://b", "ftp://User@X.COM:80/", "http://com/", "http://x.org/Warez?casino"]
-    got = {r["page_id"]: r for r in url_filters.url_filter(spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id long, url string, host int")).collect()}
-    for k, url in enumerate(urls):
-        rest = url.partition("://")[2] if url and "://" in url else ""
-        host = re.match(r"[^/?#]*", rest)[0]
-        path = re.match(r"[^?#]*", rest[len(host) :])[0]
-        host = "".join(c.lower() if c.isascii() else c for c in host)
-        fits = [(len(r), r, v) for r, v in url_filters.SITE_RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
-        word = any(w in re.split("[^0-9a-z]+", f"{host} {path}".lower()) for w in url_filters.BLOCKED_WORDS)
-        _, rule, verdict = max(fits) if fits else (0, None, "block" if word else "allow")
-        assert (got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) == (host, path, rule, verdict), url
+    rows = [(k, u, 1) for k, u in enumerate(URLS)]
+    got = url_filters.url_filter(spark.createDataFrame([*rows, rows[3]], "page_id long, url string, host int")).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        want = plain_verdict(URLS[r["page_id"]], url_filters.SITE_RULES, url_filters.BLOCKED_WORDS)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == want, URLS[r["page_id"]][:99]
     assert url_filters.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_filters_with_many_rules(spark):
+    rng = random.Random(14)
+    sites = [(f"s{k}-x.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['', 'a/', 'a/b/', 'pre'])}", rng.choice(["allow", "block"])) for k in range(100_000)]
+    sites += [(f"sub.{r}", "allow" if v == "block" else "block") for r, v in sites[:500]]
+    rules = [*(url_filters.site_rule(*x) for x in sites), url_filters.word_rule("casino")]
+    urls = URLS + [f"http://{rng.choice(['', 'sub.', 'no'])}{rng.choice(sites)[0].partition('/')[0]}/{rng.choice(['', 'a/', 'a/b/c', 'prefix', 'casino'])}" for _ in range(600)]
+    urls += [f"http://sub.{r}" for r, _ in sites[:100]]
+    got = url_filters.url_filter(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string"), rules).collect()
+    assert len(got) == len(urls)
+    by_host = collections.defaultdict(list)
+    for r, v in sites:
+        by_host[r.partition("/")[0]].append((r, v))
+    for r in got:
+        url = urls[r["page_id"]]
+        host = plain_verdict(url, [], [])[0]
+        near = [x for k in range(len(host)) if not k or host[k - 1] == "." for x in by_host.get(host[k:], [])] if len(host) < 1000 else []
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain_verdict(url, near, ["casino"]), url
+
+
 # --- 7 suffix-array dedup
 
 
@@ -389,7 +418,7 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize(("k", "percent", "limit"), [(3, 90, None), (5, 80, 20)])
+@pytest.mark.parametrize(("k", "percent", "limit"), [(3, 90, None), (5, 80, 20), (1, 50, 2)])
 def test_jaccard_join(spark, k, percent, limit):
     rng = random.Random(12)
     rows = []
@@ -400,7 +429,7 @@ def test_jaccard_join(spark, k, percent, limit):
             for _ in range(rng.randrange(max(1, len(w) // 40) + 1)):
                 v[rng.randrange(len(v))] = f"w{rng.randrange(3000)}"
             rows.append((len(rows), rng.choice([" ", "\n"]).join(v)))
-    rows += [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (905, "one"), (906, "\u00c9 \u00e9 x y z"), (3, rows[3][1]), (None, rows[3][1])]
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (905, "one"), (907, "only"), (908, "only this"), (909, words(rng, 20_000, 10**6)), (906, "\u00c9 \u00e9 x y z"), (3, rows[3][1]), (None, rows[3][1])]
     sets = {i: shingles(t, k) for i, t in rows if i is not None}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     group = closure(sets, links)
