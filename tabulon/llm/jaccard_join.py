@@ -154,7 +154,8 @@ def postings(reps: DataFrame, percent: int, limit: int) -> DataFrame:
                     keys.append(tb.mix(a * np.uint64(0xD6E8FEB86659FD93) + b))
                     reps.append(np.full(len(i), rep))
                     sizes.append(np.full(len(i), n))
-                if p > limit or prefix_length(n * 100 // percent, percent) > limit:
+                # at 50% a set of one can link with a set of two by their one common token, which is no subset of two
+                if p > limit or prefix_length(n * 100 // percent, percent) > limit or percent <= 50 and n <= 2:
                     keys.append(tokens[:p])
                     reps.append(np.full(len(tokens[:p]), rep))
                     sizes.append(np.full(len(tokens[:p]), n))
@@ -229,6 +230,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, limit: int |
     parity sketches (fewer differing bits than elements) rule it out inside the join. Pairs whose sizes and summaries
     (an upper bound of what they have in common) rule the similarity out go; the rest are compared exactly, on whole sets; every list is worked on by equi-joins whose large keys Spark can split, and none is cut short.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent lies between 50 and 100")
     spark = docs.sparkSession
     prepare(spark)
     texts = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
