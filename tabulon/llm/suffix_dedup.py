@@ -16,27 +16,17 @@ from tabulon.llm import textblocks as tb
 from tabulon.llm.common import columns_of, prepare, stored
 
 #: Bytes of a word's hash in the contexts that are compared.
-GRAIN = 3
+GRAIN = 4
 #: Ids of a broadcast relation at most; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
 def selected(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest gram of each window of them; in runs of equal grams, one for each window."""
+    """Positions of the first smallest gram of each window of them: the same place in equal windows, wherever they stand."""
     if len(grams) < window:
         return np.empty(0, np.int64)
-    views = sliding_window_view(grams, window)
-    low = views.argmin(1) + np.arange(len(views))
-    out = low[np.append(True, low[1:] != low[:-1])]
-    if len(out) * 5 < len(grams):
-        return out
-    last = window - 1 - views[:, ::-1].argmin(1) + np.arange(len(views))
-    now, kept = -1, []
-    for k, (a, b) in enumerate(zip(low.tolist(), last.tolist(), strict=True)):
-        if now < k or grams[a] < grams[now]:
-            now = b
-            kept.append(now)
-    return np.array(kept, np.int64)
+    low = sliding_window_view(grams, window).argmin(1) + np.arange(len(grams) - window + 1)
+    return low[np.append(True, low[1:] != low[:-1])]
 
 
 def _texts(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,7 +92,7 @@ _MARKS = "doc_id long, pos int, left int, right int, first_doc long, again boole
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many leading words of two contexts are equal; the end of a text equals nothing."""
-    x, y = x.reshape(len(x), -1, GRAIN), y.reshape(len(y), -1, GRAIN)
+    x, y = (z.reshape(len(z), z.shape[1] // GRAIN, GRAIN) for z in (x, y))
     same = (x == y).all(2) & (x != 0).any(2)
     return np.where(same.all(1), same.shape[1], same.argmin(1))
 
@@ -242,10 +232,34 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
                     out[4] += at.tolist()
                 yield _batch(["key", "after", "before", "doc_id", "pos"], out, [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()])
 
-    def edge(rows: pa.Table) -> pa.RecordBatch:
+    def edge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """One suffix of those alike in all their contexts, for other partitions, and what the others get of it.
+
+        Rows: sorted suffixes. The first of those alike stands for all that don't overlap it. The others match whatever
+        it matches, over as much, so they are marked here as its copies, and learn later whether it stands again itself.
+        """
         n, t = len(rows), rows.combine_chunks()
-        col = lambda c: t.column(c).combine_chunks()
-        return pa.RecordBatch.from_arrays([col(3), col(4), *(pa.nulls(n, f.type) for f in list(_MARK)[2:6]), col(0), col(1), col(2)], schema=_MARK)
+        key, after, before, doc, pos = (t.column(c).combine_chunks() for c in range(5))
+        grids = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(n, -1) for x in (after, before)]
+        docs, places = np.asarray(doc), np.asarray(pos)
+        keys = np.asarray(key)
+        new = np.append(True, (keys[1:] != keys[:-1]) | (grids[0][1:] != grids[0][:-1]).any(1) | (grids[1][1:] != grids[1][:-1]).any(1))
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        copy = (head != np.arange(n)) & ((docs != docs[head]) | (places - places[head] >= least))
+        own = pa.array(~copy)
+        reps = [x.filter(own) for x in (doc, pos, key, after, before)]
+        yield pa.RecordBatch.from_arrays([*reps[:2], *(pa.nulls(len(reps[0]), f.type) for f in list(_MARK)[2:6]), *reps[2:]], schema=_MARK)
+        at = np.flatnonzero(copy)
+        right, left = (_agree(g[at], g[at]) for g in grids)
+        whole = left + right + size >= least
+        at, left, right = at[whole], left[whole], right[whole]
+        firsts = np.unique(head[at], return_index=True)
+        # the mark of a copy: in first_doc and key the document and position of the one that stands for it
+        for who, k, again in ((at, slice(None), True), (firsts[0], firsts[1], False)):
+            m = len(who)
+            columns = [docs[who], places[who], left[k], right[k], docs[head[at]] if again else docs[who], np.full(m, again)]
+            tail = pa.array(places[head[at]], pa.int64()) if again else pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _MARK, strict=False)), tail, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=_MARK)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -255,7 +269,7 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
         found, key = _matches(rows, size, least, reach)
         yield found
         # keys at the ends may go on in other partitions
-        yield edge(rows.filter(pa.array((key == key[0]) | (key == key[-1]))))
+        yield from edge(rows.filter(pa.array((key == key[0]) | (key == key[-1]))))
 
     def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -272,14 +286,18 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
     suffixes = chosen.join(per_doc, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts, _SUFFIX)
     order = ["key", "after", "before", "doc_id", "pos"]
     swept = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, _MARKS), "marks")
-    over = swept.where("key is not null").select(*order).distinct()
+    over = swept.where("after is not null").select(*order).distinct()
     over = over.join(over.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select(*order).mapInArrow(divided, "h long, j int, doc_id long, pos int")
     heads = stored(over.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("c"), F.count("*").alias("n")).where("n > 1").select("h", "c"), "heads")
     met = over.join(F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads, "h").where(f"doc_id <> c.doc_id or pos - c.pos >= {least}")
     both = F.array(*(F.struct(d.alias("doc_id"), p.alias("pos"), F.lit(again).alias("again")) for d, p, again in ((F.col("doc_id"), F.col("pos"), True), (F.col("c.doc_id"), F.col("c.pos"), False))))
     met = met.select(F.explode(both).alias("at"), "j", F.col("c.doc_id").alias("first_doc")).groupBy("at.doc_id", "at.pos", "at.again")
     met = met.agg(F.max("j").alias("left"), (wide - F.min("j")).cast("int").alias("right"), F.min("first_doc").alias("first_doc"))
-    return swept.where("key is null").select("doc_id", "pos", "left", "right", "first_doc", "again").unionByName(met)
+    met = stored(met.select("doc_id", "pos", "left", "right", "first_doc", "again"), "met")
+    copies = swept.where("key is not null and after is null")
+    sooner = met.where("again").select(F.col("doc_id").alias("first_doc"), F.col("pos").cast("long").alias("key"), F.col("first_doc").alias("sooner"))
+    copies = copies.join(sooner, ["first_doc", "key"], "left").select("doc_id", "pos", "left", "right", F.least("first_doc", "sooner").alias("first_doc"), "again")
+    return swept.where("key is null").select(*met.columns).unionByName(met).unionByName(copies)
 
 
 def _spans(rows: list[dict], size: int, keep: bool) -> list[tuple[int, int, int]]:
@@ -326,8 +344,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, size: int | None = None,
     the earliest one of their first words, and matches are extended to the left and to the right. Where more share their
     first words, each also meets the earliest one that is equal in the j words before and the least - size - j after, for
     each j, so every match over least words counts however many there are. The sort key ends with doc_id and position, so
-    a passage that a third of all documents share is spread over as many partitions as it needs; suffixes whose first
-    words stand at a partition's ends meet by a grouped minimum and a join on a hash of these words.
+    a passage that a third of all documents share is spread over as many partitions as it needs; of suffixes whose first
+    words stand at a partition's ends, one of those alike in all words around them meets those of other partitions, by a
+    grouped minimum and a join on a hash of these words.
     """
     prepare(docs.sparkSession)
     size = size or max(1, least // 2)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabulon.llm import embedding_dedup, suffix_dedup
@@ -62,3 +64,39 @@ def test_paragraphs_in_a_row(spark):
     for k, text in rows:
         words = text.split()
         assert left[k] == [*words[:75], *words[-20:]]
+
+
+@pytest.mark.parametrize(("least", "parts"), [(50, 7), (12, 3), (12, 16)])
+def test_passages_against_all_windows(spark, least, parts):
+    """Words are cut if, and only if, they lie in a window of least words that stands at an earlier place as well."""
+    rng = random.Random(least + parts)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    hot, cores = fresh(least * 4 // 5), [fresh(least) for _ in range(6)]
+    rows = []
+    for k in range(12):  # pairs that share a whole passage, most of which stands in many other documents
+        head = fresh(least - len(hot))
+        rows += [(3 * k + j, [*fresh(5 + k), *head, *hot, *fresh(9)]) for j in range(2)]
+    rows += [(100 + k, [*fresh(k % 7), *hot, *fresh(12)]) for k in range(60)]
+    for k in range(60):
+        parts_of = [rng.choice([fresh(rng.randrange(20)), rng.choice(cores), rng.choice(cores)[: least - 2], hot]) for _ in range(rng.randrange(6))]
+        rows.append((200 + k, [w for p in parts_of for w in p]))
+    rows += [(300 + k, ["again"] * (least * (k + 1) + 3)) for k in range(3)] + [(310, fresh(least // 2 + 3) * 5), (311, []), (312, cores[0]), (312, cores[0])]
+    rows += [(320 + k, [*cores[1], *cores[1], *fresh(k)]) for k in range(4)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in [*rows, (None, hot * 2)]], "doc_id long, text string").repartition(parts)
+    text = dict(rows)
+    places = collections.defaultdict(list)
+    for i in sorted(text):
+        for at in range(len(text[i]) - least + 1):
+            places[tuple(text[i][at : at + least])].append((i, at))
+    again = {(i, at + k) for found in places.values() for i, at in found if any((j, b) < (i, at) and (j != i or at - b >= least) for j, b in found) for k in range(least)}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        spans = suffix_dedup.repeated_passages(docs, least=least).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = {(r["doc_id"], r["start_word"] + k) for r in spans if not r["kept"] for k in range(r["n_words"])}
+    assert got == again
+    kept = {(r["doc_id"], r["start_word"] + k) for r in spans if r["kept"] for k in range(r["n_words"])}
+    assert not kept & again
+    often = {(i, at + k) for found in places.values() if len(found) > 1 for i, at in found for k in range(least)}
+    assert kept <= often - again
