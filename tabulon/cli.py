@@ -35,25 +35,31 @@ def parser() -> argparse.ArgumentParser:
         return s
 
     data, target, row = (("data",), {}), (("target",), {}), (("--id",), {"default": None})
-    add("profile", data, (("--target",), {}), help="columns, statistics and issues")
-    add("clean", data, (("output",), {}), (("--target",), {}), (("--outliers",), {"default": "none"}), (("--fill",), {"action": "store_true"}), (("--encode",), {"action": "store_true"}))
-    add("train", data, target, row, (("--models",), {"nargs": "*"}), (("--metric",), {}), (("--thorough",), {"action": "store_true"}))
+    columns = ((("--drop",), {"nargs": "*", "default": []}), (("--keep",), {"nargs": "*", "default": []}), (("--sample",), {"type": float}))
+    flag = {"action": "store_true"}
+    add("profile", data, *columns, (("--target",), {}), help="columns, statistics and issues")
+    add("clean", data, *columns, (("output",), {}), (("--target",), {}), (("--outliers",), {"default": "none"}), (("--fill",), {"action": "store_true"}), (("--encode",), {"action": "store_true"}))
+    add("train", data, target, row, *columns, (("--also",), {"nargs": "*", "default": [], "help": "further targets"}), (("--models",), {"nargs": "*"}), (("--metric",), {}), (("--folds",), {"type": int, "default": 3}), *[((f"--{f}",), flag) for f in ("thorough", "class-weights", "smote", "log-target", "threshold", "combine")])
+    add("tune", data, target, (("model",), {}), row, *columns, (("--metric",), {}), (("--trials",), {"type": int, "default": 10}), (("--folds",), {"type": int, "default": 3}))
     add("predict", (("model",), {}), data, (("output",), {}))
     add("evaluate", (("model",), {}), data, target)
     add("explain", (("model",), {}), data, row)
     add("drift", (("reference",), {}), (("new",), {}))
-    add("importance", data, target)
+    add("importance", data, target, *columns)
     add("select", data, target, (("--top",), {"type": int, "default": 5}))
     add("cluster", data, (("output",), {}), row, (("--groups",), {"default": "auto"}))
     add("anomaly", data, (("output",), {}), row, (("--contamination",), {"default": "0.05"}))
-    add("forecast", data, (("date",), {}), (("value",), {}), (("output",), {}), (("--group",), {"nargs": "*", "default": []}), (("--unit",), {}), (("--horizon",), {"type": int, "default": 14}))
+    add("forecast", data, (("date",), {}), (("value",), {}), (("output",), {}), (("--group",), {"nargs": "*", "default": []}), (("--unit",), {}), (("--horizon",), {"type": int, "default": 14}), (("--inputs",), {"nargs": "*", "default": []}), (("--plans",), {"help": "a table of planned inputs"}), (("--holidays",), {"nargs": "*", "default": []}), (("--combine",), {"default": "sum"}), (("--save",), {"help": "keep the forecaster as JSON"}), (("--use",), {"help": "go on with a kept forecaster"}), (("--only",), {"nargs": "*", "help": "groups to forecast"}))
     add("report", (("run",), {"nargs": "?", "default": "latest"}))
     add("runs", (("--prune",), {"type": int}))
     add("compare", (("names",), {"nargs": "*"}))
     add("models")
     add("init", (("path",), {"nargs": "?", "default": "tabulon.json"}))
     add("run", (("config",), {}))
-    add("serve", (("model",), {}), (("--port",), {"type": int, "default": 8000}), (("--key",), {}))
+    add("serve", (("model",), {"nargs": "?"}), (("--port",), {"type": int, "default": 8000}), (("--host",), {"default": "127.0.0.1"}), (("--key",), {}), (("--forecaster",), {}), (("--history",), {}))
+    add("deploy", (("model",), {}), (("folder",), {}), (("--port",), {"type": int, "default": 8000}))
+    add("sample", (("name",), {"nargs": "?"}), (("output",), {"nargs": "?"}), (("--rows",), {"type": int}))
+    add("look", data)
     return p
 
 
@@ -78,27 +84,47 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "report":
         folder = runs.resolve(a.out, a.run)
         about = json.loads((folder / "run.json").read_text())
-        (folder / "report.html").write_text(report.page(folder.name, [report.html_table([{"key": k, "value": str(v)} for k, v in about.items()], "Run"), report.html_table(about.get("leaderboard", []), "Models")]))
+        (folder / "report.html").write_text(report.report({"name": folder.name, **about}))
         print(folder / "report.html")
         return 0
     if a.command == "init":
         write_json({"data": "data.csv", "target": "y", "quick": True, "out": "runs"}, a.path)
         return 0
+    if a.command == "deploy":
+        from tabulon.plans.serve import deploy
+
+        print(deploy(a.folder, runs.model_path(a.out, a.model), a.port))
+        return 0
     spark = api.session()
+    if a.command == "sample":
+        from tabulon.sources import samples
+
+        if a.name and a.output:
+            api.save(samples.sample_table(spark, a.name, a.rows), a.output)
+        else:
+            _show([{"table": k, "for": v} for k, v in samples.names().items()])
+        return 0
     if a.command == "run":
         c = runs.load_config(a.config)
         return main(["--out", c.get("out", a.out), "train", c["data"], c["target"], *(["--models", *c["models"]] if c.get("models") else [])])
     if a.command == "serve":
         from tabulon.plans.serve import serve
 
-        serve(spark, api.load_model(a.model), a.port, a.key)
+        kept = api.load_forecaster(a.forecaster) if a.forecaster else None
+        serve(spark, api.load_model(str(runs.model_path(a.out, a.model))) if a.model else None, a.port, a.key, kept, api.load(spark, a.history) if a.history else None, a.host)
         return 0
     if a.command == "drift":
         table, verdict = api.compare_drift(api.load(spark, a.reference), api.load(spark, a.new))
         _show(_rows(table))
         print(verdict)
         return 0
-    df = api.load(spark, a.data)
+    df = api.load(spark, a.data, sample=getattr(a, "sample", None))
+    if getattr(a, "drop", None) or getattr(a, "keep", None):
+        own = [c for c in (getattr(a, "target", None), getattr(a, "id", None), *getattr(a, "also", ())) if c]
+        df = api.chosen(df, a.drop, [*a.keep, *[c for c in own if c not in a.keep]] if a.keep else [])
+    if a.command == "look":
+        _show([report.summarised(df)])
+        return 0
     if getattr(a, "id", "") is None:
         from pyspark.sql import functions as F
 
@@ -111,21 +137,40 @@ def main(argv: list[str] | None = None) -> int:
         api.save(api.clean(df, a.target, a.outliers, a.fill, a.encode).data, a.output)
     elif a.command == "train":
         folder = runs.create(a.out, f"train {a.target}")
-        fitted = api.train(df, a.target, a.id, a.models, quick=not a.thorough, metric=a.metric)
-        from tabulon.operators.train import save
-
+        options = {"models": a.models, "quick": not a.thorough, "metric": a.metric, "k": a.folds, "class_weights": a.class_weights, "smote": a.smote, "log_target": a.log_target, "threshold": a.threshold, "combine": a.combine}
+        from tabulon.operators.train import CLASSIFICATION, save
+
+        if a.also:
+            many = api.train_many(df, [a.target, *a.also], a.id, **options)
+            save(many, str(folder / "model"))
+            runs.save(folder, {"command": "train", "target": [a.target, *a.also], "task": many.task, "model": {t: m.key for t, m in many.models.items()}, "rows": df.count(), "metrics": many.evaluate(df), "fingerprint": api.fingerprint(df)})
+            print(folder)
+            return 0
+        fitted = api.train(df, a.target, a.id, **options)
         save(fitted, str(folder / "model"))
-        about = {"command": "train", "target": a.target, "task": fitted.task, "model": fitted.key, "rows": df.count(), "inputs": sorted({c for _, c in fitted.encoding.columns()}), "leaderboard": fitted.leaderboard, "skipped": fitted.skipped, "fingerprint": api.fingerprint(df)}
+        inputs = sorted({c for _, c in fitted.encoding.columns()})
+        about = {"command": "train", "target": a.target, "task": fitted.task, "model": fitted.key, "metric": fitted.metric, "classes": fitted.classes, "threshold": fitted.threshold, "rows": df.count(), "inputs": inputs, "leaderboard": fitted.leaderboard, "skipped": fitted.skipped, "metrics": api.evaluate(fitted, df, a.target), "fingerprint": api.fingerprint(df), "kinds": _rows(api.kinds(df), 1000), "issues": _rows(api.profile(df, a.target)[1], 1000)}
+        about["importance"] = [{"column": c, "score": v} for c, v in api.sensitivity(fitted, df.limit(2_000), a.id).items()]
+        if fitted.task == CLASSIFICATION:
+            from tabulon.functions.metrics import confusion
+
+            about["confusion"] = _rows(confusion(fitted.predict(df.dropna(subset=[a.target])), a.target, "predicted"), 10_000)
         runs.save(folder, about)
         Path(folder, "card.md").write_text(report.card(about))
         _show(fitted.leaderboard)
         print(folder)
     elif a.command == "predict":
-        api.save(api.predict(api.load_model(a.model), df), a.output)
+        model = api.load_model(str(runs.model_path(a.out, a.model)))
+        warned = model.warning(df) if hasattr(model, "warning") else None
+        if warned:
+            print(warned, file=sys.stderr)
+        api.save(api.predict(model, df), a.output)
     elif a.command == "evaluate":
-        _show([api.evaluate(api.load_model(a.model), df, a.target)])
+        _show([api.evaluate(api.load_model(str(runs.model_path(a.out, a.model))), df, a.target)])
     elif a.command == "explain":
-        _show(_rows(api.explain(api.load_model(a.model), df, a.id)))
+        print("\n".join(api.explain_text(api.load_model(str(runs.model_path(a.out, a.model))), df, a.id)))
+    elif a.command == "tune":
+        _show(api.tune(df, a.target, a.id, a.model, a.metric, a.trials, a.folds))
     elif a.command == "importance":
         _show(_rows(api.importance(df, a.target).orderBy("consensus_rank")))
     elif a.command == "select":
@@ -139,7 +184,17 @@ def main(argv: list[str] | None = None) -> int:
 
         api.save(api.anomalies(df, a.id, parse_share(a.contamination) or 0.05), a.output)
     elif a.command == "forecast":
-        api.save(api.forecast(df, a.date, a.value, a.group, a.unit, a.horizon), a.output)
+        plans = api.load(spark, a.plans) if a.plans else None
+        if a.use:
+            kept = api.load_forecaster(a.use)
+            api.save(kept.forecast(df, plans, a.only, a.horizon), a.output)
+        elif a.save:
+            kept = api.fit_forecast(df, a.date, a.value, group=a.group, unit=a.unit, horizon=a.horizon, combine=a.combine, inputs=a.inputs, holiday_dates=a.holidays)
+            api.save_forecaster(kept, a.save)
+            _show(kept.leaderboard)
+            api.save(kept.forecast(df, plans, a.only), a.output)
+        else:
+            api.save(api.forecast(df, a.date, a.value, a.group, a.unit, a.horizon, a.combine, a.inputs, plans, a.holidays), a.output)
     return 0
 
 

@@ -46,7 +46,7 @@ def _score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, truth: str = "y", score: str = "s", buckets: int = 64) -> DataFrame:
-    """(s, tp, fp, positives, negatives) with tp and fp counted over all scores of at least s.
+    """(bucket, s, pos, n, tp, fp, positives, negatives) with tp and fp counted over all scores of at least s.
 
     Running sums are taken within ranges of the scores and shifted by the totals of higher ranges, so that no window
     holds all distinct scores.
@@ -62,7 +62,7 @@ def ranked(df: DataFrame, truth: str = "y", score: str = "s", buckets: int = 64)
     per = per.select("bucket", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.sum("bp").over(whole).alias("positives"), F.sum("bn").over(whole).alias("all"))
     w = Window.partitionBy("bucket").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     out = counts.join(F.broadcast(per), "bucket").withColumns({"tp": F.sum("pos").over(w) + F.col("p0"), "m": F.sum("n").over(w) + F.col("n0")})
-    return out.select("s", "pos", "n", "tp", (F.col("m") - F.col("tp")).alias("fp"), "positives", (F.col("all") - F.col("positives")).alias("negatives"))
+    return out.select("bucket", "s", "pos", "n", "tp", (F.col("m") - F.col("tp")).alias("fp"), "positives", (F.col("all") - F.col("positives")).alias("negatives"))
 
 
 def ranking(df: DataFrame, truth: str = "y", score: str = "s") -> DataFrame:
@@ -70,8 +70,8 @@ def ranking(df: DataFrame, truth: str = "y", score: str = "s") -> DataFrame:
     r = ranked(df, truth, score)
     # pairs won: each positive over the negatives that score less, and half of those that score the same
     won = F.col("pos") * (F.col("negatives") - F.col("fp")) + F.col("pos") * (F.col("n") - F.col("pos")) / 2
-    ap = F.col("pos") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return r.agg((F.sum(won) / F.max(F.col("positives") * F.col("negatives"))).alias("roc_auc"), F.sum(ap).alias("average_precision"))
+    ap = F.try_divide(F.col("pos"), F.col("positives")) * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return r.agg(F.try_divide(F.sum(won), F.max(F.col("positives") * F.col("negatives"))).alias("roc_auc"), F.sum(ap).alias("average_precision"))
 
 
 def curve(df: DataFrame, truth: str = "y", score: str = "s", points: int = 150) -> DataFrame:
@@ -79,9 +79,11 @@ def curve(df: DataFrame, truth: str = "y", score: str = "s", points: int = 150)
     r = ranked(df, truth, score)
     n = r.count()
     step = max(1, -(-n // points))
-    w = Window.orderBy(F.desc("s"))
-    # distinct scores, far fewer than rows, are numbered to thin them
-    return r.withColumn("k", F.row_number().over(w)).where((F.col("k") % step == 0) | (F.col("k") == n)).select("s", (F.col("tp") / F.col("positives")).alias("tpr"), (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    # a score's number is its range's place and its own in the range, so that no window holds all of them
+    w = Window.partitionBy("bucket").orderBy(F.desc("s"))
+    before = r.groupBy("bucket").count().select("bucket", (F.sum("count").over(Window.orderBy(F.desc("bucket"))) - F.col("count")).alias("before"))
+    r = r.join(F.broadcast(before), "bucket").withColumn("k", F.row_number().over(w) + F.col("before"))
+    return r.where((F.col("k") % step == 0) | (F.col("k") == n)).select("s", (F.col("tp") / F.col("positives")).alias("tpr"), (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def log_loss(truth: Column, probability: Column, eps: float = 1e-15) -> Column:
@@ -95,22 +97,31 @@ def regression(df: DataFrame, truth: str = "y", predicted: str = "p") -> DataFra
     e = y - p
     mape = F.when(F.min(F.abs(y)) > 0, F.avg(F.abs(e / F.nullif(y, F.lit(0.0)))))
     r2 = 1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0))
-    q = F.percentile(e, F.array(F.lit(0.05), F.lit(0.95)))
+    from tabulon.operators.quantiles import exact_quantiles
+
+    q = [F.lit(v).cast("double") for v in exact_quantiles(df, {"e": e}, [0.05, 0.95])["e"] or (None, None)]
     return df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), r2.alias("r2"), mape.alias("mape"), F.avg(e).alias("residual_mean"), F.stddev_pop(e).alias("residual_std"), q[0].alias("p05"), q[1].alias("p95"))
 
 
 def calibration(df: DataFrame, truth: str = "y", probability: str = "s", bins: int = 10, order: str | None = None) -> DataFrame:
     """(bin, n, mean_probability, share) of bins of equal counts by probability; neighbours of equal means are one bin.
 
-    Positions come from ranks within ranges of the probability, as in ranked(); order breaks ties.
+    Positions come from ranks within ranges of the probability, as in ranked(), and, so that a probability that most
+    rows have is no single task's, within 64 ranges of order, which breaks ties.
     """
-    cols = [F.col(probability).alias("s"), F.col(truth).cast("double").alias("y"), (F.col(order) if order else F.lit(0)).alias("o")]
+    cols = [F.col(probability).alias("s"), F.col(truth).cast("double").alias("y"), (F.col(order) if order else F.monotonically_increasing_id()).alias("o")]
     rows = df.select(*cols)
     n = rows.count()
-    cuts = sorted(set(rows.agg(F.percentile_approx("s", F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1000).alias("c")).first()["c"] or []))
-    rows = rows.withColumn("bucket", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("s"))) if cuts else F.lit(0))
-    before = rows.groupBy("bucket").count().select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("before"))
-    place = rows.join(F.broadcast(before), "bucket").withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("s", "o")) + F.col("before"))
+    sixty = F.array(*[F.lit(k / 64) for k in range(1, 64)])
+    found = rows.agg(F.percentile_approx("s", sixty, 1000).alias("c"), F.percentile_approx(F.col("o").cast("double"), sixty, 1000).alias("d")).first()
+    inside = lambda cuts, c: F.size(F.filter(F.array(*[F.lit(v) for v in sorted(set(cuts))]), lambda v: v <= c)) if cuts else F.lit(0)
+    # scores that a cut falls on, as frequent ones do, are ranges of their own, in which rows are dealt by order
+    cuts = sorted(set(found["c"] or []))
+    rows = rows.withColumn("bucket", 2 * inside(cuts, F.col("s")) - F.col("s").isin(cuts).cast("int") if cuts else F.lit(0))
+    rows = rows.withColumn("part", F.when(F.col("bucket") % 2 == 1, inside(found["d"], F.col("o").cast("double"))).otherwise(0))
+    sizes = rows.groupBy("bucket", "part").count()
+    before = sizes.select("bucket", "part", (F.sum("count").over(Window.orderBy("bucket", "part")) - F.col("count")).alias("before"))
+    place = rows.join(F.broadcast(before), ["bucket", "part"]).withColumn("k", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("s", "o")) + F.col("before"))
     big, size = n % bins, n // bins
     tile = F.when(F.col("k") <= big * (size + 1), F.floor((F.col("k") - 1) / (size + 1))).otherwise(big + F.floor((F.col("k") - 1 - big * (size + 1)) / max(1, size)))
     means = place.groupBy(tile.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("s").alias("m"), F.avg("y").alias("share"))

@@ -10,7 +10,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Fit = Callable[[np.ndarray, np.ndarray, np.random.Generator], Callable[[np.ndarray], np.ndarray]]
+#: A fitted model is the name of a scoring function in SCORES and the arrays it needs, so that it can be written and read.
+Fitted = tuple[str, dict]
+Fit = Callable[[np.ndarray, np.ndarray, np.random.Generator], Fitted]
 
 
 class Capped:
@@ -21,17 +23,31 @@ class Capped:
 
     def __init__(self, fit: Fit, classes: int, cap: int, seed: int = 42) -> None:
         self.make, self.classes, self.cap, self.seed = fit, classes, cap, seed
+        self.fitted: Fitted | None = None
 
     def fit(self, df: DataFrame) -> Capped:
         rows = df.select("label", vector_to_array("features").alias("x")).orderBy(F.xxhash64("x", "label", F.lit(self.seed)), "label").limit(self.cap).toPandas()
         x = np.array(rows["x"].tolist(), float).reshape(len(rows), -1)
         y = rows["label"].to_numpy(float)
         target = np.eye(self.classes)[y.astype(int)] if self.classes else y[:, None]
-        self.score = self.make(x, target, np.random.default_rng(self.seed))
+        self.fitted = self.make(x, target, np.random.default_rng(self.seed))
         return self
 
+    def state(self) -> dict:
+        """What JSON can hold of a fitted model."""
+        return {"classes": self.classes, "cap": self.cap, "seed": self.seed, "score": self.fitted[0], "arrays": {k: _written(v) for k, v in self.fitted[1].items()}}
+
+    @classmethod
+    def restored(cls, state: dict) -> Capped:
+        out = cls(None, state["classes"], state["cap"], state["seed"])
+        if state["score"] not in SCORES:
+            raise ValueError(f"no model {state['score']!r}")
+        out.fitted = state["score"], {k: _read(v) for k, v in state["arrays"].items()}
+        return out
+
     def transform(self, df: DataFrame) -> DataFrame:
-        score, classes = self.score, self.classes
+        (name, arrays), classes = self.fitted, self.classes
+        score = SCORES[name](**arrays)
 
         @F.pandas_udf("array<double>")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -47,6 +63,14 @@ class Capped:
         return out.withColumn("prediction", best.cast("double")).withColumn("probability", array_to_vector("_p")).drop("_p")
 
 
+def _written(v):  # noqa: ANN001, ANN202
+    return [_written(x) for x in v] if isinstance(v, list) else {"array": v.tolist(), "shape": list(v.shape)} if isinstance(v, np.ndarray) else v
+
+
+def _read(v):  # noqa: ANN001, ANN202
+    return [_read(x) for x in v] if isinstance(v, list) else np.array(v["array"], float).reshape(v["shape"]) if isinstance(v, dict) else v
+
+
 def _shares(p: np.ndarray) -> np.ndarray:
     """Scores of classes as shares, if there are several columns."""
     if p.shape[1] == 1:
@@ -66,8 +90,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def neighbours(x: np.ndarray, y: np.ndarray, rng: np.random.Generator):  # noqa: ANN201
     """The k nearest rows, weighted by closeness; k grows with the root of the sample."""
-    k = int(np.clip(round(np.sqrt(len(x)) / 4), 3, 15))
+    return "neighbours", {"x": x, "y": y, "k": int(np.clip(round(np.sqrt(len(x)) / 4), 3, 15))}
 
+
+def _near(x: np.ndarray, y: np.ndarray, k: int):  # noqa: ANN202
     def score(z: np.ndarray) -> np.ndarray:
         d = np.sqrt(_distances(z, x))
         at = np.argpartition(d, min(k, len(x) - 1), axis=1)[:, :k]
@@ -79,6 +105,7 @@ def neighbours(x: np.ndarray, y: np.ndarray, rng: np.random.Generator):  # noqa:
 
 
 def _gaussian(gamma: float, x: np.ndarray, weights: np.ndarray, mean: np.ndarray):  # noqa: ANN202
+    """Weighted Gaussian kernels around rows."""
     return lambda z: _shares(np.exp(-gamma * _distances(z, x)) @ weights + mean)
 
 
@@ -87,7 +114,7 @@ def kernel_ridge(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, penalty
     gamma = 1 / max(1, x.shape[1])
     k = np.exp(-gamma * _distances(x, x))
     mean = y.mean(0)
-    return _gaussian(gamma, x, np.linalg.solve(k + penalty * np.eye(len(x)), y - mean), mean)
+    return "gaussian", {"gamma": gamma, "x": x, "weights": np.linalg.solve(k + penalty * np.eye(len(x)), y - mean), "mean": mean}
 
 
 def gaussian_process(x: np.ndarray, y: np.ndarray, rng: np.random.Generator):  # noqa: ANN201
@@ -101,7 +128,7 @@ def gaussian_process(x: np.ndarray, y: np.ndarray, rng: np.random.Generator):  #
             value = -0.5 * float(((y - mean) * a).sum()) - y.shape[1] * float(np.log(np.diag(low)).sum())
             if best is None or value > best[0]:
                 best = (value, gamma / max(1, x.shape[1]), a)
-    return _gaussian(best[1], x, best[2], mean)
+    return "gaussian", {"gamma": best[1], "x": x, "weights": best[2], "mean": mean}
 
 
 def fourier_machine(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, width: int = 300, steps: int = 300):  # noqa: ANN201
@@ -116,18 +143,30 @@ def fourier_machine(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, widt
         out = f @ v
         g = np.where(t * out < 1, -t, 0) if several else np.sign(out - t) * (np.abs(out - t) > 0.1)
         v -= 5 / np.sqrt(1 + s) * (f.T @ g / len(f) + 1e-4 * v)
-    if several:
-        return lambda z: _shares(1 / (1 + np.exp(-2 * lift(z) @ v)))
-    mean = y.mean()
-    return lambda z: lift(z) @ v * scale + mean
+    return "fourier", {"w": w, "b": b, "v": v, "several": several, "scale": scale, "mean": 0.0 if several else float(y.mean())}
+
+
+def _waves(w: np.ndarray, b: np.ndarray, v: np.ndarray, several: bool, scale: float, mean: float):  # noqa: ANN202
+    lift = lambda z: np.column_stack([np.cos(z @ w + b) * np.sqrt(2 / len(b)), np.ones(len(z))])
+    return (lambda z: _shares(1 / (1 + np.exp(-2 * lift(z) @ v)))) if several else lambda z: lift(z) @ v * scale + mean
+
+
+def _plane(m: np.ndarray, s: np.ndarray, w: np.ndarray, mean: np.ndarray):  # noqa: ANN202
+    """A linear function of scaled columns."""
+    return lambda q: (q - m) / s @ w + mean
+
+
+def _flat(w: np.ndarray) -> Fitted:
+    """Weights of columns and, last, the constant."""
+    width = len(w) - 1
+    return "plane", {"m": np.zeros(width), "s": np.ones(width), "w": w[:-1], "mean": w[-1]}
 
 
 def theil_sen(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int = 300):  # noqa: ANN201
     """The median, coordinate by coordinate, of least-squares fits of random subsets."""
     z, n = np.column_stack([x, np.ones(len(x))]), min(len(x), x.shape[1] + 2)
     fits = [np.linalg.lstsq(z[k], y[k], rcond=None)[0] for k in (rng.choice(len(x), n, False) for _ in range(rounds))]
-    w = np.median(np.stack(fits), 0)
-    return lambda q: np.column_stack([q, np.ones(len(q))]) @ w
+    return _flat(np.median(np.stack(fits), 0))
 
 
 def ransac(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int = 100):  # noqa: ANN201
@@ -141,8 +180,7 @@ def ransac(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int =
         near = (np.abs(z @ np.linalg.lstsq(z[k], y[k], rcond=None)[0] - y) <= limit).all(1)
         if near.sum() > most:
             best, most = near, near.sum()
-    w = np.linalg.lstsq(z[best], y[best], rcond=None)[0]
-    return lambda q: np.column_stack([q, np.ones(len(q))]) @ w
+    return _flat(np.linalg.lstsq(z[best], y[best], rcond=None)[0])
 
 
 def bayesian_ridge(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int = 50):  # noqa: ANN201
@@ -158,7 +196,7 @@ def bayesian_ridge(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, round
         used = float((gain / (gain + weight)).sum())
         weight = used / max(float((w**2).sum()), 1e-12)
         noise = (len(z) - used) / max(float(((t - z @ w) ** 2).sum()), 1e-12)
-    return lambda q: (q - m) / s @ w + mean
+    return "plane", {"m": m, "s": s, "w": w, "mean": mean}
 
 
 def partial_least_squares(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, parts: int = 2):  # noqa: ANN201
@@ -176,7 +214,7 @@ def partial_least_squares(x: np.ndarray, y: np.ndarray, rng: np.random.Generator
         ws.append(w), ps.append(p), qs.append(q)
     w, p, q = np.hstack(ws), np.hstack(ps), np.hstack(qs)
     beta = w @ np.linalg.pinv(p.T @ w) @ q.T
-    return lambda v: (v - m) / s @ beta + mean
+    return "plane", {"m": m, "s": s, "w": beta, "mean": mean}
 
 
 def boosted_stumps(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int = 200):  # noqa: ANN201
@@ -210,13 +248,17 @@ def boosted_stumps(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, round
         else:
             out.append((k, v, 0.2 * left, 0.2 * right))
             residual = residual - 0.2 * guess
-    base = 0 if several else y.mean(0)
+    wide = y.shape[1]
+    sides = [np.array([np.broadcast_to(o[k], wide) for o in out], float).reshape(len(out), wide) for k in (2, 3)]
+    return "stumps", {"columns": np.array([o[0] for o in out], float), "cuts": np.array([o[1] for o in out], float), "left": sides[0], "right": sides[1], "base": np.zeros(wide) if several else y.mean(0)}
 
+
+def _stumps(columns: np.ndarray, cuts: np.ndarray, left: np.ndarray, right: np.ndarray, base: np.ndarray):  # noqa: ANN202
     def score(z: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(z), y.shape[1])) + base
-        for k, v, left, right in out:
-            total += np.where((z[:, k] <= v)[:, None], left, right)
-        return _shares(total) if several else total
+        total = np.zeros((len(z), len(base))) + base
+        for k, v, one, two in zip(columns.astype(int), cuts, left, right, strict=True):
+            total += np.where((z[:, k] <= v)[:, None], one, two)
+        return _shares(total)
 
     return score
 
@@ -251,7 +293,20 @@ def network(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, hidden: tupl
                 mo[0][:] = 0.9 * mo[0] + 0.1 * grad
                 mo[1][:] = 0.999 * mo[1] + 0.001 * grad**2
                 p -= 0.003 * (mo[0] / (1 - 0.9**step)) / (np.sqrt(mo[1] / (1 - 0.999**step)) + 1e-8)
-    return lambda q: forward((q - m) / s)[-1] * scale + mean
+    return "network", {"ws": ws, "bs": bs, "m": m, "s": s, "scale": scale, "mean": mean}
+
+
+def _layers(ws: list, bs: list, m: np.ndarray, s: np.ndarray, scale: float, mean: np.ndarray):  # noqa: ANN202
+    def score(q: np.ndarray) -> np.ndarray:
+        out = (q - m) / s
+        for k, (w, b) in enumerate(zip(ws, bs, strict=True)):
+            out = out @ w + b if k == len(ws) - 1 else np.maximum(out @ w + b, 0)
+        return out * scale + mean
+
+    return score
+
+
+SCORES: dict[str, Callable] = {"neighbours": _near, "gaussian": _gaussian, "fourier": _waves, "plane": _plane, "stumps": _stumps, "network": _layers}
 
 
 def oversample(df: DataFrame, label: str = "label", features: str = "features", k: int = 5, reference: int = 2000, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.values import cleaned_text, date, number
 from tabulon.operators.profile import NUMERIC, infer_kinds, kind_of_type
+from tabulon.operators.quantiles import distinct_counts, exact_quantiles, medians
 
 ENCODED = 20
 
@@ -73,15 +74,11 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 def fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:
     """Lower and upper bound of each numeric column with over ten distinct values and a spread between its quartiles."""
-    wanted = []
+    named = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    quartiles, distinct, out = exact_quantiles(df, named, [0.25, 0.75]), distinct_counts(df, named), {}
     for c in columns:
-        x = F.col(f"`{c}`").cast("double")
-        wanted += [F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}__q"), F.count_distinct(x).alias(f"{c}__u")]
-    row = df.agg(*wanted).first()
-    out = {}
-    for c in columns:
-        q = row[f"{c}__q"]
-        if q and row[f"{c}__u"] > 10 and q[1] > q[0]:
+        q = quartiles[c]
+        if q and distinct[c] > 10 and q[1] > q[0]:
             out[c] = (q[0] - factor * (q[1] - q[0]), q[1] + factor * (q[1] - q[0]))
     return out
 
@@ -110,13 +107,12 @@ def remove_outliers(df: DataFrame, columns: list[str], factor: float = 1.5, most
 
 def impute(df: DataFrame, numeric: list[str], others: list[str]) -> DataFrame:
     """Medians for missing numbers, the most frequent value (the smallest of equals) for the rest."""
-    wanted = [F.percentile(F.col(f"`{c}`").cast("double"), 0.5).alias(c) for c in numeric]
-    wanted += [F.mode(F.col(f"`{c}`"), True).alias(c) for c in others]
-    if not wanted:
-        return df
-    row = df.agg(*wanted).first()
+    row: dict = medians(df, {c: F.col(f"`{c}`") for c in numeric})
+    for c in others:
+        most = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).count().orderBy(F.desc("count"), "v").first()
+        row[c] = most["v"] if most else None
     filled = {c: F.coalesce(F.col(f"`{c}`").cast("double") if c in numeric else F.col(f"`{c}`"), F.lit(row[c])) for c in [*numeric, *others] if row[c] is not None}
-    return df.withColumns(filled)
+    return df.withColumns(filled) if filled else df
 
 
 def top_values(df: DataFrame, column: str, top: int) -> list[str]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.operators.quantiles import exact_quantiles
+
 MODERATE, MAJOR, SMALLEST, TOP = 0.1, 0.25, 1e-4, 50
 
 
@@ -27,10 +31,9 @@ def two_way_psi(before: Column, now: Column) -> Column:
 
 
 def edges(reference: DataFrame, columns: list[str]) -> dict[str, list[float]]:
-    """Distinct deciles of each numeric column of the reference, from one aggregation."""
-    tenths = F.array(*[F.lit(k / 10) for k in range(1, 10)])
-    row = reference.agg(*[F.percentile(F.col(c).cast("double"), tenths).alias(c) for c in columns]).first()
-    return {c: sorted(set(row[c])) for c in columns if row[c]}
+    """Distinct deciles of each numeric column of the reference."""
+    tenths = exact_quantiles(reference, {c: F.col(f"`{c}`") for c in columns}, [k / 10 for k in range(1, 10)])
+    return {c: sorted(set(q)) for c, q in tenths.items() if q}
 
 
 def bin_of(x: Column, cuts: list[float]) -> Column:
@@ -141,6 +144,70 @@ def verdict(table: DataFrame, weighted: bool = False) -> DataFrame:
     return table.agg(F.when(major, "major").when(some, "moderate").otherwise("stable").alias("verdict"), F.count(F.when(changed, 1)).alias("n_changed"))
 
 
+def summarise(df: DataFrame, numeric: list[str], categories: list[str]) -> dict:
+    """What is kept of a table to compare later ones with: for numbers deciles, shares between them, range, mean and
+    missing share; for categories the shares of the top values and of all others. Its size doesn't grow with the rows.
+    """
+    cuts = edges(df, numeric)
+    out: dict = {"numeric": {}, "categories": {}}
+    if cuts:
+        shares_of, about = _bin_shares(df, cuts), _ranges(df, list(cuts))
+        out["numeric"] = {c: {"cuts": cuts[c], "shares": shares_of[c], **about[c]} for c in cuts}
+    if categories:
+        for r in known_shares(df, categories).collect():
+            own = out["categories"].setdefault(r["column"], {"values": {}, "rest": 0.0})
+            if r["value"] is None:
+                own["rest"] = r["share"]
+            else:
+                own["values"][r["value"]] = r["share"]
+    return out
+
+
+def _bin_shares(df: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[float]]:
+    counts = {c: [0] * (len(e) + 1) for c, e in cuts.items()}
+    for r in _bins(df, cuts).collect():
+        counts[r["column"]][r["bin"]] = r["n"]
+    return {c: [v / max(1, sum(n)) for v in n] for c, n in counts.items()}
+
+
+def _ranges(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    stats = {"low": F.min, "high": F.max, "mean": F.avg}
+    row = df.agg(*[f(v).alias(f"{c}__{k}") for c, v in x.items() for k, f in stats.items()], *[(1 - F.try_divide(F.count(v), F.count("*"))).alias(f"{c}__missing") for c, v in x.items()]).first()
+    return {c: {k: row[f"{c}__{k}"] for k in (*stats, "missing")} for c in columns}
+
+
+def _index(expected: list[float], actual: list[float]) -> float:
+    e, a = ([max(v, SMALLEST) for v in s] for s in (expected, actual))
+    return sum((y / sum(a) - x / sum(e)) * math.log(y / sum(a) / (x / sum(e))) for x, y in zip(e, a, strict=True))
+
+
+def against(summary: dict, new: DataFrame) -> DataFrame:
+    """(column, psi, outside, status) of new data against a kept summary; columns that are gone have the status missing."""
+    rows: list[tuple] = []
+    have = {c: s for c, s in summary["numeric"].items() if c in new.columns}
+    if have:
+        now, about = _bin_shares(new, {c: s["cuts"] for c, s in have.items()}), _ranges(new, list(have))
+        far = new.agg(*[F.avg((~F.col(f"`{c}`").cast("double").between(s["low"], s["high"])).cast("double")).alias(c) for c, s in have.items()]).first()
+        for c, s in have.items():
+            gaps = _index([1 - s["missing"], s["missing"]], [1 - (about[c]["missing"] or 0.0), about[c]["missing"] or 0.0])
+            rows.append((c, max(_index(s["shares"], now[c]), gaps), far[c] or 0.0))
+    words = [c for c in summary["categories"] if c in new.columns]
+    if words:
+        # values that the summary lacks count together, so no more rows than it has values reach the driver
+        known = new.sparkSession.createDataFrame([(c, v) for c in words for v in summary["categories"][c]["values"]], "column string, value string").withColumn("known", F.lit(True))
+        found = shares(new, words).join(F.broadcast(known), ["column", "value"], "left")
+        part = {(r["column"], r["v"]): r["a"] for r in found.groupBy("column", F.when(F.col("known"), F.col("value")).alias("v")).agg(F.sum("share").alias("a")).collect()}
+        for c in words:
+            own = summary["categories"][c]
+            new_share = part.get((c, None), 0.0)
+            psi_ = _index([*own["values"].values(), own["rest"]], [*(part.get((c, v), 0.0) for v in own["values"]), new_share])
+            rows.append((c, psi_, new_share if own["rest"] < 0.01 else 0.0))
+    table = new.sparkSession.createDataFrame(rows, "column string, psi double, outside double").withColumn("status", status(F.col("psi"), F.col("outside")))
+    gone = [(c, None, 1.0, "missing") for c in [*summary["numeric"], *summary["categories"]] if c not in new.columns]
+    return table.unionByName(new.sparkSession.createDataFrame(gone, "column string, psi double, outside double, status string"))
+
+
 def warning(reference: DataFrame, new: DataFrame, columns: list[str], least: int = 30) -> str | None:
     """A line for a prediction's output if the new data, of least rows or more, differ much."""
     if new.limit(least).count() < least:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 UNITS = {"hour": (1 / 24, 24, "INTERVAL 1 HOUR"), "day": (1.0, 7, "INTERVAL 1 DAY"), "week": (7.0, 52, "INTERVAL 7 DAYS"), "month": (30.44, 12, "INTERVAL 1 MONTH"), "quarter": (91.3, 4, "INTERVAL 3 MONTHS"), "year": (365.25, 1, "INTERVAL 1 YEAR")}
 ALPHAS = tuple(10 ** (-3 + k / 2) for k in range(13))
 Z80 = 1.2816
-MAX_PERIODS, MAX_GROUPS = 10_000, 500
+MAX_PERIODS = 10_000
+#: Groups, those of the longest history, by which one model for all is chosen.
+CHOOSING = 8
+HOLIDAY_INPUTS = ("is_holiday", "day_before", "day_after")
+#: Models that are compared, the simplest first.
+MODELS = ("last value", "last season", "ridge", "boosting", "forest")
 
 
 def frequency(df: DataFrame, ts: str) -> DataFrame:
@@ -72,10 +77,41 @@ def newest(df: DataFrame, group: list[str], periods: int = MAX_PERIODS) -> DataF
 def plans(df: DataFrame, ts: str, y: str, group: list[str] = ()) -> DataFrame:
     """Rows after the last known y of their group."""
     last = df.where(F.col(y).isNotNull()).groupBy(*group).agg(F.max(ts).alias("_last"))
-    joined = df.join(F.broadcast(last), list(group)) if group else df.crossJoin(F.broadcast(last))
+    joined = df.join(last, list(group)) if group else df.crossJoin(F.broadcast(last))
     return joined.where(F.col(ts) > F.col("_last")).drop("_last")
 
 
+def periods_between(first: Column, last: Column, unit: str) -> Column:
+    """How many periods lie between two dates of a calendar; 0 if they are in one, negative if last is earlier."""
+    low, high = period(first, unit), period(last, unit)
+    step = F.expr(UNITS[unit][2])
+    return F.when(low <= high, F.size(F.sequence(low, high, step)) - 1).otherwise(1 - F.size(F.sequence(high, low, step)))
+
+
+def planned(history: DataFrame, group: list[str], unit: str, horizon: int, inputs: list[str], future: DataFrame | None = None) -> DataFrame:
+    """(group, ts, inputs) of the next horizon periods of each group: planned values, else the last one known, else 0.
+
+    history: as series() returns it. future: group, ts and some of the inputs, at any times; those of one period are averaged.
+    """
+    keys = list(group)
+    last = history.groupBy(*keys).agg(F.max("ts").alias("_last"), *[F.max_by(c, "ts").alias(f"_{c}") for c in inputs])
+    step = F.expr(UNITS[unit][2])
+    ahead = last.withColumn("ts", F.explode(F.slice(F.sequence("_last", F.col("_last") + step * horizon, step), 2, horizon)))
+    have = [c for c in inputs if future is not None and c in future.columns]
+    if have:
+        per = future.groupBy(*keys, period(F.col("ts"), unit).alias("ts")).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in have])
+        ahead = ahead.join(per, [*keys, "ts"], "left")
+        w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        ahead = ahead.withColumns({c: F.last(c, True).over(w) for c in have})
+    out = [F.coalesce(*([F.col(c)] if c in have else []), F.col(f"_{c}"), F.lit(0.0)).cast("double").alias(c) for c in inputs]
+    return ahead.select(*keys, "ts", *out)
+
+
+def totals(df: DataFrame, ts: str = "ts", values: tuple[str, ...] = ("forecast",)) -> DataFrame:
+    """Sums over all groups at each date; null only where all are null."""
+    return df.groupBy(ts).agg(*[F.sum(c).alias(c) for c in values])
+
+
 @dataclass
 class Recipe:
     """Lags and trailing means that a model of a series gets."""
@@ -142,7 +178,7 @@ def profile(df: DataFrame, unit: str = "day", group: list[str] = ()) -> DataFram
     place = {"hour": F.hour("ts"), "day": F.weekday("ts"), "week": F.month("ts"), "month": F.month("ts"), "quarter": F.quarter("ts")}[unit]
     means = df.groupBy(*group, place.alias("place")).agg(F.avg("y").alias("mean"))
     whole = df.groupBy(*group).agg(F.avg("y").alias("_all"))
-    joined = means.join(F.broadcast(whole), list(group)) if group else means.crossJoin(F.broadcast(whole))
+    joined = means.join(whole, list(group)) if group else means.crossJoin(F.broadcast(whole))
     return joined.select(*group, "place", "mean", (F.col("mean") / F.col("_all")).alias("relative"))
 
 
@@ -210,63 +246,287 @@ def _calendar(ts: pd.DatetimeIndex, unit: str) -> np.ndarray:
     return {"hour": np.column_stack([np.eye(24)[ts.hour], day]), "day": np.column_stack([day, year]), "week": year, "month": month, "quarter": np.eye(4)[ts.quarter - 1], "year": np.zeros((len(ts), 0))}[unit]
 
 
-def _predict(y: np.ndarray, ts: pd.DatetimeIndex, horizon: int, unit: str, r: Recipe) -> np.ndarray:
-    """Forecasts of horizon periods, each made from those before; ts covers the history and the horizon."""
+# trees of one group: columns as ranks of few cuts, splits by sums of what is to be explained
+
+
+def _binned(x: np.ndarray, bins: int = 32) -> tuple[np.ndarray, list[np.ndarray]]:
+    cuts = [np.unique(np.quantile(c, np.arange(1, bins) / bins)) for c in x.T]
+    return np.column_stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)]), cuts
+
+
+def _tree(codes: np.ndarray, y: np.ndarray, depth: int, least: int, share: float, rng: np.random.Generator) -> list[tuple]:
+    """Nodes (column, code, left, right, value), the first the root; rows with a code up to the node's go left."""
+    nodes: list[tuple] = []
+
+    def grow(rows: np.ndarray, level: int) -> int:
+        at = len(nodes)
+        nodes.append((-1, 0, 0, 0, float(y[rows].mean())))
+        if level == depth or len(rows) < 2 * least:
+            return at
+        best = (1e-12, -1, 0)
+        columns = np.arange(codes.shape[1]) if share >= 1 else rng.permutation(codes.shape[1])[: max(1, round(share * codes.shape[1]))]
+        own = y[rows] - y[rows].mean()
+        for c in columns.tolist():
+            code = codes[rows, c]
+            n, total = np.cumsum(np.bincount(code)), np.cumsum(np.bincount(code, own))
+            fit = (n >= least) & (len(rows) - n >= least)
+            if fit.any():
+                gain = np.where(fit, total**2 / np.maximum(n, 1) + total**2 / np.maximum(len(rows) - n, 1), 0)
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (float(gain[k]), c, k)
+        if best[1] >= 0:
+            left = codes[rows, best[1]] <= best[2]
+            nodes[at] = (best[1], best[2], grow(rows[left], level + 1), grow(rows[~left], level + 1), nodes[at][4])
+        return at
+
+    grow(np.arange(len(y)), 0)
+    return nodes
+
+
+def _values(nodes: list[tuple], codes: np.ndarray) -> np.ndarray:
+    column, code, left, right, value = (np.array(v) for v in zip(*nodes, strict=True))
+    at = np.zeros(len(codes), int)
+    while (inner := column[at] >= 0).any():
+        go = codes[np.arange(len(codes)), np.maximum(column[at], 0)] <= code[at]
+        at = np.where(inner, np.where(go, left[at], right[at]), at)
+    return value[at]
+
+
+def forest(x: np.ndarray, y: np.ndarray, trees: int = 40, seed: int = 42):  # noqa: ANN201
+    """The mean of deep trees on rows drawn with replacement, a third of the columns at each split."""
+    rng = np.random.default_rng(seed)
+    codes, cuts = _binned(x)
+    grown = []
+    for _ in range(trees):
+        rows = rng.integers(0, len(y), len(y))
+        grown.append(_tree(codes[rows], y[rows], 10, 2, 1 / 3, rng))
+    return lambda q: np.mean([_values(t, _coded(q, cuts)) for t in grown], 0)
+
+
+def boosting(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.1, seed: int = 42):  # noqa: ANN201
+    """Shallow trees, each on what those before left unexplained."""
+    rng = np.random.default_rng(seed)
+    codes, cuts = _binned(x)
+    mean, grown = float(y.mean()), []
+    left = y - mean
+    for _ in range(rounds):
+        grown.append(_tree(codes, left, 4, 5, 1.0, rng))
+        left = left - rate * _values(grown[-1], codes)
+    return lambda q: mean + rate * np.sum([_values(t, _coded(q, cuts)) for t in grown], 0)
+
+
+def _coded(q: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.column_stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, q.T, strict=True)])
+
+
+def _learned(name: str, x: np.ndarray, y: np.ndarray):  # noqa: ANN202
+    if name == "ridge":
+        w, mean, std, m = ridge(x, y)
+        return lambda q: m + (q - mean) / std @ w
+    return (forest if name == "forest" else boosting)(x, y)
+
+
+def _predict(name: str, y: np.ndarray, extra: np.ndarray, horizon: int, r: Recipe) -> np.ndarray:
+    """Forecasts of horizon periods, each made from those before; extra covers the history and the horizon.
+
+    Trees learn the change from the period before, as they can't go beyond what they have seen.
+    """
     n = len(y)
-    if n < max([*r.lags, *r.windows]) + 8:
+    if n < max([*r.lags, *r.windows], default=0) + 8 or not r.lags:
         return np.full(horizon, y[-1])
-    extra, t = _calendar(ts, unit), np.arange(len(ts), dtype=float)
-    w, mean, std, m = ridge(*_rows(y, extra, t, r, n))
+    t = np.arange(n + horizon, dtype=float)
+    x, target = _rows(y, extra, t, r, n)
+    change = name != "ridge"
+    model = _learned(name, x, target - y[n - len(target) - 1 : n - 1] if change else target)
     path = np.concatenate([y, np.empty(horizon)])
     for k in range(n, n + horizon):
-        x = np.concatenate([[path[k - j] for j in r.lags], [path[k - v : k].mean() for v in r.windows], [t[k]], extra[k]])
-        path[k] = m + (x - mean) / std @ w
+        row = np.concatenate([[path[k - j] for j in r.lags], [path[k - v : k].mean() for v in r.windows], [t[k]], extra[k]])
+        path[k] = model(row[None])[0] + (path[k - 1] if change else 0)
     return path[n:]
 
 
-def forecast(df: DataFrame, group: list[str], unit: str, horizon: int, folds: int = 3) -> DataFrame:
-    """(group, model, ts, step, forecast, low, high, backtest_mae) of the next horizon periods of every group.
+def _model(name: str, y: np.ndarray, extra: np.ndarray, horizon: int, unit: str) -> np.ndarray:
+    season = UNITS[unit][1]
+    if name == "last season" and len(y) >= season:
+        return np.array([y[len(y) - season + k % season] for k in range(horizon)])
+    if name in ("last value", "last season"):
+        return np.full(horizon, y[-1])
+    return _predict(name, y, extra, horizon, recipe(unit, len(y)))
+
+
+def _tested(n: int, horizon: int, folds: int) -> tuple[int, list[int]]:
+    """(periods that a backtest forecasts, where its histories end): of a short series a quarter of it at most."""
+    h = min(horizon, max(1, n // 4))
+    return h, [n - h * k for k in range(folds, 0, -1) if n - h * k >= 8]
+
+
+def _parts(df: DataFrame, group: list[str], inputs: list[str], future: DataFrame | None, unit: str, horizon: int) -> DataFrame:
+    """The newest periods of each group and, marked, the inputs of those to come."""
+    known = newest(df, group).select(*group, "ts", "y", *[F.col(c).cast("double").alias(c) for c in inputs], F.lit(False).alias("_ahead"))
+    ahead = planned(df, group, unit, horizon, inputs, future)
+    return known.unionByName(ahead.select(*group, "ts", F.lit(None).cast("double").alias("y"), *inputs, F.lit(True).alias("_ahead")))
+
 
-    df: as series() returns it. Three models (last value, last season, ridge on lags, trailing means, trend and calendar)
-    are backtested on folds cuts; the one with the least mean absolute error forecasts, with an 80% band from its own step
-    errors. A series, of at most MAX_PERIODS periods, is one group in one task, since each step needs the one before.
+def _apply(rows: DataFrame, group: list[str], run, schema: str) -> DataFrame:  # noqa: ANN001
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in group)
+    if not group:
+        return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda part: run(part), schema)
+    return rows.groupBy(*group).applyInPandas(run, kinds + schema)
+
+
+def _read(part: pd.DataFrame, inputs: list[str], unit: str) -> tuple[np.ndarray, pd.DatetimeIndex, np.ndarray]:
+    """(known values, dates of these and of the periods to come, calendar and inputs at all dates)."""
+    part = part.sort_values("ts")
+    ts = pd.DatetimeIndex(part["ts"])
+    y = part.loc[~part["_ahead"].to_numpy(bool), "y"].to_numpy(float)
+    return y, ts, np.column_stack([_calendar(ts, unit), part[list(inputs)].to_numpy(float).reshape(len(part), len(inputs))])
+
+
+def backtest(df: DataFrame, group: list[str], unit: str, horizon: int, folds: int = 3, inputs: list[str] = (), models: tuple[str, ...] = MODELS) -> DataFrame:
+    """(group, model, fold, step, actual, predicted, naive): forecasts of the last periods from those before, fold 0 the newest.
+
+    df: as series() returns it. naive is the last value before the cut.
+    """
+    keys, inputs = list(group), list(inputs)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        y, _, extra = _read(part, inputs, unit)
+        h, cuts = _tested(len(y), horizon, folds)
+        out = []
+        for k, c in enumerate(cuts[::-1]):
+            for m in models:
+                out += [(m, k, s + 1, y[c + s], p, y[c - 1]) for s, p in enumerate(_model(m, y[:c], extra, h, unit).tolist())]
+        found = pd.DataFrame(out, columns=["model", "fold", "step", "actual", "predicted", "naive"])
+        for n, k in enumerate(keys):
+            found.insert(n, k, part[k].iloc[0])
+        return found
+
+    return _apply(_parts(df, keys, inputs, None, unit, 1), keys, run, "model string, fold int, step int, actual double, predicted double, naive double")
+
+
+def leaderboard(tests: DataFrame, group: list[str] = ()) -> DataFrame:
+    """(model, mae, rmse, bias, relative, n_groups), the best first, of backtests: relative is the mean over groups of a
+    model's mean absolute error over that of the last value, so that large groups don't decide alone.
+    """
+    e = F.col("predicted") - F.col("actual")
+    per = tests.groupBy(*group, "model").agg(F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(F.col("naive") - F.col("actual"))).alias("base"), F.sum(e * e).alias("s"), F.sum(e).alias("b"), F.count("*").alias("n"))
+    out = per.groupBy("model").agg(F.avg("mae").alias("mae"), F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), (F.sum("b") / F.sum("n")).alias("bias"), F.avg(F.col("mae") / F.greatest("base", F.lit(1e-12))).alias("relative"), F.count("*").alias("n_groups"))
+    return out.orderBy("relative", "model")
+
+
+def choose(df: DataFrame, group: list[str], unit: str, horizon: int, folds: int = 3, inputs: list[str] = (), models: tuple[str, ...] = MODELS) -> tuple[str, list[dict]]:
+    """(model, leaderboard): the model with the least relative error over the CHOOSING groups of the longest history.
+
+    Groups too short for a backtest have no say; without any, the last value is chosen.
     """
-    offset = {"hour": "h", "day": "D", "week": "7D", "month": "MS", "quarter": "QS", "year": "YS"}[unit]
     keys = list(group)
+    if keys:
+        most = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.abs("y")).alias("_s")).orderBy(F.desc("_n"), F.desc("_s"), *keys).limit(CHOOSING).select(*keys)
+        df = df.join(F.broadcast(most), keys, "left_semi")
+    board = [r.asDict() for r in leaderboard(backtest(df, keys, unit, horizon, folds, inputs, models), keys).collect()]
+    return (board[0]["model"] if board else "last value"), board
+
+
+def forecast(df: DataFrame, group: list[str], unit: str, horizon: int, folds: int = 3, inputs: list[str] = (), future: DataFrame | None = None, model: str | None = None, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """(group, model, ts, step, forecast, low, high, backtest_mae) of the next horizon periods of every group.
+
+    df: as series() returns it, with inputs; future: planned values of inputs, as planned() takes them. Models (last value,
+    last season, ridge, boosted trees and a forest on lags, trailing means, trend, calendar and inputs) are backtested on
+    folds cuts; the one with the least mean absolute error, or model if given, forecasts, with an 80% band from its own
+    step errors, which past the backtested steps grows with the root of the step. A series, of at most its newest
+    MAX_PERIODS periods, is one group in one task, since each step needs the one before; groups are worked on in parallel,
+    however many there are.
+    """
+    keys, inputs = list(group), list(inputs)
+    if model is not None and model not in MODELS:
+        raise ValueError(f"no model {model!r}; there are {', '.join(MODELS)}")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts")
-        y = part["y"].to_numpy(float)
-        ts = pd.DatetimeIndex(part["ts"])
-        full = ts.append(pd.date_range(ts[-1], periods=horizon + 1, freq=offset)[1:])
-        season = UNITS[unit][1]
-
-        def model(name: str, n: int) -> np.ndarray:
-            if name == "last value":
-                return np.full(horizon, y[n - 1])
-            if name == "last season":
-                return np.array([y[n - season + k % season] for k in range(horizon)]) if n >= season else np.full(horizon, y[n - 1])
-            return _predict(y[:n], full[: n + horizon], horizon, unit, recipe(unit, n))
-
-        cuts = [len(y) - horizon * k for k in range(folds, 0, -1) if len(y) - horizon * k >= 8]
-        errs = {m: np.array([model(m, c) - y[c : c + horizon] for c in cuts]) for m in ("last value", "last season", "ridge")}
-        best = min(errs, key=lambda m: (np.abs(errs[m]).mean() if len(cuts) else 0, m)) if cuts else "last value"
-        out = model(best, len(y))
+        y, ts, extra = _read(part, inputs, unit)
+        h, cuts = _tested(len(y), horizon, folds)
+        tried = [model] if model else list(models)
+        errs = {m: np.array([_model(m, y[:c], extra, h, unit) - y[c : c + h] for c in cuts]) for m in tried} if cuts else {}
+        # ties go to the simplest
+        best = min(tried, key=lambda m: np.abs(errs[m]).mean()) if cuts else model or "last value"
+        out = _model(best, y, extra, horizon, unit)
+        width = np.full(horizon, np.nan)
         if cuts:
             square = (errs[best] ** 2).mean(0)
-            pooled = [math.sqrt(square[max(0, k - 2) : k + 3].mean()) for k in range(horizon)]
-            width = Z80 * np.maximum.accumulate(pooled)
-        else:
-            width = np.full(horizon, np.nan)
+            pooled = [math.sqrt(square[max(0, k - 2) : k + 3].mean()) for k in range(h)]
+            width[:h] = Z80 * np.maximum.accumulate(pooled)
+            width[h:] = width[h - 1] * np.sqrt(np.arange(h + 1, horizon + 1) / h)
         rows = {k: part[k].iloc[0] for k in keys}
-        return pd.DataFrame({**rows, "model": best, "ts": full[len(y) :], "step": np.arange(1, horizon + 1), "forecast": out, "low": out - width, "high": out + width, "backtest_mae": np.abs(errs[best]).mean() if cuts else np.nan})
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
-    out = "model string, ts timestamp_ntz, step int, forecast double, low double, high double, backtest_mae double"
-    rows = newest(df, keys).select(*keys, "ts", "y")
-    if not keys:
-        return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda p: run(p), out)
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {out}")
+        return pd.DataFrame({**rows, "model": best, "ts": ts[len(y) :], "step": np.arange(1, horizon + 1), "forecast": out, "low": out - width, "high": out + width, "backtest_mae": np.abs(errs[best]).mean() if cuts else np.nan})
+
+    return _apply(_parts(df, keys, inputs, future, unit, horizon), keys, run, "model string, ts timestamp_ntz, step int, forecast double, low double, high double, backtest_mae double")
+
+
+@dataclass
+class Forecaster:
+    """How a table is forecast: found once, applied to the same or to newer rows, and kept as JSON."""
+
+    date: str
+    value: str
+    group: list[str]
+    unit: str
+    horizon: int
+    combine: str = "sum"
+    inputs: list[str] = field(default_factory=list)
+    model: str | None = None
+    leaderboard: list[dict] = field(default_factory=list)
+    holidays: list[str] = field(default_factory=list)
+
+    def history(self, df: DataFrame) -> DataFrame:
+        """The regular series of a table, with its inputs and those that holidays give."""
+        rows = series(df, self.date, self.value, self.group, self.unit, self.combine, self.inputs)
+        return self._with_holidays(rows)
+
+    def _with_holidays(self, rows: DataFrame) -> DataFrame:
+        if not self.holidays:
+            return rows
+        days = rows.sparkSession.createDataFrame([(d,) for d in self.holidays], "day string")
+        return holidays(rows, days).withColumns({c: F.col(c).cast("double") for c in HOLIDAY_INPUTS})
+
+    def forecast(self, df: DataFrame, future: DataFrame | None = None, groups: list | None = None, horizon: int | None = None) -> DataFrame:
+        """The next periods after df, which may be newer than what the model was chosen on.
+
+        Rows of df after the last known value are plans, and so is future, of the same columns; groups: only these, of the
+        first group column; an unknown one is an error.
+        """
+        if groups is not None:
+            if not self.group:
+                raise ValueError("this forecast has no groups")
+            key = F.col(self.group[0])
+            df = df.where(key.isin(*groups))
+            gone = {str(g) for g in groups} - {str(r[0]) for r in df.select(key).distinct().limit(len(groups) + 1).collect()}
+            if gone:
+                raise ValueError(f"no such groups: {', '.join(sorted(gone))}")
+        steps = horizon or self.horizon
+        rows = self.history(df)
+        names = [*self.inputs, *(HOLIDAY_INPUTS if self.holidays else ())]
+        plan = None
+        if self.inputs:
+            pick = lambda d: d.select(*self.group, F.col(self.date).cast("timestamp_ntz").alias("ts"), *[c for c in self.inputs if c in d.columns])
+            plan = pick(plans(df, self.date, self.value, self.group))
+            if future is not None:
+                plan = plan.unionByName(pick(future), allowMissingColumns=True)
+        if self.holidays:
+            spine = planned(rows, self.group, self.unit, steps, [])
+            ahead = self._with_holidays(spine)
+            plan = ahead if plan is None else plan.unionByName(ahead, allowMissingColumns=True)
+        return forecast(rows, self.group, self.unit, steps, inputs=names, future=plan, model=self.model)
+
+    def to_dict(self) -> dict:
+        return dict(self.__dict__)
+
+
+def fit_forecaster(df: DataFrame, date: str, value: str, group: list[str] = (), unit: str | None = None, horizon: int = 14, combine: str = "sum", inputs: list[str] = (), holiday_dates: list[str] = (), folds: int = 3, models: tuple[str, ...] = MODELS) -> Forecaster:
+    """A Forecaster with one model for all groups, chosen by choose(), and its leaderboard."""
+    out = Forecaster(date, value, list(group), unit or frequency(df, date).first()["unit"], horizon, combine, list(inputs), holidays=[str(d) for d in holiday_dates])
+    names = [*out.inputs, *(HOLIDAY_INPUTS if out.holidays else ())]
+    out.model, out.leaderboard = choose(out.history(df), out.group, out.unit, horizon, folds, names, models)
+    return out
 
 
 def beyond(width: Column, step: Column, horizon: int) -> Column:

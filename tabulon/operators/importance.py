@@ -12,7 +12,9 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.values import show_number
 from tabulon.operators.profile import unpivoted
+from tabulon.operators.quantiles import exact_quantiles, medians
 
 
 def _long(df: DataFrame, columns: list[str], *others: Column) -> DataFrame:
@@ -83,7 +85,7 @@ def variance(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """(column, score): in nats, of columns cut at their deciles and a class target."""
-    cuts = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias(c) for c in columns]).first()
+    cuts = exact_quantiles(df, {c: F.col(c) for c in columns}, [k / bins for k in range(1, bins)])
     place = lambda c: F.size(F.filter(F.array(*[F.lit(v) for v in sorted(set(cuts[c] or []))]), lambda v: v <= F.col(c))).cast("double")
     binned = df.select(F.col(target).cast("string").alias("y"), *[place(c).alias(c) for c in columns])
     rows = _long(binned, columns, F.col("y")).where("y is not null")
@@ -248,7 +250,7 @@ def enough(points: list[tuple[int, float]], margin: float = 0.01, spreads: dict[
 def effect(df: DataFrame, column: str, predict: Callable[[DataFrame], DataFrame], prediction: str = "prediction", points: int = 9, sample: int = 300) -> DataFrame:
     """(value, mean): the mean prediction of a bounded sample of rows with column set to points from its 5% to its 95% point."""
     q = [0.05 + 0.9 * k / (points - 1) for k in range(points)]
-    grid = sorted(set(df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(x) for x in q])).alias("g")).first()["g"] or []))
+    grid = sorted(set(exact_quantiles(df, {column: F.col(column)}, q)[column] or []))
     some = df.orderBy(F.xxhash64(*df.columns)).limit(sample)
     varied = some.withColumn("_v", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).withColumn(column, F.col("_v").cast(dict(df.dtypes)[column]))
     return predict(varied).groupBy(F.col("_v").alias("value")).agg(F.avg(prediction).alias("mean"))
@@ -264,10 +266,129 @@ def explain_rows(rows: DataFrame, columns: list[str], typical: dict[str, object]
     return scored.where("_c <> ''").join(base, row_id).select(row_id, F.col("_c").alias("column"), "prediction", (F.col("prediction") - F.col("p")).alias("effect"))
 
 
+def sentences(rows: list[dict], row_id: str, most: int = 2) -> list[str]:
+    """A sentence for each row of explain_rows(): the columns that moved its prediction most, and which way."""
+    by_row: dict = {}
+    for r in rows:
+        by_row.setdefault(r[row_id], []).append(r)
+    out = []
+    for i, parts in sorted(by_row.items(), key=lambda x: str(x[0])):
+        far = sorted((p for p in parts if p["effect"]), key=lambda p: (-abs(p["effect"]), p["column"]))[:most]
+        said = " and ".join(f"{p['column']} {'raises' if p['effect'] > 0 else 'lowers'} it by {show_number(abs(p['effect']))}" for p in far)
+        out.append(f"Row {i}: the answer is {show_number(parts[0]['prediction'])}; {said or 'no single column changes it'}.")
+    return out
+
+
+def sensitivity(df: DataFrame, columns: list[str], predict: Callable[[DataFrame], DataFrame], row_id: str, numbers: bool, seed: int = 42) -> dict[str, float]:
+    """Without labels: the mean change of numeric predictions, or the share of answers that change, when a column is shuffled."""
+    base = predict(df).select(F.col(row_id).alias("_i"), F.col("predicted").alias("_b"))
+    out = {}
+    for c in columns:
+        mixed = shuffled(df, [c], seed).withColumn(c, F.col(f"shuffled_{c}")).drop(f"shuffled_{c}")
+        both = predict(mixed).select(row_id, "predicted").join(base, F.col(row_id) == F.col("_i"))
+        change = F.abs(F.col("predicted") - F.col("_b")) if numbers else (~F.col("predicted").eqNullSafe(F.col("_b"))).cast("double")
+        out[c] = both.agg(F.avg(change)).first()[0] or 0.0
+    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
+
+
+def drop_column(columns: list[str], evaluate: Callable[[list[str]], float]) -> dict[str, float]:
+    """How much a score of all columns falls when one of them is left out; evaluate is higher for better sets."""
+    whole = evaluate(columns)
+    return {c: whole - evaluate([x for x in columns if x != c]) for c in columns} if len(columns) > 1 else {c: whole for c in columns}
+
+
+def eliminated(columns: list[str], weigh: Callable[[list[str]], dict[str, float]], step: float = 0.1) -> dict[str, float]:
+    """Recursive elimination: the least of the remaining columns, a tenth of them at a time, go by a model fitted on them.
+
+    weigh gives a weight of each of a set of columns. The score is the round in which a column went, over all rounds; those
+    of the last round score 1.
+    """
+    left, gone = list(columns), []
+    while len(left) > 1:
+        w = weigh(left)
+        least = sorted(left, key=lambda c: (w[c], c))[: max(1, int(len(left) * step))]
+        gone.append(least)
+        left = [c for c in left if c not in least]
+    gone.append(left)
+    return {c: (k + 1) / len(gone) for k, part in enumerate(gone) for c in part}
+
+
+def tree_weights(df: DataFrame, columns: list[str], target: str, classes: bool, kind: str = "boosting", seed: int = 42) -> dict[str, float]:
+    """Importances of boosted trees, or of extra trees: a forest without resampling, on the root of the columns at each split."""
+    from pyspark.ml import classification, regression
+
+    rows = _vector(df, columns).select(F.col(target).cast("double").alias("label"), "features")
+    if kind == "boosting":
+        made = classification.GBTClassifier if classes else regression.GBTRegressor
+        many = classes and rows.agg(F.max("label")).first()[0] > 1
+        model = classification.OneVsRest(classifier=made(maxIter=20, seed=seed)) if many else made(maxIter=20, seed=seed)
+        fitted = model.fit(rows)
+        found = np.mean([m.featureImportances.toArray() for m in fitted.models], 0) if many else fitted.featureImportances.toArray()
+    else:
+        made = classification.RandomForestClassifier if classes else regression.RandomForestRegressor
+        found = made(numTrees=50, maxDepth=8, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed).fit(rows).featureImportances.toArray()
+    return {c: float(v) for c, v in zip(columns, found, strict=True)}
+
+
+def columns_needed(ranked: list[str], evaluate: Callable[[list[str]], list[float]], sizes: list[int] | None = None) -> tuple[list[dict], int]:
+    """(points, number): the cross-validated score of the first columns, for growing numbers of them, and how many are enough.
+
+    evaluate gives a set's score in each fold, higher for better ones.
+    """
+    sizes = sizes or sorted({n for n in (1, 2, 3, 5, 8, 12, 20, 30, len(ranked)) if n <= len(ranked)})
+    points = []
+    for n in sizes:
+        scores = evaluate(ranked[:n])
+        points.append({"columns": n, "score": float(np.mean(scores)), "spread": float(np.std(scores))})
+    return points, enough([(p["columns"], p["score"]) for p in points], spreads={p["columns"]: p["spread"] for p in points})
+
+
+def best_subsets(found: list[tuple[list[str], float]], columns: list[str], share: float = 0.05) -> dict[str, float]:
+    """How often each column is in the best share of the sets that an exhaustive search tried."""
+    best = sorted(found, key=lambda f: -f[1])[: max(1, math.ceil(len(found) * share))]
+    return {c: sum(c in s for s, _ in best) / len(best) for c in columns}
+
+
+def spread_of_categories(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, score): 1 less the share of the most frequent value."""
+    from tabulon.operators.profile import value_shares
+
+    return value_shares(df, columns).groupBy("column").agg((1 - F.max("share")).alias("score"))
+
+
+def rank_correlation_of_classes(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(column, score): the largest absolute rank correlation with one class against the others."""
+    classes = [r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).limit(1001).collect()]
+    if len(classes) > 1000:
+        raise ValueError("the target has over 1000 classes")
+    rows = df.where(F.col(target).isNotNull()).select(*columns, *[(F.col(target) == v).cast("double").alias(f"_is{k}") for k, v in enumerate(classes)])
+    for c in columns:
+        rows = average_ranks(rows, c, f"_r_{c}")
+    # ranks of a column of two values are a line through them, which leaves its correlation as it is
+    return unpivoted(rows.agg(*[F.greatest(*[F.coalesce(F.abs(F.corr(f"_r_{c}", f"_is{k}")), F.lit(0.0)) for k in range(len(classes))], F.lit(0.0)).alias(f"{c}__score") for c in columns]), columns, ["score"])
+
+
+def back_to_columns(df: DataFrame, origin: dict[str, str]) -> DataFrame:
+    """(column, score) of the raw columns: the sums of those of the encoded columns that come from them."""
+    pairs = df.sparkSession.createDataFrame(list(origin.items()), "column string, raw string")
+    return df.join(F.broadcast(pairs), "column").groupBy(F.col("raw").alias("column")).agg(F.sum("score").alias("score"))
+
+
+def category_effect(df: DataFrame, column: str, predict: Callable[[DataFrame], DataFrame], prediction: str = "prediction", top: int = 8, sample: int = 300) -> DataFrame:
+    """(value, mean): the mean prediction of a bounded sample of rows with column set to each of its most frequent values."""
+    values = df.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(top).select(F.col(column).alias("_v"))
+    some = df.orderBy(F.xxhash64(*df.columns)).limit(sample)
+    varied = some.crossJoin(F.broadcast(values)).withColumn(column, F.col("_v"))
+    return predict(varied).groupBy(F.col("_v").alias("value")).agg(F.avg(prediction).alias("mean"))
+
+
 def typical(df: DataFrame, numeric: list[str], others: list[str]) -> dict[str, object]:
     """Medians and most frequent values."""
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric], *[F.mode(c, True).alias(c) for c in others]).first()
-    return row.asDict()
+    out: dict[str, object] = dict(medians(df, {c: F.col(c) for c in numeric}))
+    for c in others:
+        most = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).count().orderBy(F.desc("count"), "v").first()
+        out[c] = most["v"] if most else None
+    return out
 
 
 def probability_of(label_index: Column, probability: str = "probability") -> Column:

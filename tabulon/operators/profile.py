@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.values import NUMBER_MARKS, looks_like_id, number, number_or_null
+from tabulon.operators.quantiles import distinct_counts, medians
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 TINY, HIGH_MISSING, HIGH_CARDINALITY, LEAK = 50, 0.5, 50, 0.98
@@ -39,15 +40,18 @@ def unpivoted(row: DataFrame, columns: list[str], fields: list[str]) -> DataFram
 
 
 def numeric_profile(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Count, missing, distinct, mean, sample deviation, least, median, largest and skewness of columns, in one aggregation.
+    """Count, missing, distinct, mean, sample deviation, least, median, largest and skewness of columns.
 
-    exact=False takes approximate medians and distinct counts, whose state is bounded for columns of any cardinality.
+    The moments are one aggregation over all columns; medians and distinct counts come from quantiles.py, whose state
+    doesn't grow with a column's values. exact=False takes approximate ones in the same aggregation.
     """
     out = []
-    for c in columns:
-        x = number_or_null(F.col(f"`{c}`"))
-        middle = F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, 10_000).cast("double")
-        distinct = F.count_distinct(x) if exact else F.approx_count_distinct(x, 0.01)
+    # 0.0 and -0.0 are one value
+    named = {c: number_or_null(F.col(f"`{c}`")) + 0.0 for c in columns}
+    middles, distincts = (medians(df, named), distinct_counts(df, named)) if exact else ({}, {})
+    for c, x in named.items():
+        middle = F.lit(middles[c]).cast("double") if exact else F.percentile_approx(x, 0.5, 10_000).cast("double")
+        distinct = F.lit(distincts[c]).cast("long") if exact else F.approx_count_distinct(x, 0.01)
         stats = {"n": F.count("*"), "n_missing": F.count("*") - F.count(x), "missing_share": 1 - F.try_divide(F.count(x), F.count("*")), "n_unique": distinct, "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "median": middle, "max": F.max(x), "skew": unbiased_skewness(x)}
         out += [v.alias(f"{c}__{k}") for k, v in stats.items()]
     return unpivoted(df.agg(*out), columns, ["n", "n_missing", "missing_share", "n_unique", "mean", "std", "min", "median", "max", "skew"])
@@ -118,37 +122,39 @@ class ColumnKind:
 
 
 def infer_kinds(df: DataFrame, order: str | None = None, date_formats: bool = True) -> list[ColumnKind]:
-    """The kind of every column, from one wide aggregation over all rows (two with dates in text).
+    """The kind of every column, from one wide aggregation over all rows, and medians and distinct counts of all columns.
 
     order: a column by which rows are numbered; a numeric column that counts 0, 1, 2 … or 1, 2, 3 … is an id if all values
     are distinct, whole and span as many numbers as there are, which needs no row order.
     """
     df = flattened(df)
     total = F.count("*").alias("rows")
-    wanted = [total]
+    wanted, distinct, middle = [total], {}, {}
     for c, t in df.dtypes:
         x = F.col(f"`{c}`")
         if kind_of_type(t) == "number":
             x = number_or_null(x)
         q = F.trim(x.cast("string"))
         some = F.nullif(q, F.lit("")) if t == "string" else q
-        wanted += [F.count(x).alias(f"{c}__n"), F.count_distinct(x).alias(f"{c}__u")]
+        wanted.append(F.count(x).alias(f"{c}__n"))
+        distinct[c] = x
         as_number = x if kind_of_type(t) == "number" else number(x) if t == "string" else None
         if as_number is not None:
             wanted += [
                 F.try_divide(F.count(as_number), F.count(x)).alias(f"{c}__numeric"),
                 F.coalesce(F.bool_or(q.rlike(r"^0\d+$")) if t == "string" else F.lit(False), F.lit(False)).alias(f"{c}__zeros"),
                 F.coalesce(F.bool_and(as_number == F.floor(as_number)), F.lit(False)).alias(f"{c}__whole"),
-                F.min(as_number).alias(f"{c}__min"), F.max(as_number).alias(f"{c}__max"), F.avg(as_number).alias(f"{c}__mean"), F.stddev_samp(as_number).alias(f"{c}__std"), F.percentile(as_number, 0.5).alias(f"{c}__median"),
+                F.min(as_number).alias(f"{c}__min"), F.max(as_number).alias(f"{c}__max"), F.avg(as_number).alias(f"{c}__mean"), F.stddev_samp(as_number).alias(f"{c}__std"),
             ]
+            middle[f"{c}__median"] = as_number
         if t == "string":
             wanted += [
                 F.try_divide(F.count(F.when(some.rlike(r"\d"), 1)), F.count(x)).alias(f"{c}__digit"),
                 F.try_divide(F.count(F.when(F.regexp_replace(some, NUMBER_MARKS, "").rlike(r"^-?\d+(\.\d+)?$"), 1)), F.count(x)).alias(f"{c}__plain"),
-                F.percentile(F.length(some), 0.5).alias(f"{c}__length"),
                 F.avg(F.size(F.split(q, r"\s+"))).alias(f"{c}__words"),
             ]
-    row = df.agg(*wanted).first()
+            middle[f"{c}__length"] = F.length(some)
+    row = df.agg(*wanted).first().asDict() | medians(df, middle) | {f"{c}__u": n for c, n in distinct_counts(df, distinct).items()}
     out = []
     for c, t in df.dtypes:
         get = lambda k: row[f"{c}__{k}"]  # noqa: B023, E731

@@ -26,9 +26,26 @@ def holdout(df: DataFrame, row_id: str, target: str | None = None, share: float
             return df.withColumn("is_test", F.lit(bool(counts)))
         some = df.where(bucket == last).select(F.col(row_id).alias("_id"), place(row_id, seed).alias("_h")).orderBy("_h", "_id").limit(left).select("_id").withColumn("_t", F.lit(True))
         return df.join(F.broadcast(some), df[row_id] == F.col("_id"), "left").withColumn("is_test", (bucket < last) | F.coalesce("_t", F.lit(False))).drop("_id", "_t")
-    w = Window.partitionBy(target).orderBy(place(row_id, seed))
-    size = F.count("*").over(Window.partitionBy(target))
-    return df.withColumn("is_test", F.row_number().over(w) <= F.floor(size * share))
+    numbered, sizes = _numbered(df, row_id, target, seed)
+    out = numbered.join(F.broadcast(sizes), F.col("_c").eqNullSafe(F.col("_class")))
+    return out.select(*df.columns, (F.col("_k") <= F.floor(F.col("_size") * share)).alias("is_test"))
+
+
+def _numbered(df: DataFrame, row_id: str, target: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(df with _c, its class, and _k, its place from 1 in the class's random order; the classes' sizes).
+
+    A class is numbered in 256 slices of the hash order, each after the counts of those before, so that no task holds
+    a whole class. Classes are far fewer than rows: their sizes and slices are broadcast.
+    """
+    order = place(row_id, seed)
+    slice_ = F.conv(F.substring(order, 1, 2), 16, 10).cast("int")
+    rows = df.withColumns({"_c": F.col(target), "_s": slice_, "_o": order})
+    counts = rows.groupBy("_c", "_s").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_c").orderBy("_s")
+    before = counts.select(F.col("_c").alias("_bc"), F.col("_s").alias("_bs"), (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    sizes = counts.groupBy(F.col("_c").alias("_class")).agg(F.sum("_n").alias("_size"))
+    joined = rows.join(F.broadcast(before), F.col("_c").eqNullSafe(F.col("_bc")) & (F.col("_s") == F.col("_bs")))
+    return joined.withColumn("_k", F.row_number().over(Window.partitionBy("_c", "_s").orderBy("_o")) + F.col("_before")), sizes
 
 
 def folds(df: DataFrame, row_id: str, k: int = 5, target: str | None = None, seed: int = 42) -> DataFrame:
@@ -40,8 +57,7 @@ def folds(df: DataFrame, row_id: str, k: int = 5, target: str | None = None, see
         return df.withColumn("fold", F.pmod(F.conv(F.substring(place(row_id, seed), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
     rarest = df.groupBy(target).count().agg(F.min("count")).first()[0] or 1
     k = max(2, min(k, rarest))
-    w = Window.partitionBy(target).orderBy(place(row_id, seed))
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return _numbered(df, row_id, target, seed)[0].select(*df.columns, ((F.col("_k") - 1) % k).cast("int").alias("fold"))
 
 
 def sample(df: DataFrame, size: float, row_id: str | None = None, seed: int = 42) -> DataFrame:

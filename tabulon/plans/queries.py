@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import metrics, values
 from tabulon.operators import anomaly, clean, cluster, drift, encode, forecast, importance, profile, splits, train
+from tabulon.operators.quantiles import exact_quantiles
 from tabulon.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,18 +47,18 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*SCORED)
 
 
-def query(sql: str | None = None, doubles: str = "") -> Callable:
-    """Register a function as a query. doubles: columns that both sides round, since sums depend on their order."""
+def query(sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> Callable:
+    """Register a function as a query. doubles: columns that both sides round to digits, since sums depend on their order."""
     names = doubles.split()
 
     def wrap(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.withColumns({c: F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0) for c in names}) if names else df
+            return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in names}) if names else df
 
         QUERIES[f.__name__] = run
         if sql is not None:
-            ORACLES[f.__name__] = f"select * replace ({', '.join(f'round(cast({c} as double), {DIGITS}) + 0.0 as {c}' for c in names)}) from ({sql})" if names else sql
+            ORACLES[f.__name__] = f"select * replace ({', '.join(f'round(cast({c} as double), {digits}) + 0.0 as {c}' for c in names)}) from ({sql})" if names else sql
         return f
 
     return wrap
@@ -72,7 +73,7 @@ def _stats_sql(c: str, source: str) -> str:
     return f"select '{c}' as \"column\", count(*) as n, count(*) - count({c}) as n_missing, 1 - count({c}) / count(*) as missing_share, count(distinct {c}) as n_unique, avg({c}) as mean, stddev_samp({c}) as std, min({c}) as min, quantile_cont({c}, 0.5) as median, max({c}) as max, skewness({c}) as skew from {source}"
 
 
-@query(" union all ".join(_stats_sql(c, "lineitem") for c in _STATS), "missing_share mean std min median max skew")
+@query(" union all ".join(_stats_sql(c, "lineitem") for c in _STATS), "missing_share mean std min median max skew", digits=7)
 def profile_numeric(spark, sf_dir):  # noqa: ANN001, ANN201
     return profile.numeric_profile(table(spark, sf_dir, "lineitem"), list(_STATS))
 
@@ -128,7 +129,8 @@ def leaks(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("select quantile_cont(o_totalprice, 0.05) as p05, quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.5) as median, quantile_cont(o_totalprice, 0.95) as p95 from orders", "p05 q1 median p95")
 def quantiles(spark, sf_dir):  # noqa: ANN001, ANN201
-    return table(spark, sf_dir, "orders").agg(*[F.percentile("o_totalprice", q).alias(n) for q, n in ((0.05, "p05"), (0.25, "q1"), (0.5, "median"), (0.95, "p95"))])
+    found = exact_quantiles(table(spark, sf_dir, "orders"), {"x": F.col("o_totalprice")}, [0.05, 0.25, 0.5, 0.95])["x"]
+    return spark.createDataFrame([tuple(found or [None] * 4)], "p05 double, q1 double, median double, p95 double")
 
 
 @query("""with b as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem)
@@ -341,7 +343,8 @@ def metric_multilabel(spark, sf_dir):  # noqa: ANN001, ANN201
     return metrics.multilabel(table(spark, sf_dir, "lineitem").selectExpr(*_MULTI), [("y1", "p1"), ("y2", "p2")])
 
 
-@query()
+@query(f"""with d as {SCORED_SQL}, g as (select s, sum(y) as pos, count(*) as n from d group by 1), w as (select s, sum(pos) over o as tp, sum(n) over o as m, sum(pos) over () as p, sum(n) over () as a, row_number() over o as k, count(*) over () as c from g window o as (order by s desc))
+select s, tp / p as tpr, (m - tp) / (a - p) as fpr, tp / m as precision from w where k % greatest(1, ceil(c / 150)::int) = 0 or k = c""", "s tpr fpr precision")
 def metric_curve(spark, sf_dir):  # noqa: ANN001, ANN201
     return metrics.curve(scored(spark, sf_dir), "y", "s")
 
@@ -387,7 +390,7 @@ def drift_verdict(spark, sf_dir):  # noqa: ANN001, ANN201
     return drift.verdict(drift.ordered(drift.numeric_drift(old, new, ["o_totalprice", "month"])))
 
 
-_CATS = ("select o_orderpriority as v from orders where o_orderdate < '1998-01-01' and o_orderkey % 5 <> 0", "select case when o_orderkey % 3 = 0 then '9-NEW' else o_orderpriority end as v from orders where o_orderdate >= '1998-01-01'")
+_CATS = ("select o_orderpriority as v from orders where o_orderdate < '1998-01-01'", "select case when o_orderkey % 3 = 0 then '9-NEW' else o_orderpriority end as v from orders where o_orderdate >= '1998-01-01'")
 
 
 @query(f"""with o as (select v, count(*) / sum(count(*)) over () as e from ({_CATS[0]}) group by 1), w as (select v, count(*) / sum(count(*)) over () as a from ({_CATS[1]}) group by 1),
@@ -397,7 +400,7 @@ y as (select e / sum(e) over () as e, a / sum(a) over () as a from x), p as (sel
 select 'v' as "column", psi, a as outside, case when psi > 0.25 or a > 0.2 then 'major' when psi > 0.1 or a > 0.05 then 'moderate' else 'stable' end as status from p, u""", "psi outside")
 def drift_categories(spark, sf_dir):  # noqa: ANN001, ANN201
     orders = table(spark, sf_dir, "orders")
-    old = orders.where("o_orderdate < '1998-01-01' and o_orderkey % 5 <> 0").selectExpr("o_orderpriority as v")
+    old = orders.where("o_orderdate < '1998-01-01'").selectExpr("o_orderpriority as v")
     new = orders.where("o_orderdate >= '1998-01-01'").selectExpr("case when o_orderkey % 3 = 0 then '9-NEW' else o_orderpriority end as v")
     return drift.category_drift(old, new, ["v"])
 
@@ -405,7 +408,7 @@ def drift_categories(spark, sf_dir):  # noqa: ANN001, ANN201
 @query(f"with w as (select v, count(*) / sum(count(*)) over () as share from ({_CATS[1]}) group by 1) select 'v' as \"column\", v as value, share from w where v not in ({_CATS[0]})", "share")
 def drift_new_values(spark, sf_dir):  # noqa: ANN001, ANN201
     orders = table(spark, sf_dir, "orders")
-    old = orders.where("o_orderdate < '1998-01-01' and o_orderkey % 5 <> 0").selectExpr("o_orderpriority as v")
+    old = orders.where("o_orderdate < '1998-01-01'").selectExpr("o_orderpriority as v")
     new = orders.where("o_orderdate >= '1998-01-01'").selectExpr("case when o_orderkey % 3 = 0 then '9-NEW' else o_orderpriority end as v")
     return drift.new_values(old, new, ["v"])
 
@@ -417,11 +420,13 @@ def drift_dates(spark, sf_dir):  # noqa: ANN001, ANN201
 
 # --- series and forecasts
 
-_GAPS = "(select o_orderpriority as g, o_orderdate as d, o_totalprice as v from orders where day(o_orderdate) not in (5, 6, 17) and o_orderkey % 4 = 0)"
+#: All orders; those of three days of each month are put two days later, which leaves gaps to fill.
+_MOVED = "case when day(o_orderdate) in (5, 6, 17) then o_orderdate + interval 2 day else o_orderdate end"
+_GAPS = f"(select o_orderpriority as g, {_MOVED} as d, o_totalprice as v from orders)"
 
 
-def _series(spark: SparkSession, sf_dir: str, part: str = " and o_orderkey % 4 = 0") -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where(f"day(o_orderdate) not in (5, 6, 17){part}").selectExpr("o_orderpriority as g", "o_orderdate as d", "o_totalprice as v")
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderpriority as g", f"{_MOVED} as d", "o_totalprice as v")
     return forecast.series(rows, "d", "v", ["g"], "day")
 
 
@@ -473,7 +478,7 @@ def forecast_band(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query()
 def forecast_next(spark, sf_dir):  # noqa: ANN001, ANN201
-    return forecast.forecast(_series(spark, sf_dir, part=""), ["g"], "day", 14)
+    return forecast.forecast(_series(spark, sf_dir), ["g"], "day", 14)
 
 
 @query(f"with {_SERIES}, a as (select g, avg(y) as a from s group by 1) select g, (isodow(ts) - 1)::int as place, avg(y) as mean, avg(y) / any_value(a) as relative from s join a using (g) group by 1, 2", "mean relative")
@@ -492,11 +497,11 @@ def insight_inputs(spark, sf_dir):  # noqa: ANN001, ANN201
     return forecast.input_effects(rows, ["weekend", "beat"])
 
 
-@query(f"with {_SERIES}, h as (select distinct date_trunc('day', o_orderdate)::date as day from orders where day(o_orderdate) = 25) select ts, (ts::date in (select day from h))::int as is_holiday, ((ts::date + 1) in (select day from h))::int as day_before, ((ts::date - 1) in (select day from h))::int as day_after, (select count(*) from h where day > ts::date - 7 and day <= ts::date) as holidays from s where g = '1-URGENT'")
+@query(f"with {_SERIES}, h as (select distinct date_trunc('day', o_orderdate)::date as day from orders where day(o_orderdate) = 25) select g, ts, (ts::date in (select day from h))::int as is_holiday, ((ts::date + 1) in (select day from h))::int as day_before, ((ts::date - 1) in (select day from h))::int as day_after, (select count(*) from h where day > ts::date - 7 and day <= ts::date) as holidays from s")
 def holiday_features(spark, sf_dir):  # noqa: ANN001, ANN201
     days = table(spark, sf_dir, "orders").where("day(o_orderdate) = 25").select(F.to_date("o_orderdate").alias("day")).distinct()
-    rows = forecast.holidays_within(forecast.holidays(_series(spark, sf_dir).where("g = '1-URGENT'").select("ts"), days), days, 7)
-    return rows.select("ts", "is_holiday", "day_before", "day_after", "holidays")
+    rows = forecast.holidays_within(forecast.holidays(_series(spark, sf_dir).select("g", "ts"), days), days, 7)
+    return rows.select("g", "ts", "is_holiday", "day_before", "day_after", "holidays")
 
 
 @query(f"with {_SERIES}, r as (select g, ts, row_number() over (partition by g order by ts desc) as steps_back from s) select g, ts, steps_back::int as steps_back, case when steps_back <= 42 then floor((steps_back - 1) / 14)::int end as fold from r")
@@ -604,13 +609,13 @@ def cluster_separation(spark, sf_dir):  # noqa: ANN001, ANN201
     return cluster.separation(_grouped(spark, sf_dir), "label", ["c_acctbal", "nation"])
 
 
-@query(f"""with d as {_GROUPED}, p as (select c_custkey, label, c_acctbal as x, nation as y from d order by md5(concat_ws(':', cast(c_custkey as varchar), '42')), c_custkey limit 300),
+@query(f"""with d as {_GROUPED}, p as (select c_custkey, label, c_acctbal as x, nation as y from d order by md5(concat_ws(':', cast(c_custkey as varchar), '42')), c_custkey limit 5000),
 m as (select a.c_custkey, a.label, b.label as other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as s, count(*) as n from p a, p b group by 1, 2, 3),
 o as (select c_custkey, label, s / nullif(n - 1, 0) as a, n from m where other = label), q as (select c_custkey, min(s / n) as b from m where other <> label group by 1),
 r as (select label, case when a is null then 0 else (b - a) / greatest(a, b) end as v from o join q using (c_custkey))
 select cast(label as varchar) as label, count(*) as n, avg(v) as silhouette from r group by 1""", "silhouette")
 def cluster_silhouette(spark, sf_dir):  # noqa: ANN001, ANN201
-    return cluster.silhouette(_grouped(spark, sf_dir), "label", ["c_acctbal", "nation"], "c_custkey", sample=300)
+    return cluster.silhouette(_grouped(spark, sf_dir), "label", ["c_acctbal", "nation"], "c_custkey")
 
 
 @query(f"""with l as (select cast(label as varchar) as cluster, 'c_acctbal' as "column", c_acctbal as x from {_GROUPED} union all select cast(label as varchar), 'nation', nation from {_GROUPED}),

@@ -11,7 +11,7 @@ from pathlib import Path
 from tabulon.sources.writers import write_json
 
 #: Keys that a run configuration may have.
-CONFIG = ("data", "target", "task", "models", "metric", "folds", "quick", "drop", "keep", "sample", "seed", "horizon", "unit", "group", "outliers", "contamination", "clusters", "out")
+CONFIG = ("data", "target", "task", "models", "metric", "folds", "quick", "drop", "keep", "sample", "seed", "horizon", "unit", "group", "outliers", "contamination", "clusters", "out", "date", "value", "inputs", "holidays", "combine", "smote", "class_weights", "log_target", "threshold")
 
 
 def slug(text: str) -> str:
@@ -52,6 +52,20 @@ def resolve(root: str | Path, ref: str) -> Path:
     return Path(root) / hits[0]
 
 
+def model_path(root: str | Path, ref: str) -> Path:
+    """A saved model by its own path, or by its run's path, name, part of its name, or 'latest' (the newest run with one)."""
+    if (Path(ref) / "about.json").exists():
+        return Path(ref)
+    if ref == "latest":
+        for r in listed(root):
+            if (Path(root) / r["name"] / "model" / "about.json").exists():
+                return Path(root) / r["name"] / "model"
+    found = resolve(root, ref) / "model"
+    if not (found / "about.json").exists():
+        raise LookupError(f"the run {ref!r} has no model")
+    return found
+
+
 def prune(root: str | Path, keep: int | None = None, older_than: datetime.timedelta | None = None, now: datetime.datetime | None = None, dry: bool = False) -> list[str]:
     """Remove runs outside the newest keep ones, and those older than a span."""
     now = now or datetime.datetime.now()

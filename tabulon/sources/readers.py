@@ -75,13 +75,26 @@ def delimiter_of(raw: bytes, encoding: str) -> str:
         return ","
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Delimited text with a header; the delimiter is sniffed if only one column results."""
+def broken_lines(raw: bytes, encoding: str) -> bool:
+    """Whether a quoted field of the first bytes holds a line break."""
+    rows = csv.reader(io.StringIO(raw.decode(encoding, "replace"), newline=""))
+    try:
+        return any("\n" in field or "\r" in field for row in rows for field in row)
+    except csv.Error:
+        return False
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None) -> DataFrame:
+    """Delimited text with a header; the delimiter is sniffed if only one column results.
+
+    multiline: whether quoted fields hold line breaks, for which a file is read by one task; None: as its first bytes do.
+    """
     raw = head_bytes(spark, path) if not path.endswith((".gz", ".bz2")) else b""
     encoding = encoding_of(raw)
+    multiline = broken_lines(raw, encoding) if multiline is None else multiline
 
     def read(sep: str) -> DataFrame:
-        reader = spark.read.option("header", True).option("inferSchema", True).option("multiLine", False).option("sep", sep)
+        reader = spark.read.option("header", True).option("inferSchema", True).option("multiLine", multiline).option("escape", '"').option("sep", sep)
         if encoding == "windows-1252" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
             # the charset isn't among those that readers take, and differs from Latin-1 in 27 code points
             out = reader.option("encoding", "ISO-8859-1").csv(path)

@@ -5,7 +5,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabulon.operators import capped, train
-from tabulon.operators.splits import folds
 
 
 def table(spark, classes):
@@ -30,12 +29,6 @@ def test_classifiers(spark, key):
     assert found["accuracy"] > 0.85 and found["roc_auc"] > 0.9
 
 
-def test_stacking(spark):
-    df = folds(table(spark, False), "row_", 2)
-    models, top = train.stacked(df, ["linear", "baseline"], "regression", 0, 2, 2)
-    assert len(models) == 2 and abs(top.coefficients[0] - 1) < 0.1
-
-
 def test_oversampling(spark):
     df = table(spark, False).select(F.when(F.col("row_") < 60, 1.0).otherwise(0.0).alias("label"), "features")
     out = capped.oversample(df)

@@ -82,7 +82,8 @@ def test_clean(spark):
     rows = [(k, "male " if k % 3 else "Male", "N/A" if k == 4 else f"${k},000", f"{k % 28 + 1:02d}/0{k % 9 + 1}/2024", None, "yes" if k % 2 else "no") for k in range(1, 40)]
     df = spark.createDataFrame([*rows, rows[0], (None,) * 6], '` id ` long, gender string, price string, `when` string, empty string, y string')
     out = clean.clean(df, "y", fill=True)
-    assert set(out.data.columns) == {"price", "when", "y"} or "gender" in out.data.columns
+    # id counts rows; gender has one spelling left, so it is kept as the constant that it was not before
+    assert out.data.columns == ["gender", "price", "when", "y"] and {r["gender"] for r in out.data.collect()} == {"male"}
     assert dict(out.data.dtypes)["price"] == "double" and dict(out.data.dtypes)["when"] == "timestamp_ntz" and "empty" not in out.data.columns
     assert out.data.where("price is null").count() == 0 and out.data.count() == 39
     with pytest.raises(ValueError):
@@ -100,9 +101,9 @@ def test_drift(spark):
 
 
 def test_trend_is_continued(spark):
-    df = spark.sql("select timestamp_ntz '2022-01-01' + make_dt_interval(cast(id as int)) as d, 100 + 2.0 * id as v from range(600)")
+    df = spark.sql("select timestamp_ntz '2022-01-01' + make_dt_interval(cast(id as int)) as d, 40 + 3.5 * id as v from range(450)")
     out = api.forecast(df, "d", "v", horizon=3).orderBy("step").collect()
-    assert [abs(r["forecast"] - (1300 + 2 * k)) < 8 for k, r in enumerate(out)] == [True] * 3 and all(r["low"] <= r["forecast"] <= r["high"] for r in out)
+    assert [abs(r["forecast"] - (1615 + 3.5 * k)) < 10 for k, r in enumerate(out)] == [True] * 3 and all(r["low"] <= r["forecast"] <= r["high"] for r in out)
 
 
 def test_series(spark):
@@ -158,6 +159,11 @@ def test_regression_and_tuning(spark):
     df = spark.sql("select id, cast(id % 50 as double) as x, 3.0 * (id % 50) + id % 2 as y from range(300)")
     fitted = api.train(df, "y", "id", ["baseline", "linear"], k=2)
     assert fitted.key == "linear" and api.evaluate(fitted, df, "y")["r2"] > 0.99
+    again = api.train(df.withColumn("y", F.exp(F.col("x") / 8)), "y", "id", ["linear"], k=2, log_target=True)
+    plain = api.train(df.withColumn("y", F.exp(F.col("x") / 8)), "y", "id", ["linear"], k=2)
+    assert again.leaderboard[0]["score"] < plain.leaderboard[0]["score"] / 2
+    with pytest.raises(ValueError, match="log target"):
+        api.train(df.withColumn("y", F.col("y") - 50), "y", "id", ["linear"], k=2, log_target=True)
     rows = splits.folds(fitted.encoding.vectors(df.withColumn("label", F.col("y")), ["id", "label"]), "id", 2)
     assert len(train.tune(rows, "ridge", "regression", 0, 1, "rmse", trials=2, k=2)) == 2
 
@@ -168,8 +174,8 @@ def test_importance(spark):
     assert table[-1]["column"] == "noise" and api.select(df.drop("id"), "y", 1)[0] in ("a", "copy")
     groups, pairs, vif = importance.redundancy(df, ["a", "noise", "copy"])
     assert groups == [["a", "copy"]] and len(pairs) == 1 and vif["noise"] < 1.5
-    assert importance.enough([(1, 0.7259), (2, 0.7111), (3, 0.8647), (5, 0.8748)]) == 5
-    assert importance.enough([(1, 0.7259), (2, 0.7111), (3, 0.8647), (5, 0.8748)], spreads={5: 0.02}) == 3
+    points = [(2, 0.61), (4, 0.8), (6, 0.795), (9, 0.83), (12, 0.834)]
+    assert importance.enough(points) == 9 and importance.enough(points, spreads={12: 0.04}) == 4
     mixed = importance.shuffled(df, ["a"]).collect()
     assert len(mixed) == 500 and sorted(r["a"] for r in mixed) == sorted(r["shuffled_a"] for r in mixed) and any(r["a"] != r["shuffled_a"] for r in mixed)
     best = importance.search(["a", "noise"], lambda s: 1.0 * ("a" in s) - 0.1 * len(s))

@@ -43,6 +43,10 @@ def test_query(spark, sf_dir, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
-def test_runs(spark, sf_dir, name):
-    assert queries.QUERIES[name](spark, sf_dir).count() >= 0
+
+def test_other_queries_have_tests_of_their_own():
+    """Those that SQL can't express are held against plain versions in test_whole.py."""
+    from pathlib import Path
+
+    text = Path(__file__).with_name("test_whole.py").read_text()
+    assert all(f'"{name}"' in text for name in set(queries.QUERIES) - set(queries.ORACLES))
