@@ -29,6 +29,29 @@ def selected(grams: np.ndarray, window: int) -> np.ndarray:
     return low[np.append(True, low[1:] != low[:-1])]
 
 
+def thinned(at: np.ndarray, hashes: np.ndarray, size: int, wide: int) -> np.ndarray:
+    """Selected positions without most of those inside a text that goes on repeating itself.
+
+    Neighbours that are alike in their size words and in wide words on either side match whatever the others match, over as
+    much; of these one is kept every wide words, so what they cover stays covered.
+    """
+    inner = (at >= wide) & (at + size + wide <= len(hashes))
+    if inner.sum() < 2:
+        return at
+    whole = np.zeros(len(at), np.uint64)
+    whole[inner] = tb.run_hashes(hashes, at[inner] - wide, np.full(inner.sum(), size + 2 * wide))
+    alike = np.append(False, inner[1:] & inner[:-1] & (whole[1:] == whole[:-1]) & (at[1:] - at[:-1] < wide))
+    if not alike.any():
+        return at
+    keep, last = ~alike, 0
+    for k in np.flatnonzero(alike | np.append(alike[1:], False)).tolist():
+        follows = k + 1 < len(at) and alike[k + 1]
+        # the last of a run, and the last one that is still within wide words of the one kept before
+        if not alike[k] or not follows or at[k + 1] - at[last] > wide:
+            keep[k], last = True, k
+    return at[keep]
+
+
 def _texts(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, hashes of its words, hashes of its runs of size words)."""
     body, offsets, _ = tb.column_bytes(batch.column(column))
@@ -53,8 +76,8 @@ def anchors(texts: DataFrame, size: int, window: int) -> DataFrame:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             keys, docs, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for row, _, grams in _texts(batch, 1, size):
-                at = selected(grams, window)
+            for row, hashes, grams in _texts(batch, 1, size):
+                at = thinned(selected(grams, window), hashes, size, window - 1)
                 keys.append(grams[at])
                 docs.append(np.full(len(at), ids[row]))
                 places.append(at)
@@ -86,8 +109,17 @@ def repeated(found: DataFrame) -> DataFrame:
 
 
 _SUFFIX = "key long, after binary, before binary, doc_id long, pos int"
-_MARK = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("first_doc", pa.int64()), ("again", pa.bool_()), ("key", pa.int64()), ("after", pa.binary()), ("before", pa.binary())])
-_MARKS = "doc_id long, pos int, left int, right int, first_doc long, again boolean, key long, after binary, before binary"
+#: A row of a swept partition is a mark, a copy of another suffix (left and right as a mark's, that one's document in
+#: first_doc and position in h), one that meets other partitions (with its hashes), or the first of a hash in its partition
+#: (left: the hash's number, right: how many have it).
+MARK, COPY, MEETS, HEAD = range(4)
+_MARK = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("first_doc", pa.int64()), ("again", pa.bool_()), ("kind", pa.int32()), ("part", pa.int32()), ("h", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+_MARKS = "doc_id long, pos int, left int, right int, first_doc long, again boolean, kind int, part int, h long, hashes array<long>"
+
+
+def _row(kind: int, n: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    own = {"kind": np.full(n, kind)} | columns
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if f.name not in own else own[f.name] if isinstance(own[f.name], pa.Array) else pa.array(own[f.name], f.type) for f in _MARK], schema=_MARK)
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -198,9 +230,7 @@ def _matches(rows: pa.Table, size: int, least: int, reach: int) -> tuple[pa.Reco
         k = np.flatnonzero(best[:, c] >= 0)
         parts.append((doc[k], pos[k], best[k, c], best[k, c + 1], first[k] if again else doc[k], np.full(len(k), again)))
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    m = len(columns[0])
-    out = [pa.array(c, f.type) for c, f in zip(columns, _MARK, strict=False)] + [pa.nulls(m, f.type) for f in list(_MARK)[6:]]
-    return pa.RecordBatch.from_arrays(out, schema=_MARK), key
+    return _row(MARK, len(columns[0]), **dict(zip(_MARK.names, columns, strict=False))), key
 
 
 def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int) -> DataFrame:
@@ -232,34 +262,41 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
                     out[4] += at.tolist()
                 yield _batch(["key", "after", "before", "doc_id", "pos"], out, [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()])
 
-    def edge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """One suffix of those alike in all their contexts, for other partitions, and what the others get of it.
+    def edge(rows: pa.Table, part: int) -> Iterator[pa.RecordBatch]:
+        """What sorted suffixes whose first words other partitions may have as well say to these.
 
-        Rows: sorted suffixes. The first of those alike stands for all that don't overlap it. The others match whatever
-        it matches, over as much, so they are marked here as its copies, and learn later whether it stands again itself.
+        The first of those alike in all their contexts stands for all that don't overlap it: they match whatever it
+        matches, over as much, so they are marked here as its copies. Those that are left are hashed for each place of
+        the least words; of those with one hash only the first goes to other partitions, for all of them.
         """
         n, t = len(rows), rows.combine_chunks()
         key, after, before, doc, pos = (t.column(c).combine_chunks() for c in range(5))
-        grids = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(n, -1) for x in (after, before)]
-        docs, places = np.asarray(doc), np.asarray(pos)
-        keys = np.asarray(key)
-        new = np.append(True, (keys[1:] != keys[:-1]) | (grids[0][1:] != grids[0][:-1]).any(1) | (grids[1][1:] != grids[1][:-1]).any(1))
+        after, before = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(n, -1) for x in (after, before))
+        keys, docs, places = (np.asarray(x) for x in (key, doc, pos))
+        new = np.append(True, (keys[1:] != keys[:-1]) | (after[1:] != after[:-1]).any(1) | (before[1:] != before[:-1]).any(1))
         head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         copy = (head != np.arange(n)) & ((docs != docs[head]) | (places - places[head] >= least))
-        own = pa.array(~copy)
-        reps = [x.filter(own) for x in (doc, pos, key, after, before)]
-        yield pa.RecordBatch.from_arrays([*reps[:2], *(pa.nulls(len(reps[0]), f.type) for f in list(_MARK)[2:6]), *reps[2:]], schema=_MARK)
         at = np.flatnonzero(copy)
-        right, left = (_agree(g[at], g[at]) for g in grids)
+        right, left = _agree(after[at], after[at]), _agree(before[at], before[at])
         whole = left + right + size >= least
         at, left, right = at[whole], left[whole], right[whole]
-        firsts = np.unique(head[at], return_index=True)
-        # the mark of a copy: in first_doc and key the document and position of the one that stands for it
-        for who, k, again in ((at, slice(None), True), (firsts[0], firsts[1], False)):
-            m = len(who)
-            columns = [docs[who], places[who], left[k], right[k], docs[head[at]] if again else docs[who], np.full(m, again)]
-            tail = pa.array(places[head[at]], pa.int64()) if again else pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _MARK, strict=False)), tail, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=_MARK)
+        yield _row(COPY, len(at), doc_id=docs[at], pos=places[at], left=left, right=right, first_doc=docs[head[at]], again=np.full(len(at), True), h=places[head[at]])
+        who, k = np.unique(head[at], return_index=True)
+        yield _row(MARK, len(who), doc_id=docs[who], pos=places[who], left=left[k], right=right[k], first_doc=docs[who], again=np.full(len(who), False))
+        own = np.flatnonzero(~copy)
+        # earlier places first
+        own = own[np.lexsort((places[own], docs[own]))]
+        for low in range(0, len(own), 1 << 15):
+            some = own[low : low + (1 << 15)]
+            table, has = np.zeros((len(some), wide + 1), np.int64), np.zeros((len(some), wide + 1), bool)
+            for j, rows_, hashes in _splits(keys[some], after[some], before[some]):
+                table[rows_, j], has[rows_, j] = hashes.view(np.int64), True
+                found, first, many = np.unique(hashes, return_index=True, return_counts=True)
+                first = some[rows_[first]]
+                yield _row(HEAD, len(found), doc_id=docs[first], pos=places[first], left=np.full(len(found), j), right=many, part=np.full(len(found), part), h=found.view(np.int64))
+            meets = np.flatnonzero(has.any(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(meets) + 1) * (wide + 1), pa.int32()), pa.array(table[meets].ravel(), mask=~has[meets].ravel()))
+            yield _row(MEETS, len(meets), doc_id=docs[some[meets]], pos=places[some[meets]], part=np.full(len(meets), part), hashes=lists)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -269,16 +306,27 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
         found, key = _matches(rows, size, least, reach)
         yield found
         # keys at the ends may go on in other partitions
-        yield from edge(rows.filter(pa.array((key == key[0]) | (key == key[-1]))))
-
-    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, len(whole), 1 << 13):
-                rows = whole.slice(low, 1 << 13)
-                grid = lambda c: np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(len(rows), -1)  # noqa: B023, E731
-                for j, own, hashes in _splits(np.asarray(rows.column(0)), grid(1), grid(2)):
-                    held = rows.take(pa.array(own))
-                    yield _batch(["h", "j", "doc_id", "pos"], [hashes.view(np.int64), np.full(len(own), j), held.column(3), held.column(4)], [pa.int64(), pa.int32(), pa.int64(), pa.int32()])
+        yield from edge(rows.filter(pa.array((key == key[0]) | (key == key[-1]))), TaskContext.get().partitionId())
+
+    def told(key: tuple, mine: pa.Table, firsts: pa.Table) -> pa.Table:
+        """The marks of a partition's suffixes that stand again, by the earliest place of each of their hashes."""
+        h = np.asarray(firsts.column("h").combine_chunks()) if len(firsts) else np.empty(0, np.int64)
+        cdoc, cpos = (np.asarray(firsts.column(c).combine_chunks()) if len(firsts) else np.empty(0, np.int64) for c in ("cdoc", "cpos"))
+        doc, pos = (np.asarray(mine.column(c).combine_chunks()) for c in ("doc_id", "pos"))
+        n = len(doc)
+        lists = mine.column("hashes").combine_chunks().flatten()
+        known = np.asarray(lists.is_valid()).reshape(n, wide + 1)
+        table = np.asarray(lists.fill_null(0)).reshape(n, wide + 1)
+        order = np.argsort(h, kind="stable")
+        h, cdoc, cpos = h[order], cdoc[order], cpos[order]
+        left, right, first = np.full(n, -1), np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+        for j in range(wide + 1 if len(h) else 0):
+            at = np.minimum(np.searchsorted(h, table[:, j]), len(h) - 1)
+            good = known[:, j] & (h[at] == table[:, j]) & ((doc != cdoc[at]) | (pos - cpos[at] >= least))
+            left[good], right[good] = j, np.maximum(right[good], wide - j)
+            first[good] = np.minimum(first[good], cdoc[at[good]])
+        some = np.flatnonzero(left >= 0)
+        return pa.table({"doc_id": pa.array(doc[some], pa.int64()), "pos": pa.array(pos[some], pa.int32()), "left": pa.array(left[some], pa.int32()), "right": pa.array(right[some], pa.int32()), "first_doc": pa.array(first[some], pa.int64()), "again": pa.array(np.full(len(some), True))})
 
     per_doc = some.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     ids = stored(some.select("doc_id").distinct(), "ids")
@@ -286,18 +334,20 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
     suffixes = chosen.join(per_doc, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts, _SUFFIX)
     order = ["key", "after", "before", "doc_id", "pos"]
     swept = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, _MARKS), "marks")
-    over = swept.where("after is not null").select(*order).distinct()
-    over = over.join(over.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select(*order).mapInArrow(divided, "h long, j int, doc_id long, pos int")
-    heads = stored(over.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("c"), F.count("*").alias("n")).where("n > 1").select("h", "c"), "heads")
-    met = over.join(F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads, "h").where(f"doc_id <> c.doc_id or pos - c.pos >= {least}")
-    both = F.array(*(F.struct(d.alias("doc_id"), p.alias("pos"), F.lit(again).alias("again")) for d, p, again in ((F.col("doc_id"), F.col("pos"), True), (F.col("c.doc_id"), F.col("c.pos"), False))))
-    met = met.select(F.explode(both).alias("at"), "j", F.col("c.doc_id").alias("first_doc")).groupBy("at.doc_id", "at.pos", "at.again")
-    met = met.agg(F.max("j").alias("left"), (wide - F.min("j")).cast("int").alias("right"), F.min("first_doc").alias("first_doc"))
-    met = stored(met.select("doc_id", "pos", "left", "right", "first_doc", "again"), "met")
-    copies = swept.where("key is not null and after is null")
-    sooner = met.where("again").select(F.col("doc_id").alias("first_doc"), F.col("pos").cast("long").alias("key"), F.col("first_doc").alias("sooner"))
-    copies = copies.join(sooner, ["first_doc", "key"], "left").select("doc_id", "pos", "left", "right", F.least("first_doc", "sooner").alias("first_doc"), "again")
-    return swept.where("key is null").select(*met.columns).unionByName(met).unionByName(copies)
+    plain = ["doc_id", "pos", "left", "right", "first_doc", "again"]
+    heads = swept.where(f"kind = {HEAD}").select("h", F.col("left").alias("j"), "right", "part", "doc_id", "pos")
+    groups = heads.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("c"), F.sum("right").alias("n"), F.max("j").alias("j")).where("n > 1")
+    groups = stored(groups.select("h", "j", F.col("c.doc_id").alias("cdoc"), F.col("c.pos").alias("cpos")), "heads")
+    # a hash is sent to each partition that has it once
+    firsts = heads.select("h", "part").distinct().join(groups, "h").select("part", "h", "cdoc", "cpos")
+    mine = swept.where(f"kind = {MEETS}").select(F.col("part").alias("own"), "doc_id", "pos", "hashes")
+    met = mine.groupBy("own").cogroup(firsts.groupBy("part")).applyInArrow(told, "doc_id long, pos int, left int, right int, first_doc long, again boolean")
+    met = stored(met, "met")
+    sooner = groups.groupBy(F.col("cdoc").alias("doc_id"), F.col("cpos").alias("pos")).agg(F.max("j").alias("left"), (wide - F.min("j")).cast("int").alias("right"))
+    sooner = sooner.select("doc_id", "pos", "left", "right", F.col("doc_id").alias("first_doc"), F.lit(False).alias("again"))
+    earlier = met.select(F.col("doc_id").alias("first_doc"), F.col("pos").cast("long").alias("h"), F.col("first_doc").alias("earlier"))
+    copies = swept.where(f"kind = {COPY}").join(earlier, ["first_doc", "h"], "left").select("doc_id", "pos", "left", "right", F.least("first_doc", "earlier").alias("first_doc"), "again")
+    return swept.where(f"kind = {MARK}").select(*plain).unionByName(met).unionByName(sooner).unionByName(copies)
 
 
 def _spans(rows: list[dict], size: int, keep: bool) -> list[tuple[int, int, int]]:
@@ -345,8 +395,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, size: int | None = None,
     first words, each also meets the earliest one that is equal in the j words before and the least - size - j after, for
     each j, so every match over least words counts however many there are. The sort key ends with doc_id and position, so
     a passage that a third of all documents share is spread over as many partitions as it needs; of suffixes whose first
-    words stand at a partition's ends, one of those alike in all words around them meets those of other partitions, by a
-    grouped minimum and a join on a hash of these words.
+    words stand at a partition's ends, one of those alike in all words around them is hashed for each j, the first of each
+    hash in its partition meets those of other partitions by a grouped minimum, and each partition is told the earliest
+    place of its hashes. In a text that goes on repeating itself, one suffix every least - size words is kept.
     """
     prepare(docs.sparkSession)
     size = size or max(1, least // 2)
