@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +81,8 @@ class CrossParser:
                     table[ord(form)] = k
         self.table, self.width = table, len(kept) + 2
         self.next = [self._transducer(samples[name]) for name in self.languages]
+        #: Bits that name a place in a language's sample: what one phrase says.
+        self.bits = np.array([math.log2(max(2, len(self.classes(samples[name])))) for name in self.languages])
 
     def classes(self, text: str) -> np.ndarray:
         """One class for each letter and one gap for each run of others."""
@@ -157,11 +160,13 @@ def language_id(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...]
 
     Input: doc_id and text; other columns are ignored. samples: text per language, as training_sample() gives it.
     Returns for each input row, repeated ones too: doc_id, lang_pred (the language whose automaton needs the fewest
-    phrases for the text; ties go to the first by name; 'und' for null texts and those without a letter, and without
-    samples), score (0 to 1: one less the ratio of the fewest phrases to the second fewest; 1 with a single language, 0
+    normalised phrases for the text; ties go to the first by name; 'und' for null texts and those without a letter, and
+    without samples), score (0 to 1: one less the ratio of the fewest to the second fewest; 1 with a single language, 0
     for 'und'), phrase_rate (phrases a character of the language chosen; null for 'und'),
     and the input's columns named in keep, which must not have those names. Case is ignored, and every run
-    of other characters than letters counts as one gap. Long texts are parsed in stretches of STRETCH characters, all of
+    of other characters than letters counts as one gap. A phrase counts as the logarithm of its sample's length, the bits
+    that name a place in it, since longer samples match longer phrases by chance alone; so the count over the text's
+    length is the cross-parsing entropy, and languages with little labelled text aren't put at a disadvantage. Long texts are parsed in stretches of STRETCH characters, all of
     them, so work is one table look-up a character and language, and memory a block of texts.
     """
     prepare(docs.sparkSession)
@@ -186,7 +191,8 @@ def language_id(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...]
                 sums = np.concatenate([[0], np.cumsum(parsed)])
                 letter = np.concatenate([[0], np.cumsum(found != GAP)])
                 codes, at2 = found[parsed], sums[at]
-                total = parser.phrases(codes, at2)
+                counts = parser.phrases(codes, at2)
+                total = counts * parser.bits
                 has = letter[at[1:]] > letter[at[:-1]]
                 best = np.argmin(total, 1)
                 fewest = total[np.arange(len(best)), best]
@@ -194,7 +200,7 @@ def language_id(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...]
                 where = low + np.flatnonzero(has)
                 names[where] = np.array(parser.languages, object)[best[has]]
                 score[where] = (1 - fewest / np.maximum(second, 1))[has]
-                rate[where] = (fewest / np.maximum(np.diff(at2), 1))[has]
+                rate[where] = (counts[np.arange(len(best)), best] / np.maximum(np.diff(at2), 1))[has]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64(), mask=np.isnan(rate)), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", "phrase_rate", *keep])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("_text"), *[docs[c] for c in keep])
