@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tabulon.llm.common import columns_of, components, prepare, stored
 
@@ -138,8 +139,8 @@ def _neighbours(names: np.ndarray, x: np.ndarray, window: int, cosine: float) ->
     return out
 
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("seam", pa.int64()), ("place", pa.int64()), ("pass", pa.int32()), ("v", pa.list_(pa.float32()))])
-_EDGES = "a long, b long, seam long, place long, pass int, v array<float>"
+def _edge(number: pa.DataType) -> pa.Schema:
+    return pa.schema([("a", pa.int64()), ("b", pa.int64()), ("seam", pa.int64()), ("place", pa.int64()), ("pass", pa.int32()), ("v", pa.list_(number))])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: list[int], rows: int = 1 << 16) -> Iterator[pa.Table]:
@@ -162,9 +163,9 @@ def _runs(batches: Iterator[pa.RecordBatch], key: list[int], rows: int = 1 << 16
         yield pa.Table.from_batches(held)
 
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+def _links(pairs: list[tuple[int, int]], kind: pa.Schema) -> pa.RecordBatch:
     n = len(pairs)
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), *(pa.nulls(n, f.type) for f in list(_EDGE)[2:])], schema=_EDGE)
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), *(pa.nulls(n, f.type) for f in list(kind)[2:])], schema=kind)
 
 
 def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 512, passes: int | None = None, recall: float = 0.995, seed: int = 7) -> DataFrame:
@@ -186,7 +187,10 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 512
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = columns_of(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"))
+    # components of a column of float32 stay such between steps; any other numbers are doubles
+    held = "float" if vectors.schema["embedding"].dataType.elementType == FloatType() else "double"
+    kind = _edge(pa.float32() if held == "float" else pa.float64())
+    rows = columns_of(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{held}>"))
     fine = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     rows = rows.withColumn("f1", F.when(F.expr(fine), F.xxhash64("embedding"))).withColumn("f2", F.when(F.col("f1").isNotNull(), F.xxhash64(F.lit(seed), "embedding")))
     usable = rows.where("f1 is not null").groupBy("vec_id", "f1", "f2").agg(F.first("embedding").alias("v"))
@@ -229,14 +233,14 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 512
             for low in range(0, n, 1 << 14):
                 high = min(n, low + (1 << 14) + window)
                 x = unit(matrix(raw.slice(low, high - low), d))
-                yield _links(_neighbours(names[low:high], x, window, cosine))
+                yield _links(_neighbours(names[low:high], x, window, cosine), kind)
             take = lambda a, b: [(names[k].item(), p, raw[k].as_py(), count + k) for k in range(a, b)]  # noqa: B023, E731
             if len(head) < window:
                 head += take(0, min(n, window - len(head)))
             tail = (tail + take(max(0, n - window), n))[-window:]
             count += n
         for seam, side in ((me - 1, head), (me, tail)):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in side], pa.int64()), pa.nulls(len(side), pa.int64()), pa.array([seam] * len(side), pa.int64()), pa.array([x[3] if seam == me else x[3] + (1 << 40) for x in side], pa.int64()), pa.array([x[1] for x in side], pa.int32()), pa.array([x[2] for x in side], pa.list_(pa.float32()))], schema=_EDGE)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in side], pa.int64()), pa.nulls(len(side), pa.int64()), pa.array([seam] * len(side), pa.int64()), pa.array([x[3] if seam == me else x[3] + (1 << 40) for x in side], pa.int64()), pa.array([x[1] for x in side], pa.int32()), pa.array([x[2] for x in side], kind.field("v").type)], schema=kind)
 
     def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, [0, 1, 2]):
@@ -245,9 +249,9 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, window: int = 512
             pairs = _neighbours(np.asarray(table.column(3).combine_chunks()), x, window, cosine)
             yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in pairs], pa.int64()), pa.array([q[1] for q in pairs], pa.int64())], names=["a", "b"])
 
-    coded = reps.select("rep", "v", "d").mapInArrow(project, "pass int, d int, code long, rep long, v array<float>")
+    coded = reps.select("rep", "v", "d").mapInArrow(project, f"pass int, d int, code long, rep long, v array<{held}>")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * window)))
-    swept = stored(coded.repartitionByRange(parts, "pass", "d", "code", "rep").sortWithinPartitions("pass", "d", "code", "rep").mapInArrow(sweep, _EDGES), "sweeps")
+    swept = stored(coded.repartitionByRange(parts, "pass", "d", "code", "rep").sortWithinPartitions("pass", "d", "code", "rep").mapInArrow(sweep, f"a long, b long, seam long, place long, pass int, v array<{held}>"), "sweeps")
     over = swept.where("seam is not null").select("seam", "pass", F.size("v").alias("d"), F.col("a").alias("rep"), "v", "place")
     over = over.repartition("seam", "pass", "d").sortWithinPartitions("seam", "pass", "d", "place").drop("place").mapInArrow(seams, "a long, b long")
     links = swept.where("seam is null").select("a", "b").unionByName(over)
