@@ -154,7 +154,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Input: doc_id (unique, integer) and text; other columns are ignored. Returns one row for each input row: doc_id,
     keep_id (the smallest doc_id with that text), group_size, kept (doc_id = keep_id), text_sha256. Null texts count as
     empty, and all empty texts form one group; an empty table gives an empty result; texts of any length are hashed
-    whole. A row with a null doc_id keeps its group but is never the one kept.
+    whole. A row with a null doc_id isn't counted and never the one kept: it has the keep_id and group_size of the documents
+    with its text, both null where there are none.
     """
     prepare(docs.sparkSession)
     rows = digests(columns_of(docs, "doc_id", "text"))
