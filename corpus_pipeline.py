@@ -18,8 +18,13 @@ def _retyped(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; rejects texts that are null or have no letter. A null lang becomes the one predicted."""
+    """Documents with a language; rejects texts that are null or have no letter. A null lang becomes the one predicted.
+
+    Where no document has a lang, there is nothing to learn from: texts with a letter stay, their lang null.
+    """
     samples = language_id.training_sample(docs, 64, 32_768, F.lit(False))
+    if not samples:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
     # the operator's own columns may have the names of extra ones
     held = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     known = language_id.language_id(docs.withColumnsRenamed(held), samples, keep=("text", *held.values())).where("lang_pred <> 'und'")
