@@ -122,6 +122,14 @@ def _row(kind: int, n: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if f.name not in own else own[f.name] if isinstance(own[f.name], pa.Array) else pa.array(own[f.name], f.type) for f in _MARK], schema=_MARK)
 
 
+def _grid(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix, without copying them."""
+    n = len(column)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, n + 1, column.offset * 4)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(n, -1)
+
+
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many leading words of two contexts are equal; the end of a text equals nothing."""
     x, y = (z.reshape(len(z), z.shape[1] // GRAIN, GRAIN) for z in (x, y))
@@ -175,10 +183,8 @@ def _matches(rows: pa.Table, size: int, least: int, reach: int) -> tuple[pa.Reco
     a pair that matches over least words, the later one (by doc_id, then position) stands again.
     """
     n = len(rows)
-    rows = rows.combine_chunks()
     key, doc, pos = (np.asarray(rows.column(c).combine_chunks()) if n else np.empty(0, np.int64) for c in (0, 3, 4))
-    grid = lambda c: np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(n, -1)
-    after, before = (grid(1), grid(2)) if n else (None, None)
+    after, before = (_grid(rows.column(c).combine_chunks()) for c in (1, 2)) if n else (None, None)
     order = np.lexsort((pos, doc))
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
@@ -271,7 +277,7 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
         """
         n, t = len(rows), rows.combine_chunks()
         key, after, before, doc, pos = (t.column(c).combine_chunks() for c in range(5))
-        after, before = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(n, -1) for x in (after, before))
+        after, before = _grid(after), _grid(before)
         keys, docs, places = (np.asarray(x) for x in (key, doc, pos))
         new = np.append(True, (keys[1:] != keys[:-1]) | (after[1:] != after[:-1]).any(1) | (before[1:] != before[:-1]).any(1))
         head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -302,7 +308,8 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
         held = [b for b in batches if len(b)]
         if not held:
             return
-        rows = pa.Table.from_batches(held)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
         found, key = _matches(rows, size, least, reach)
         yield found
         # keys at the ends may go on in other partitions
