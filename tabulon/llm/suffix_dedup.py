@@ -16,7 +16,7 @@ from tabulon.llm import textblocks as tb
 from tabulon.llm.common import columns_of, prepare, stored
 
 #: Bytes of a word's hash in the contexts that are compared.
-GRAIN = 4
+GRAIN = 3
 #: Ids of a broadcast relation at most; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -340,7 +340,9 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
     chosen = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     suffixes = chosen.join(per_doc, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts, _SUFFIX)
     order = ["key", "after", "before", "doc_id", "pos"]
-    swept = stored(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, _MARKS), "marks")
+    # more partitions than a shuffle has otherwise, as each is held in memory with its contexts
+    parts = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    swept = stored(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(sweep, _MARKS), "marks")
     plain = ["doc_id", "pos", "left", "right", "first_doc", "again"]
     heads = swept.where(f"kind = {HEAD}").select("h", F.col("left").alias("j"), "right", "part", "doc_id", "pos")
     groups = heads.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("c"), F.sum("right").alias("n"), F.max("j").alias("j")).where("n > 1")
