@@ -99,8 +99,7 @@ class Encoding:
             model = CountVectorizerModel.from_vocabulary(found["terms"], f"_words{k}", f"_counts{k}")
             df = model.transform(df.withColumn(f"_words{k}", F.coalesce(terms_of(x), F.array().cast("array<string>"))))
             raw = F.zip_with(vector_to_array(f"_counts{k}"), F.array(*map(F.lit, found["weights"])), lambda n, w: F.when(n > 0, (1 + F.ln(n)) * w).otherwise(0.0))
-            size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-            arrays.append(F.transform(raw, lambda v, size=size: F.coalesce(F.try_divide(v, size), F.lit(0.0))))
+            arrays.append(_unit(raw))
         return df, arrays
 
     def table(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -116,6 +115,12 @@ class Encoding:
         return df.select(*[F.col(f"`{c}`") for c in keep], array_to_vector(F.concat(own, *arrays) if arrays else own).alias(name))
 
 
+def _unit(weights: Column) -> Column:
+    """An array of numbers scaled to length 1; one of zeros stays as it is."""
+    size = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, v: s + v * v))
+    return F.transform(weights, lambda v: F.coalesce(F.try_divide(v, size), F.lit(0.0)))
+
+
 def terms_of(c: Column) -> Column:
     """The runs of two or more letters, digits or _ of a text, in lower case."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"(\b\w\w+\b)"), 1)

@@ -185,8 +185,7 @@ class Discriminant:
             # x'Ax expanded into a quadratic and a linear part of the row
             a, m = self.inverse[k], self.means[k]
             lin, const = a @ m, float(m @ a @ m)
-            quad = F.aggregate(F.sequence(F.lit(0), F.lit(len(m) - 1)), F.lit(0.0), lambda s, i, a=a: s + F.element_at("_x", i + 1) * F.aggregate(F.zip_with("_x", F.element_at(F.array(*[F.array(*map(F.lit, map(float, row))) for row in a]), i + 1), lambda u, v: u * v), F.lit(0.0), lambda s2, u: s2 + u))
-            dot = F.aggregate(F.zip_with("_x", F.array(*map(F.lit, map(float, lin))), lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
+            quad, dot = _quadratic(a), _dot(F.col("_x"), lin)
             scores.append(F.lit(float(self.prior[k] - self.logdet[k] / 2)) - 0.5 * (quad - 2 * dot + F.lit(const)))
         out = df.withColumn("_x", x).withColumn("_s", F.array(*scores))
         top = F.array_max("_s")
@@ -195,6 +194,16 @@ class Discriminant:
         return out.withColumn("probability", array_to_vector(p)).withColumn("prediction", (F.array_position("_s", top) - 1).cast("double")).drop("_x", "_s")
 
 
+def _dot(x, weights: np.ndarray):  # noqa: ANN001, ANN202
+    return F.aggregate(F.zip_with(x, F.array(*map(F.lit, map(float, weights))), lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
+
+
+def _quadratic(a: np.ndarray):  # noqa: ANN202
+    """x'Ax of the array _x."""
+    rows = F.array(*[F.col("_x")[i] * _dot(F.col("_x"), row) for i, row in enumerate(a)])
+    return F.aggregate(rows, F.lit(0.0), lambda s, u: s + u)
+
+
 class Baseline:
     """The mean, or the commonest class with the class shares as probabilities."""
 
