@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -58,6 +59,23 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df, stored, with its row number (rank, a long from 0) in the ascending order of columns, nulls first.
+
+    Rows are dealt by ranges, sorted in each and numbered there; a range begins at the number of rows in those before.
+    Rows that are equal in all of order are dealt by a running number, so that even a table of copies spreads out.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*order, "__at"]
+    dealt = df.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__at")
+    table = stored(dealt.withColumn("__id", F.monotonically_increasing_id()), name)
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = table.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    # a row for each range
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return table.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + at).drop("__part", "__before", "__id")
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components by alternating large and small stars.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, packing, sentencepieces, suffix_dedup, toxicity, url_filters
+from tabulon.llm import bestfit, embedding_dedup, exact_dedup, filter_audit, jaccard_join, language_id, line_dedup, manifest, packing, sentencepieces, suffix_dedup, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,11 +74,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), payload="crc32")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_packing, op3_exact_dedup, op4_sentencepiece, op5_line_dedup, op6_url_filters,
-        op7_suffix_dedup, op8_toxicity, op9_embedding_dedup, op10_jaccard_join,
+        op7_suffix_dedup, op8_toxicity, op9_embedding_dedup, op10_jaccard_join, op11_filter_audit, op12_bestfit_packing, op13_merkle_manifest,
     )
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op6_url_filters": url_filters.oracle()}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op6_url_filters": url_filters.oracle(), "op11_filter_audit": filter_audit.SQL, "op13_merkle_manifest": manifest.SQL}
