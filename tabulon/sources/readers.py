@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import lzma
 import re
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from tabulon.sources import delimited
+
 #: Extension to format; .gz and .bz2 are read by Spark itself, .zip and .xz are unpacked in executors.
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".tab": "tsv", ".txt": "txt", ".parquet": "parquet", ".pq": "parquet", ".feather": "feather", ".arrow": "feather", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".xlsx": "excel", ".xlsm": "excel", ".orc": "orc"}
 PACKED = (".gz", ".bz2", ".zip", ".xz")
@@ -38,102 +39,37 @@ def format_of(source: str) -> tuple[str, str]:
     return found, packing
 
 
-def head_bytes(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
-    """The beginning of a file wherever Spark can read it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.getFileStatus(where).isDirectory():
-        files = sorted(str(f.getPath()) for f in fs.listStatus(where) if not str(f.getPath().getName()).startswith(("_", ".")))
-        return head_bytes(spark, files[0], size) if files else b""
-    stream = fs.open(where)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
-    finally:
-        stream.close()
-
-
-def encoding_of(raw: bytes) -> str:
-    """UTF-8 (a byte order mark is left out by the reader), else Windows-1252, else Latin-1."""
-    try:
-        raw.decode("utf-8")
-        return "UTF-8"
-    except UnicodeDecodeError as e:
-        if len(raw) >= 65_536 and e.start >= len(raw) - 4:  # a character that the sample cuts
-            return "UTF-8"
-    try:
-        raw.decode("cp1252")
-        return "windows-1252"
-    except UnicodeDecodeError:
-        return "ISO-8859-1"
-
-
-def delimiter_of(raw: bytes, encoding: str) -> str:
-    try:
-        return csv.Sniffer().sniff(raw.decode(encoding, "replace"), delimiters=",;\t|").delimiter
-    except csv.Error:
-        return ","
-
-
-def broken_lines(raw: bytes, encoding: str) -> bool:
-    """Whether a quoted field of the first bytes holds a line break."""
-    rows = csv.reader(io.StringIO(raw.decode(encoding, "replace"), newline=""))
-    try:
-        return any("\n" in field or "\r" in field for row in rows for field in row)
-    except csv.Error:
-        return False
-
-
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multiline: bool | None = None) -> DataFrame:
-    """Delimited text with a header; the delimiter is sniffed if only one column results.
-
-    multiline: whether quoted fields hold line breaks, for which a file is read by one task; None: as its first bytes do.
-    """
-    raw = head_bytes(spark, path) if not path.endswith((".gz", ".bz2")) else b""
-    encoding = encoding_of(raw)
-    multiline = broken_lines(raw, encoding) if multiline is None else multiline
-
-    def read(sep: str) -> DataFrame:
-        reader = spark.read.option("header", True).option("inferSchema", True).option("multiLine", multiline).option("escape", '"').option("sep", sep)
-        if encoding == "windows-1252" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
-            # the charset isn't among those that readers take, and differs from Latin-1 in 27 code points
-            out = reader.option("encoding", "ISO-8859-1").csv(path)
-            marks = "".join(chr(k) for k in range(0x80, 0xA0) if bytes([k]).decode("cp1252", "ignore"))
-            return out.withColumns({c: F.translate(c, marks, "".join(bytes([ord(m)]).decode("cp1252") for m in marks)) for c, t in out.dtypes if t == "string"})
-        return reader.option("encoding", encoding).csv(path)
-
-    df = read(sep or ",")
-    if sep is None and len(df.columns) == 1:
-        sniffed = delimiter_of(raw, encoding) if raw else ","
-        df = read(sniffed) if sniffed != "," else df
-    return df
-
-
 def _unpacked(spark: SparkSession, path: str, packing: str, fmt: str) -> DataFrame:
-    """Lines of packed text files, unpacked where they are read; one task for each file, as neither kind can be split."""
+    """Tables in .zip and .xz files, unpacked where they are read; one task for each file, as neither kind can be split."""
 
     def lines(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for part in batches:
-            for raw in part["content"]:
+            for file, raw in zip(part["path"], part["content"], strict=True):
                 if packing == ".xz":
                     data = lzma.decompress(raw)
                 else:
                     with zipfile.ZipFile(io.BytesIO(raw)) as z:
                         data = z.read(z.namelist()[0])
-                yield pd.DataFrame({"value": data.decode("utf-8-sig").splitlines()})
+                yield pd.DataFrame({"file": file, "block": 0, "value": data.removesuffix(b"\n").split(b"\n")})
 
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string")
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, block long, value binary")
     if fmt in ("json", "jsonl"):
-        return spark.read.json(text.rdd.map(lambda r: r["value"])) if fmt == "jsonl" else spark.read.json(text.rdd.map(lambda r: r["value"]).glom().map("".join))
-    sep = "\t" if fmt == "tsv" else ","
-    return spark.read.option("header", True).option("inferSchema", True).option("sep", sep).csv(text.rdd.map(lambda r: r["value"]))
+        text = rows.select("file", F.decode("value", "UTF-8").alias("value")).withColumn("value", F.replace("value", F.lit("\ufeff")))
+        if fmt == "json":
+            text = text.groupBy("file").agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+        strings = getattr(text.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return DataFrame(spark._jsparkSession.read().json(strings), spark)
+    shown = rows.withColumn("value", F.col("value").cast("string"))
+    top = b"\n".join(bytes(r["value"]) for r in rows.limit(200).collect())[: delimited.HEAD]
+    sep = "\t" if fmt == "tsv" or fmt == "txt" and b"\t" in top[:4096] else delimited.delimiter_of(top)
+    return delimited.read_lines(shown, sep, delimited.facts(shown))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of records, or one record a line."""
-    first = head_bytes(spark, path, 64).lstrip(b"\xef\xbb\xbf \t\r\n") if not path.endswith((".gz", ".bz2")) else b"["
+    first = delimited.head_bytes(spark, path, 64).lstrip(b"\xef\xbb\xbf \t\r\n")
     return spark.read.option("multiLine", first.startswith(b"[")).json(path)
 
 
@@ -283,9 +219,9 @@ def load(spark: SparkSession, source: str | DataFrame, *, sheet: str | int | Non
         if packing in (".zip", ".xz"):
             df = _unpacked(spark, source, packing, fmt)
         elif fmt in ("csv", "txt"):
-            df = read_delimited(spark, source, "\t" if fmt == "txt" and b"\t" in head_bytes(spark, source, 4096) else None)
+            df = delimited.read_delimited(spark, source, "\t" if fmt == "txt" and b"\t" in delimited.head_bytes(spark, source, 4096) else None)
         elif fmt == "tsv":
-            df = read_delimited(spark, source, "\t")
+            df = delimited.read_delimited(spark, source, "\t")
         elif fmt == "json":
             df = read_json(spark, source)
         elif fmt == "jsonl":
