@@ -18,8 +18,10 @@ _OWN: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package by its path."""
+    """Let Python workers import this package by its path, and give memory back that they no longer need."""
     env = spark.sparkContext.environment
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "1")
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
