@@ -88,22 +88,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def neighbours(x: np.ndarray, y: np.ndarray, rng: np.random.Generator):  # noqa: ANN201
-    """The k nearest rows, weighted by closeness; k grows with the root of the sample."""
-    return "neighbours", {"x": x, "y": y, "k": int(np.clip(round(np.sqrt(len(x)) / 4), 3, 15))}
-
-
-def _near(x: np.ndarray, y: np.ndarray, k: int):  # noqa: ANN202
-    def score(z: np.ndarray) -> np.ndarray:
-        d = np.sqrt(_distances(z, x))
-        at = np.argpartition(d, min(k, len(x) - 1), axis=1)[:, :k]
-        near = np.take_along_axis(d, at, 1)
-        w = 1 / np.maximum(near, 1e-9)
-        return (w[:, :, None] * y[at]).sum(1) / w.sum(1)[:, None]
-
-    return score
-
-
 def _gaussian(gamma: float, x: np.ndarray, weights: np.ndarray, mean: np.ndarray):  # noqa: ANN202
     """Weighted Gaussian kernels around rows."""
     return lambda z: _shares(np.exp(-gamma * _distances(z, x)) @ weights + mean)
@@ -306,7 +290,7 @@ def _layers(ws: list, bs: list, m: np.ndarray, s: np.ndarray, scale: float, mean
     return score
 
 
-SCORES: dict[str, Callable] = {"neighbours": _near, "gaussian": _gaussian, "fourier": _waves, "plane": _plane, "stumps": _stumps, "network": _layers}
+SCORES: dict[str, Callable] = {"gaussian": _gaussian, "fourier": _waves, "plane": _plane, "stumps": _stumps, "network": _layers}
 
 
 def oversample(df: DataFrame, label: str = "label", features: str = "features", k: int = 5, reference: int = 2000, seed: int = 42) -> DataFrame:

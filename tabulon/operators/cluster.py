@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
@@ -11,6 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators.neighbours import nearest_rows, point
+from tabulon.sources.scratch import stored
+
 
 def relabelled(df: DataFrame, label: str = "prediction", name: str = "cluster") -> DataFrame:
     """df with cluster 0, 1, … from the largest group to the smallest (ties by label); negative labels are noise, -1."""
@@ -91,24 +92,18 @@ def choose(df: DataFrame, columns: list[str], row_id: str, ks: range, algorithms
     return best["model"], tried
 
 
-def assign_by_neighbours(new: DataFrame, known: DataFrame, columns: list[str], label: str, row_id: str, k: int = 5, reference: int = 5000, seed: int = 42) -> DataFrame:
-    """new with cluster: the commonest label of the k nearest of a bounded sample of known rows, in Arrow batches."""
-    ref = known.select(F.col(label).alias("l"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).orderBy(F.xxhash64(F.array(*columns), F.lit(seed)), "l").limit(reference).toPandas()
-    points, labels = np.array(ref["x"].tolist(), float).reshape(len(ref), len(columns)), ref["l"].to_numpy()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = part[columns].to_numpy(float)
-            out = []
-            for low in range(0, len(rows), 512):
-                d = ((rows[low : low + 512, None, :] - points[None]) ** 2).sum(2) if len(points) < 2000 else (points**2).sum(1)[None] - 2 * rows[low : low + 512] @ points.T
-                near = labels[np.argsort(d, axis=1, kind="stable")[:, :k]]
-                out += [int(pd.Series(r).mode().iloc[0]) for r in near]
-            yield part.assign(cluster=out)
-
-    from pyspark.sql.types import IntegerType, StructField, StructType
+def assign_by_neighbours(new: DataFrame, known: DataFrame, columns: list[str], label: str, row_id: str, k: int = 5) -> DataFrame:
+    """new with cluster: the commonest label of the k nearest of all known rows, ties to the smaller label.
 
-    return new.mapInPandas(run, StructType([*new.schema.fields, StructField("cluster", IntegerType())]))
+    Rows of new that are alike in columns are one query; what isn't a finite number counts as 0.
+    """
+    points = stored(known.select(F.monotonically_increasing_id().alias("id"), point(columns).alias("x"), F.col(label).cast("int").alias("l")), "known")
+    asked = stored(new.select(point(columns).alias("x")).distinct().withColumn("id", F.monotonically_increasing_id()), "asked")
+    near = nearest_rows(asked, "id", F.col("x"), len(columns), k, points=points)
+    votes = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.id").alias("other")).join(points.select(F.col("id").alias("other"), "l"), "other")
+    most = votes.groupBy("id", "l").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("l", F.struct("n", -F.col("l"))).alias("cluster"))
+    told = asked.join(most, "id").select(F.col("x").alias("_x"), "cluster")
+    return new.withColumn("_p", point(columns)).join(told, F.col("_p") == F.col("_x")).drop("_p", "_x")
 
 
 def describe_numeric(df: DataFrame, label: str, columns: list[str]) -> DataFrame:

@@ -1,22 +1,20 @@
-"""Forecasting: regular series, features of the past, backtests and recursive forecasts, one group of series at a time in parallel."""
+"""Forecasting: regular series, features of the past, backtests and recursive forecasts of all series in lockstep."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators import lockstep
+from tabulon.sources.scratch import stored
+
 #: Unit of a series: days a period, season in periods, interval text.
 UNITS = {"hour": (1 / 24, 24, "INTERVAL 1 HOUR"), "day": (1.0, 7, "INTERVAL 1 DAY"), "week": (7.0, 52, "INTERVAL 7 DAYS"), "month": (30.44, 12, "INTERVAL 1 MONTH"), "quarter": (91.3, 4, "INTERVAL 3 MONTHS"), "year": (365.25, 1, "INTERVAL 1 YEAR")}
-ALPHAS = tuple(10 ** (-3 + k / 2) for k in range(13))
 Z80 = 1.2816
 MAX_PERIODS = 10_000
-#: Groups, those of the longest history, by which one model for all is chosen.
-CHOOSING = 8
 HOLIDAY_INPUTS = ("is_holiday", "day_before", "day_after")
 #: Models that are compared, the simplest first.
 MODELS = ("last value", "last season", "ridge", "boosting", "forest")
@@ -44,6 +42,12 @@ def period(ts: Column, unit: str) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on keys, of which null is one like others."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left").drop(*[f"__{k}" for k in keys])
+
+
 def series(df: DataFrame, ts: str, y: str, group: list[str] = (), unit: str = "day", combine: str = "sum", inputs: list[str] = ()) -> DataFrame:
     """One row for each group and period from its first to its last: ts, y and inputs; missing periods are interpolated.
 
@@ -56,7 +60,7 @@ def series(df: DataFrame, ts: str, y: str, group: list[str] = (), unit: str = "d
     per = df.where(F.col(ts).isNotNull()).groupBy(*group, period(F.col(ts), unit).alias("ts")).agg(value.alias("y"), *[F.avg(F.col(c).cast("double")).alias(c) for c in inputs])
     known = per.where("y is not null").groupBy(*group).agg(F.min("ts").alias("_low"), F.max("ts").alias("_high"))
     spine = known.select(*group, F.explode(F.sequence("_low", "_high", F.expr(UNITS[unit][2]))).alias("ts"))
-    out = spine.join(per, [*group, "ts"], "left")
+    out = _matched(spine, per, [*group, "ts"])
     w = Window.partitionBy(*group).orderBy("ts")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     out = out.withColumn("t", F.row_number().over(w) - 1)
@@ -77,7 +81,7 @@ def newest(df: DataFrame, group: list[str], periods: int = MAX_PERIODS) -> DataF
 def plans(df: DataFrame, ts: str, y: str, group: list[str] = ()) -> DataFrame:
     """Rows after the last known y of their group."""
     last = df.where(F.col(y).isNotNull()).groupBy(*group).agg(F.max(ts).alias("_last"))
-    joined = df.join(last, list(group)) if group else df.crossJoin(F.broadcast(last))
+    joined = _matched(df, last, list(group)) if group else df.crossJoin(F.broadcast(last))
     return joined.where(F.col(ts) > F.col("_last")).drop("_last")
 
 
@@ -100,7 +104,7 @@ def planned(history: DataFrame, group: list[str], unit: str, horizon: int, input
     have = [c for c in inputs if future is not None and c in future.columns]
     if have:
         per = future.groupBy(*keys, period(F.col("ts"), unit).alias("ts")).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in have])
-        ahead = ahead.join(per, [*keys, "ts"], "left")
+        ahead = _matched(ahead, per, [*keys, "ts"])
         w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
         ahead = ahead.withColumns({c: F.last(c, True).over(w) for c in have})
     out = [F.coalesce(*([F.col(c)] if c in have else []), F.col(f"_{c}"), F.lit(0.0)).cast("double").alias(c) for c in inputs]
@@ -212,197 +216,63 @@ def holidays_within(df: DataFrame, dates: DataFrame, span: int) -> DataFrame:
     return out.withColumn("holidays", F.coalesce("holidays", F.lit(0)))
 
 
-# --- models of one group, in NumPy
-
-
-def _rows(y: np.ndarray, extra: np.ndarray, t: np.ndarray, r: Recipe, n: int) -> tuple[np.ndarray, np.ndarray]:
-    start = max([*r.lags, *r.windows])
-    at = np.arange(start, n)
-    sums = np.concatenate([[0.0], np.cumsum(y[:n])])
-    parts = [y[at - k] for k in r.lags] + [(sums[at] - sums[at - w]) / w for w in r.windows] + [t[at]]
-    return np.column_stack([*parts, extra[at]]), y[at]
-
-
-def ridge(x: np.ndarray, y: np.ndarray, alphas: tuple[float, ...] = ALPHAS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Weights, means, spreads and intercept; the penalty is the one with the least leave-one-out error."""
-    mean, std = x.mean(0), x.std(0)
-    std[std < 1e-12] = 1
-    z, m = (x - mean) / std, y.mean()
-    u, s, vt = np.linalg.svd(z, full_matrices=False)
-    uy, best = u.T @ (y - m), None
-    for a in alphas:
-        d = s**2 / (s**2 + a)
-        left = (y - m - u @ (d * uy)) / np.maximum(1 - (u**2) @ d - 1 / len(y), 1e-9)
-        loss = float((left**2).mean())
-        if best is None or loss < best[0]:
-            best = (loss, vt.T @ (s / (s**2 + a) * uy))
-    return best[1], mean, std, m
-
-
-def _calendar(ts: pd.DatetimeIndex, unit: str) -> np.ndarray:
-    day, month = np.eye(7)[ts.weekday], np.eye(12)[ts.month - 1]
-    cycle = 2 * np.pi * ts.dayofyear.to_numpy() / 365.25
-    year = np.column_stack([np.sin(cycle), np.cos(cycle)])
-    return {"hour": np.column_stack([np.eye(24)[ts.hour], day]), "day": np.column_stack([day, year]), "week": year, "month": month, "quarter": np.eye(4)[ts.quarter - 1], "year": np.zeros((len(ts), 0))}[unit]
-
-
-# trees of one group: columns as ranks of few cuts, splits by sums of what is to be explained
-
-
-def _binned(x: np.ndarray, bins: int = 32) -> tuple[np.ndarray, list[np.ndarray]]:
-    cuts = [np.unique(np.quantile(c, np.arange(1, bins) / bins)) for c in x.T]
-    return np.column_stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)]), cuts
-
-
-def _tree(codes: np.ndarray, y: np.ndarray, depth: int, least: int, share: float, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (column, code, left, right, value), the first the root; rows with a code up to the node's go left."""
-    nodes: list[tuple] = []
-
-    def grow(rows: np.ndarray, level: int) -> int:
-        at = len(nodes)
-        nodes.append((-1, 0, 0, 0, float(y[rows].mean())))
-        if level == depth or len(rows) < 2 * least:
-            return at
-        best = (1e-12, -1, 0)
-        columns = np.arange(codes.shape[1]) if share >= 1 else rng.permutation(codes.shape[1])[: max(1, round(share * codes.shape[1]))]
-        own = y[rows] - y[rows].mean()
-        for c in columns.tolist():
-            code = codes[rows, c]
-            n, total = np.cumsum(np.bincount(code)), np.cumsum(np.bincount(code, own))
-            fit = (n >= least) & (len(rows) - n >= least)
-            if fit.any():
-                gain = np.where(fit, total**2 / np.maximum(n, 1) + total**2 / np.maximum(len(rows) - n, 1), 0)
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), c, k)
-        if best[1] >= 0:
-            left = codes[rows, best[1]] <= best[2]
-            nodes[at] = (best[1], best[2], grow(rows[left], level + 1), grow(rows[~left], level + 1), nodes[at][4])
-        return at
-
-    grow(np.arange(len(y)), 0)
-    return nodes
-
-
-def _values(nodes: list[tuple], codes: np.ndarray) -> np.ndarray:
-    column, code, left, right, value = (np.array(v) for v in zip(*nodes, strict=True))
-    at = np.zeros(len(codes), int)
-    while (inner := column[at] >= 0).any():
-        go = codes[np.arange(len(codes)), np.maximum(column[at], 0)] <= code[at]
-        at = np.where(inner, np.where(go, left[at], right[at]), at)
-    return value[at]
-
-
-def forest(x: np.ndarray, y: np.ndarray, trees: int = 40, seed: int = 42):  # noqa: ANN201
-    """The mean of deep trees on rows drawn with replacement, a third of the columns at each split."""
-    rng = np.random.default_rng(seed)
-    codes, cuts = _binned(x)
-    grown = []
-    for _ in range(trees):
-        rows = rng.integers(0, len(y), len(y))
-        grown.append(_tree(codes[rows], y[rows], 10, 2, 1 / 3, rng))
-    return lambda q: np.mean([_values(t, _coded(q, cuts)) for t in grown], 0)
-
-
-def boosting(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.1, seed: int = 42):  # noqa: ANN201
-    """Shallow trees, each on what those before left unexplained."""
-    rng = np.random.default_rng(seed)
-    codes, cuts = _binned(x)
-    mean, grown = float(y.mean()), []
-    left = y - mean
-    for _ in range(rounds):
-        grown.append(_tree(codes, left, 4, 5, 1.0, rng))
-        left = left - rate * _values(grown[-1], codes)
-    return lambda q: mean + rate * np.sum([_values(t, _coded(q, cuts)) for t in grown], 0)
-
-
-def _coded(q: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    return np.column_stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, q.T, strict=True)])
-
-
-def _learned(name: str, x: np.ndarray, y: np.ndarray):  # noqa: ANN202
-    if name == "ridge":
-        w, mean, std, m = ridge(x, y)
-        return lambda q: m + (q - mean) / std @ w
-    return (forest if name == "forest" else boosting)(x, y)
-
-
-def _predict(name: str, y: np.ndarray, extra: np.ndarray, horizon: int, r: Recipe) -> np.ndarray:
-    """Forecasts of horizon periods, each made from those before; extra covers the history and the horizon.
-
-    Trees learn the change from the period before, as they can't go beyond what they have seen.
-    """
-    n = len(y)
-    if n < max([*r.lags, *r.windows], default=0) + 8 or not r.lags:
-        return np.full(horizon, y[-1])
-    t = np.arange(n + horizon, dtype=float)
-    x, target = _rows(y, extra, t, r, n)
-    change = name != "ridge"
-    model = _learned(name, x, target - y[n - len(target) - 1 : n - 1] if change else target)
-    path = np.concatenate([y, np.empty(horizon)])
-    for k in range(n, n + horizon):
-        row = np.concatenate([[path[k - j] for j in r.lags], [path[k - v : k].mean() for v in r.windows], [t[k]], extra[k]])
-        path[k] = model(row[None])[0] + (path[k - 1] if change else 0)
-    return path[n:]
-
-
-def _model(name: str, y: np.ndarray, extra: np.ndarray, horizon: int, unit: str) -> np.ndarray:
-    season = UNITS[unit][1]
-    if name == "last season" and len(y) >= season:
-        return np.array([y[len(y) - season + k % season] for k in range(horizon)])
-    if name in ("last value", "last season"):
-        return np.full(horizon, y[-1])
-    return _predict(name, y, extra, horizon, recipe(unit, len(y)))
-
-
-def _tested(n: int, horizon: int, folds: int) -> tuple[int, list[int]]:
-    """(periods that a backtest forecasts, where its histories end): of a short series a quarter of it at most."""
-    h = min(horizon, max(1, n // 4))
-    return h, [n - h * k for k in range(folds, 0, -1) if n - h * k >= 8]
+# --- models
 
 
 def _parts(df: DataFrame, group: list[str], inputs: list[str], future: DataFrame | None, unit: str, horizon: int) -> DataFrame:
     """The newest periods of each group and, marked, the inputs of those to come."""
-    known = newest(df, group).select(*group, "ts", "y", *[F.col(c).cast("double").alias(c) for c in inputs], F.lit(False).alias("_ahead"))
+    known = newest(df, group).select(*group, "ts", "y", *[F.col(c).cast("double").alias(c) for c in inputs], F.lit(False).alias("ahead"))
     ahead = planned(df, group, unit, horizon, inputs, future)
-    return known.unionByName(ahead.select(*group, "ts", F.lit(None).cast("double").alias("y"), *inputs, F.lit(True).alias("_ahead")))
+    return known.unionByName(ahead.select(*group, "ts", F.lit(None).cast("double").alias("y"), *inputs, F.lit(True).alias("ahead")))
 
 
-def _apply(rows: DataFrame, group: list[str], run, schema: str) -> DataFrame:  # noqa: ANN001
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in group)
-    if not group:
-        return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda part: run(part), schema)
-    return rows.groupBy(*group).applyInPandas(run, kinds + schema)
+@dataclass
+class _Told:
+    """Series made ready for models, and what the models of a backtest say of them."""
 
+    rows: DataFrame
+    state: DataFrame
+    shape: lockstep.Shape
+    learned: DataFrame
+    names: list[str]
 
-def _read(part: pd.DataFrame, inputs: list[str], unit: str) -> tuple[np.ndarray, pd.DatetimeIndex, np.ndarray]:
-    """(known values, dates of these and of the periods to come, calendar and inputs at all dates)."""
-    part = part.sort_values("ts")
-    ts = pd.DatetimeIndex(part["ts"])
-    y = part.loc[~part["_ahead"].to_numpy(bool), "y"].to_numpy(float)
-    return y, ts, np.column_stack([_calendar(ts, unit), part[list(inputs)].to_numpy(float).reshape(len(part), len(inputs))])
 
+def _ready(df: DataFrame, keys: list[str], unit: str, horizon: int, folds: int, inputs: list[str], future: DataFrame | None) -> _Told:
+    rows = stored(lockstep.prepared(_parts(df, keys, inputs, future, unit, horizon), keys, unit, inputs, horizon, folds), "series")
+    longest = rows.agg(F.max("n")).first()[0] or 0
+    r = recipe(unit, longest)
+    shape = lockstep.Shape(r.lags, r.windows, r.season)
+    names = [f"key_{k}" for k in range(len(keys))]
+    state = stored(lockstep.states(rows.withColumnsRenamed(dict(zip(keys, names, strict=True))), names, shape, horizon), "states")
+    return _Told(rows, state, shape, lockstep.learning(rows, shape), names)
 
-def backtest(df: DataFrame, group: list[str], unit: str, horizon: int, folds: int = 3, inputs: list[str] = (), models: tuple[str, ...] = MODELS) -> DataFrame:
-    """(group, model, fold, step, actual, predicted, naive): forecasts of the last periods from those before, fold 0 the newest.
 
-    df: as series() returns it. naive is the last value before the cut.
+def _tests(told: _Told, keys: list[str], horizon: int, models: list[str]) -> DataFrame:
+    """(sid, group, model, order, fold, step, actual, predicted, naive) of backtests; order is the model's place in MODELS.
+
+    Each model is fitted once, to what comes before the first of a series' cuts; every cut has its own history.
     """
-    keys, inputs = list(group), list(inputs)
+    state = told.state.where(F.col("cut") < F.col("n"))
+    known = told.learned.where(F.col("i") < F.col("first"))
+    out = None
+    for m in models:
+        path = lockstep.paths(m, state, known, told.shape, horizon)
+        path = path.select("sid", "cut", "path", F.lit(m).alias("model"), F.lit(MODELS.index(m)).alias("order"))
+        out = path if out is None else out.unionByName(path)
+    each = state.join(out, ["sid", "cut"]).select("*", F.posexplode("path").alias("k", "z")).where(F.col("k") < F.col("h"))
+    back = lambda z: F.col("m") + F.col("s") * z
+    fold = ((F.col("n") - F.col("cut")) / F.col("h") - 1).cast("int")
+    shown = [F.col(n).alias(k) for n, k in zip(told.names, keys, strict=True)]
+    return each.select(F.col("sid").alias("_sid"), *shown, "model", F.col("order").alias("_order"), fold.alias("fold"), (F.col("k") + 1).alias("step"), F.get("actual", "k").alias("actual"), back(F.col("z")).alias("predicted"), back(F.element_at("hist", -1)).alias("naive"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        y, _, extra = _read(part, inputs, unit)
-        h, cuts = _tested(len(y), horizon, folds)
-        out = []
-        for k, c in enumerate(cuts[::-1]):
-            for m in models:
-                out += [(m, k, s + 1, y[c + s], p, y[c - 1]) for s, p in enumerate(_model(m, y[:c], extra, h, unit).tolist())]
-        found = pd.DataFrame(out, columns=["model", "fold", "step", "actual", "predicted", "naive"])
-        for n, k in enumerate(keys):
-            found.insert(n, k, part[k].iloc[0])
-        return found
 
-    return _apply(_parts(df, keys, inputs, None, unit, 1), keys, run, "model string, fold int, step int, actual double, predicted double, naive double")
+def backtest(df: DataFrame, group: list[str], unit: str, horizon: int, folds: int = 3, inputs: list[str] = (), models: tuple[str, ...] = MODELS) -> DataFrame:
+    """(group, model, fold, step, actual, predicted, naive): forecasts of the last periods from those before, fold 0 the newest.
+
+    df: as series() returns it. naive is the last value before the cut. Models are fitted to what comes before the first cut.
+    """
+    told = _ready(df, list(group), unit, horizon, folds, list(inputs), None)
+    return _tests(told, list(group), horizon, list(models)).drop("_sid", "_order")
 
 
 def leaderboard(tests: DataFrame, group: list[str] = ()) -> DataFrame:
@@ -416,14 +286,11 @@ def leaderboard(tests: DataFrame, group: list[str] = ()) -> DataFrame:
 
 
 def choose(df: DataFrame, group: list[str], unit: str, horizon: int, folds: int = 3, inputs: list[str] = (), models: tuple[str, ...] = MODELS) -> tuple[str, list[dict]]:
-    """(model, leaderboard): the model with the least relative error over the CHOOSING groups of the longest history.
+    """(model, leaderboard): the model with the least relative error over all groups.
 
     Groups too short for a backtest have no say; without any, the last value is chosen.
     """
     keys = list(group)
-    if keys:
-        most = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.abs("y")).alias("_s")).orderBy(F.desc("_n"), F.desc("_s"), *keys).limit(CHOOSING).select(*keys)
-        df = df.join(F.broadcast(most), keys, "left_semi")
     board = [r.asDict() for r in leaderboard(backtest(df, keys, unit, horizon, folds, inputs, models), keys).collect()]
     return (board[0]["model"] if board else "last value"), board
 
@@ -433,33 +300,41 @@ def forecast(df: DataFrame, group: list[str], unit: str, horizon: int, folds: in
 
     df: as series() returns it, with inputs; future: planned values of inputs, as planned() takes them. Models (last value,
     last season, ridge, boosted trees and a forest on lags, trailing means, trend, calendar and inputs) are backtested on
-    folds cuts; the one with the least mean absolute error, or model if given, forecasts, with an 80% band from its own
-    step errors, which past the backtested steps grows with the root of the step. A series, of at most its newest
-    MAX_PERIODS periods, is one group in one task, since each step needs the one before; groups are worked on in parallel,
-    however many there are.
+    folds cuts; the one with the least mean absolute error of a group, or model if given, forecasts it, with an 80% band
+    from its own step errors, which past the backtested steps grows with the root of the step. Ridge is a line for each
+    series, trees of pyspark.ml learn from all series together, each in its own mean and spread, and series are forecast in
+    lockstep: a row is a series, and a batch of them takes one step after the other. A series counts with its newest MAX_PERIODS periods.
     """
     keys, inputs = list(group), list(inputs)
     if model is not None and model not in MODELS:
         raise ValueError(f"no model {model!r}; there are {', '.join(MODELS)}")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        y, ts, extra = _read(part, inputs, unit)
-        h, cuts = _tested(len(y), horizon, folds)
-        tried = [model] if model else list(models)
-        errs = {m: np.array([_model(m, y[:c], extra, h, unit) - y[c : c + h] for c in cuts]) for m in tried} if cuts else {}
-        # ties go to the simplest
-        best = min(tried, key=lambda m: np.abs(errs[m]).mean()) if cuts else model or "last value"
-        out = _model(best, y, extra, horizon, unit)
-        width = np.full(horizon, np.nan)
-        if cuts:
-            square = (errs[best] ** 2).mean(0)
-            pooled = [math.sqrt(square[max(0, k - 2) : k + 3].mean()) for k in range(h)]
-            width[:h] = Z80 * np.maximum.accumulate(pooled)
-            width[h:] = width[h - 1] * np.sqrt(np.arange(h + 1, horizon + 1) / h)
-        rows = {k: part[k].iloc[0] for k in keys}
-        return pd.DataFrame({**rows, "model": best, "ts": ts[len(y) :], "step": np.arange(1, horizon + 1), "forecast": out, "low": out - width, "high": out + width, "backtest_mae": np.abs(errs[best]).mean() if cuts else np.nan})
-
-    return _apply(_parts(df, keys, inputs, future, unit, horizon), keys, run, "model string, ts timestamp_ntz, step int, forecast double, low double, high double, backtest_mae double")
+    tried = sorted([model] if model else models, key=MODELS.index)
+    told = _ready(df, keys, unit, horizon, folds, inputs, future)
+    tests = stored(_tests(told, keys, horizon, tried), "tests")
+    e = F.col("predicted") - F.col("actual")
+    means = tests.groupBy("_sid", "model", "_order").agg(F.avg(F.abs(e)).alias("mae"))
+    # ties go to the simplest
+    best = stored(means.groupBy("_sid").agg(F.min(F.struct("mae", "_order", "model")).alias("b")).select("_sid", "b.mae", "b.model"), "best")
+    steps = tests.join(best, ["_sid", "model"]).groupBy("_sid", "step").agg(F.avg(e * e).alias("square"))
+    near, so_far = Window.partitionBy("_sid").orderBy("step").rangeBetween(-2, 2), Window.partitionBy("_sid").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    widths = steps.withColumn("pooled", F.sqrt(F.avg("square").over(near))).withColumn("width", Z80 * F.max("pooled").over(so_far))
+    widths = widths.groupBy("_sid").agg(F.sort_array(F.collect_list(F.struct("step", "width")))["width"].alias("widths"))
+    state = told.state.where(F.col("cut") == F.col("n"))
+    chosen = state.join(best.select(F.col("_sid").alias("sid"), "mae", F.col("model").alias("best")), "sid", "left").withColumn("best", F.coalesce("best", F.lit(model or "last value")))
+    used = [r["best"] for r in chosen.select("best").distinct().collect()]
+    out = None
+    for m in used:
+        own = chosen.where(F.col("best") == m)
+        path = own.join(lockstep.paths(m, own, told.learned, told.shape, horizon).drop("cut"), "sid")
+        out = path if out is None else out.unionByName(path)
+    if out is None:
+        out = chosen.withColumn("path", F.array().cast("array<double>"))
+    each = out.join(widths.withColumnRenamed("_sid", "sid"), "sid", "left").select("*", F.posexplode("path").alias("k", "z"))
+    tested = F.size("widths")
+    width = F.when(F.col("k") < tested, F.get("widths", "k")).otherwise(F.element_at("widths", -1) * F.sqrt((F.col("k") + 1) / tested)) * F.lit(1.0)
+    value = F.col("m") + F.col("s") * F.col("z")
+    shown = [F.col(n).alias(c) for n, c in zip(told.names, keys, strict=True)]
+    return each.select(*shown, F.col("best").alias("model"), F.get("dates", "k").alias("ts"), (F.col("k") + 1).alias("step"), value.alias("forecast"), (value - width).alias("low"), (value + width).alias("high"), F.col("mae").alias("backtest_mae"))
 
 
 @dataclass

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.sources.scratch import stored
@@ -176,3 +177,48 @@ def nearest_rows(df: DataFrame, row_id: str, x: Column, width: int, k: int, poin
     out = rows.join(by_point.withColumnRenamed("x", "__x"), F.col("x") == F.col("__x"))
     near = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k) if apart else F.col("near")
     return out.select(F.col("id").alias(row_id), near.alias("near"))
+
+
+class Nearest:
+    """A model of the k nearest training rows, weighted by closeness; k grows with the root of their number.
+
+    All training rows are kept, as a table, and searched exactly. Rows to be predicted that have the same features are one
+    query. A prediction is a weighted mean of numbers, or of class shares (probability); far from all rows it is their mean.
+    """
+
+    def __init__(self, classes: int) -> None:
+        self.classes, self.k, self.width = classes, 0, 0
+        self.points: DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> Nearest:
+        rows = df.select(F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
+        self.points = stored(rows, "nearest")
+        about = self.points.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("w")).first()
+        self.k, self.width = int(np.clip(round(np.sqrt(about["n"]) / 4), 3, 15)), about["w"] or 0
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        asked = stored(df.select(vector_to_array("features").alias("x")).distinct().withColumn("id", F.monotonically_increasing_id()), "asked")
+        near = nearest_rows(asked, "id", F.col("x"), self.width, self.k, points=self.points)
+        pairs = near.select("id", F.explode("near").alias("n")).select("id", (1 / F.greatest(F.col("n.d"), F.lit(1e-9))).alias("w"), F.col("n.id").alias("other"))
+        pairs = pairs.join(self.points.select(F.col("id").alias("other"), "label"), "other")
+        total = F.sum("w")
+        shares = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)) / total for c in range(self.classes)] or [F.sum(F.col("w") * F.col("label")) / total]
+        told = asked.join(pairs.groupBy("id").agg(F.array(*shares).alias("__p")), "id").select(F.col("x").alias("__x"), "__p")
+        out = df.withColumn("__f", vector_to_array("features")).join(told, F.col("__f") == F.col("__x")).drop("__f", "__x")
+        if not self.classes:
+            return out.withColumn("prediction", F.col("__p")[0]).drop("__p")
+        best = F.array_position("__p", F.array_max("__p")) - 1
+        return out.withColumn("prediction", best.cast("double")).withColumn("probability", array_to_vector("__p")).drop("__p")
+
+    def save(self, path: str) -> dict:
+        """Write the training rows to path; what JSON holds besides."""
+        self.points.write.mode("overwrite").parquet(path)
+        return {"classes": self.classes, "k": self.k, "width": self.width}
+
+    @classmethod
+    def restored(cls, state: dict, path: str) -> Nearest:
+        out = cls(state["classes"])
+        out.k, out.width = state["k"], state["width"]
+        out.points = SparkSession.active().read.schema("id long, x array<double>, label double").parquet(path)
+        return out

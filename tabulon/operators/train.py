@@ -25,6 +25,7 @@ from tabulon.functions.values import category, number
 from tabulon.operators import capped, drift
 from tabulon.operators.capped import Capped
 from tabulon.operators.encode import Encoding, fit_auto
+from tabulon.operators.neighbours import Nearest
 from tabulon.operators.profile import NUMERIC, kind_of_type
 from tabulon.operators.splits import folds
 from tabulon.sources.writers import plain
@@ -113,10 +114,10 @@ SPECS: dict[str, Spec] = {
         Spec("lasso", (REGRESSION,), lambda task, k: R.LinearRegression(regParam=0.01, elasticNetParam=1.0), grid={"regParam": [1e-3, 1e-2, 0.1]}),
         Spec("elasticnet", (REGRESSION,), lambda task, k: R.LinearRegression(regParam=0.01, elasticNetParam=0.5), grid={"elasticNetParam": [0.1, 0.5, 0.9]}),
         Spec("nb", (CLASSIFICATION,), lambda task, k: C.NaiveBayes(modelType="gaussian"), quick=True),
-        Spec("tree", BOTH, _both(lambda k: C.DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=2), lambda: R.DecisionTreeRegressor(maxDepth=8, minInstancesPerNode=2)), quick=True, grid={"maxDepth": [3, 5, 8, 12]}),
+        Spec("tree", BOTH, _both(lambda k: C.DecisionTreeClassifier(maxDepth=30, minInstancesPerNode=2), lambda: R.DecisionTreeRegressor(maxDepth=30, minInstancesPerNode=2)), quick=True, grid={"maxDepth": [3, 5, 8, 12, 30]}),
         Spec("rf", BOTH, _both(lambda k: C.RandomForestClassifier(numTrees=50, maxDepth=8), lambda: R.RandomForestRegressor(numTrees=50, maxDepth=8)), quick=True, grid={"numTrees": [20, 50, 100], "maxDepth": [5, 8, 12]}),
         Spec("extratrees", BOTH, _both(lambda k: C.RandomForestClassifier(numTrees=50, maxDepth=8, bootstrap=False, featureSubsetStrategy="sqrt"), lambda: R.RandomForestRegressor(numTrees=50, maxDepth=8, bootstrap=False, featureSubsetStrategy="onethird")), note="a forest without resampling stands in for random cuts"),
-        Spec("gbm", BOTH, _both(_one_vs_rest(lambda: C.GBTClassifier(maxIter=30)), lambda: R.GBTRegressor(maxIter=30)), cap=200_000, grid={"maxIter": [20, 50], "stepSize": [0.05, 0.1]}),
+        Spec("gbm", BOTH, _both(_one_vs_rest(lambda: C.GBTClassifier(maxIter=30)), lambda: R.GBTRegressor(maxIter=30)), grid={"maxIter": [20, 50], "stepSize": [0.05, 0.1]}),
         Spec("histgb", BOTH, _both(_one_vs_rest(lambda: C.GBTClassifier(maxIter=30, maxBins=64)), lambda: R.GBTRegressor(maxIter=30, maxBins=64)), quick=True),
         Spec("mlp", (CLASSIFICATION,), lambda task, k: C.MultilayerPerceptronClassifier(layers=[0, 64, 32, k]), grid={"maxIter": [50, 100]}),
         Spec("huber", (REGRESSION,), lambda task, k: R.LinearRegression(loss="huber")),
@@ -125,7 +126,7 @@ SPECS: dict[str, Spec] = {
         Spec("linear_svm", (CLASSIFICATION,), lambda task, k: _one_vs_rest(lambda: C.LinearSVC(regParam=1e-3))(k), tier="extra"),
         Spec("lda", (CLASSIFICATION,), lambda task, k: Discriminant(shared=True), quick=True),
         Spec("qda", (CLASSIFICATION,), lambda task, k: Discriminant(shared=False), tier="extra"),
-        Spec("knn", BOTH, lambda task, k: Capped(capped.neighbours, k, 5_000), cap=200_000, note="nearest of 5,000 reference rows"),
+        Spec("knn", BOTH, lambda task, k: Nearest(k)),
         Spec("svm", BOTH, lambda task, k: Capped(capped.fourier_machine, k, 20_000), cap=20_000, note="approximate: random Fourier features"),
         Spec("bayesian_ridge", (REGRESSION,), lambda task, k: Capped(capped.bayesian_ridge, 0, 20_000), quick=True, note="fitted on up to 20,000 rows"),
         Spec("adaboost", BOTH, lambda task, k: Capped(capped.boosted_stumps, k, 5_000), tier="extra", note="fitted on up to 5,000 rows"),
@@ -575,6 +576,8 @@ def _save_model(model: object, path: str) -> dict:
         about |= {"classes": model.classes, "parts": [_save_model(m, f"{path}/{n}") for n, m in enumerate(model.models)]}
         if isinstance(model, Stacked):
             about["top"] = _save_model(model.top, f"{path}/top")
+    elif isinstance(model, Nearest):
+        about["state"] = model.save(path)
     elif isinstance(model, Capped):
         about["state"] = model.state()
     elif isinstance(model, (Baseline, Discriminant)):
@@ -588,11 +591,13 @@ def _load_model(about: dict, path: str) -> object:
     import importlib
 
     module, name = about["class"].rsplit(".", 1)
-    own = {c.__name__: c for c in (Averaged, Stacked, Capped, Baseline, Discriminant)}
+    own = {c.__name__: c for c in (Averaged, Stacked, Capped, Nearest, Baseline, Discriminant)}
     if module.startswith("tabulon.") and name in own:
         if name in ("Averaged", "Stacked"):
             parts = [_load_model(a, f"{path}/{n}") for n, a in enumerate(about["parts"])]
             return Averaged(parts, about["classes"]) if name == "Averaged" else Stacked(parts, _load_model(about["top"], f"{path}/top"), about["classes"])
+        if name == "Nearest":
+            return Nearest.restored(about["state"], path)
         if name == "Capped":
             return Capped.restored(about["state"])
         model = own[name].__new__(own[name])

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import regression as R
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabulon import api
-from tabulon.operators import forecast
+from tabulon.operators import forecast, lockstep
 
 
 @pytest.fixture(scope="module")
@@ -83,15 +85,49 @@ def test_dates(spark):
     assert steps.asDict() == {"day": 30, "week": 4, "month": 2, "year": 0, "back": -2}
 
 
-def test_trees_of_one_group():
+def test_ridge_leaves_one_out():
     rng = np.random.default_rng(2)
-    x = rng.random((400, 4))
-    y = np.where(x[:, 1] > 0.5, 3.0, -1.0) + (x[:, 2] > 0.25)
-    for made in (forecast.boosting, forecast.forest):
-        assert np.abs(made(x, y)(x) - y).mean() < 0.35
-    # one split of one tree, by hand
-    codes = np.array([[0], [1], [2], [3]])
-    assert forecast._tree(codes, np.array([1.0, 1.0, 5.0, 5.0]), 1, 1, 1.0, rng) == [(0, 1, 1, 2, 3.0), (-1, 0, 0, 0, 1.0), (-1, 0, 0, 0, 5.0)]
+    x = rng.standard_normal((60, 3))
+    y = x @ [1.0, -2.0, 0.5] + 0.3 * rng.standard_normal(60) + 4
+    w, b = lockstep.ridge(x, y)
+    losses, fits = [], []
+    for a in lockstep.ALPHAS:
+        def solve(xs, ys, a=a):
+            m, s = x.mean(0), x.std(0)
+            z = np.column_stack([np.ones(len(xs)), (xs - m) / s])
+            c = np.linalg.solve(z.T @ z + np.diag([0, a, a, a]), z.T @ ys)
+            return c[1:] / s, c[0] - (m / s) @ c[1:]
+        fits.append(solve(x, y))
+        held = [solve(np.delete(x, k, 0), np.delete(y, k)) for k in range(60)]
+        losses.append(np.mean([(y[k] - x[k] @ v - c) ** 2 for k, (v, c) in enumerate(held)]))
+    best = fits[int(np.argmin(losses))]
+    assert np.allclose(w, best[0]) and np.isclose(b, best[1])
+
+
+def test_steps_are_appended(spark):
+    """A line that adds its first lag and mean, by hand; histories shorter than a lag begin with their first value."""
+    state = spark.sql("select 's' as sid, 5 as cut, array(1.0D, 2.0D, 4.0D) as hist, array(array(10.0D), array(20.0D)) as xs, array(0.5D, 0.1D, 1.0D, 0.0D, 0.01D) as w, 0.25D as b")
+    got = lockstep.roll(state, lockstep.Shape([1, 4], [2], 1), 2).first()["path"]
+    one = 0.25 + 0.5 * 4 + 0.1 * 1 + 3 + 0.1
+    assert np.allclose(got, [one, 0.25 + 0.5 * one + 0.1 * 1 + (4 + one) / 2 + 0.2])
+
+
+@pytest.mark.parametrize("kind", [lambda: R.GBTRegressor(maxIter=4, maxDepth=3, stepSize=0.3), lambda: R.RandomForestRegressor(numTrees=3, maxDepth=4)], ids=["boosting", "forest"])
+def test_trees_answer_as_their_model(spark, kind):
+    x = np.random.default_rng(3).random((300, 3))
+    df = spark.createDataFrame([(float(a + (b > 0.4) * c), Vectors.dense([a, b, c])) for a, b, c in x.tolist()], ["label", "features"])
+    fitted = kind().fit(df)
+    want = [r["prediction"] for r in fitted.transform(df).collect()]
+    assert np.allclose(lockstep._answers(lockstep.nodes_of(fitted), x), want)
+
+
+def test_long_horizons_and_null_groups(spark):
+    df = spark.sql("select timestamp_ntz '2023-01-01' + make_dt_interval(cast(id as int)) as day, g, 10.0 + id % 7 + coalesce(g, 0) * 100 as v from range(90), (values (1), (2), (null)) t(g)")
+    out = api.forecast(df, "day", "v", ["g"], "day", 40).toPandas()
+    assert len(out) == 120 and out["g"].isna().sum() == 40
+    for g, part in out.groupby("g", dropna=False):
+        truth = 10 + np.arange(90, 130) % 7 + (0 if g != g else g * 100)
+        assert np.abs(part.sort_values("step")["forecast"].to_numpy() - truth).max() < 1e-6
 
 
 def test_short_series(spark):
