@@ -80,7 +80,11 @@ def pronoun_hashes() -> np.ndarray:
 
 
 def learn_lexicon(words: Words, toxic: np.ndarray, kind: int, floor: int = 6, least: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that more toxic documents have than others, sorted, and the logarithm of how many times more."""
+    """Hashes that more toxic documents have than others, sorted, and the logarithm of how many times more.
+
+    A hash counts from floor toxic documents on, or from a tenth of them, three at least, where they are few.
+    """
+    floor = min(floor, max(3, int(toxic.sum()) // 10))
     pairs = np.unique(np.stack([words.hashes[kind], words.rows.astype(np.uint64)]), axis=1)
     found, which = np.unique(pairs[0], return_inverse=True)
     bad = np.bincount(which, toxic[pairs[1].astype(np.int64)], len(found))
@@ -230,11 +234,19 @@ class ToxicityModel:
         return np.clip(0.999 * step + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = 8000) -> ToxicityModel:
+def _part(words: Words, low: int, high: int) -> Words:
+    """The words of all rows but those from low to high, numbered anew."""
+    keep = (words.rows < low) | (words.rows >= high)
+    rows = words.rows[keep]
+    return Words(np.where(rows >= high, rows - (high - low), rows), [h[keep] for h in words.hashes], words.upper, words.hidden)
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = 8000, folds: int = 5) -> ToxicityModel:
     """Learn from the rows labelled documents with the smallest hash of doc_id that aren't held out: the bounded sample.
 
-    Two fifths of them give the lexicons, two fifths the trees and one fifth the calibration; null labels and texts are
-    left out. labels: doc_id and toxic (0 or 1).
+    Each row serves the lexicons, the trees and the calibration: a fold's features come from lexicons of the other folds,
+    its raw scores from trees of the other folds, and calibration sees those. The model's own lexicons and trees are of
+    all rows. Null labels and texts are left out. labels: doc_id and toxic (0 or 1).
     """
     known = labels.where(labels["toxic"].isNotNull() & ~F.coalesce(held_out, F.lit(True))).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(rows)
@@ -243,23 +255,30 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = 8000)
     order = np.random.default_rng(11).permutation(len(table))
     table = table.take(pa.array(order)).combine_chunks()
     y = np.asarray(table.column("toxic").combine_chunks(), np.float64) if len(table) else np.empty(0)
-    two, four = len(y) * 2 // 5, len(y) * 4 // 5
     column = table.column("text").combine_chunks().cast(pa.large_string()) if len(table) else pa.array([], pa.large_string())
     body, offsets, _ = tb.column_bytes(column)
     parts = [Words(np.empty(0, np.int64), [np.empty(0, np.uint64)] * KINDS, np.empty(0, bool), np.empty(0, bool))]
-    for low, high in tb.blocks(offsets[: two + 1]):
+    for low, high in tb.blocks(offsets):
         part = words_of(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         part.rows = part.rows + low
         parts.append(part)
     whole = Words(np.concatenate([p.rows for p in parts]), [np.concatenate([p.hashes[k] for p in parts]) for k in range(KINDS)], parts[0].upper, parts[0].hidden)
-    lexicons = [learn_lexicon(whole, y[:two], k) for k in range(KINDS)]
-    pronouns = pronoun_hashes()
-    made = [features(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lexicons, pronouns) for low, high in tb.blocks(offsets)]
-    x = np.concatenate(made) if made else np.zeros((0, FEATURES))
-    if four - two < 20 or len(set(y[two:four].tolist())) < 2:
+    lexicons = [learn_lexicon(whole, y, k) for k in range(KINDS)]
+    edges = [len(y) * f // folds for f in range(folds + 1)]
+    outside = [np.concatenate([y[:low], y[high:]]) for low, high in zip(edges, edges[1:], strict=False)]
+    if len(y) < 20 or any(len(set(part.tolist())) < 2 for part in outside):
         return ToxicityModel(lexicons, BoostedTrees(base=-9.0, cuts=[np.empty(0)] * FEATURES), (np.array([0.0]), np.array([float(y.mean()) if len(y) else 0.0])))
-    trees = BoostedTrees().fit(x[two:four], y[two:four])
-    return ToxicityModel(lexicons, trees, isotonic(trees.raw(x[four:]), y[four:]))
+    pronouns, x = pronoun_hashes(), np.zeros((len(y), FEATURES))
+    for (first, last), rest in zip(zip(edges, edges[1:], strict=False), outside, strict=True):
+        others = _part(whole, first, last)
+        own = [learn_lexicon(others, rest, k) for k in range(KINDS)]
+        at = offsets[first : last + 1]
+        for low, high in tb.blocks(at - at[0]):
+            x[first + low : first + high] = features(body[at[low] : at[high]], at[low : high + 1] - at[low], own, pronouns)
+    raw = np.zeros(len(y))
+    for (first, last), rest in zip(zip(edges, edges[1:], strict=False), outside, strict=True):
+        raw[first:last] = BoostedTrees().fit(np.concatenate([x[:first], x[last:]]), rest).raw(x[first:last])
+    return ToxicityModel(lexicons, BoostedTrees().fit(x, y), isotonic(raw, y))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
