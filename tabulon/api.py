@@ -227,26 +227,30 @@ def _anomalies(df: DataFrame, row_id: str, share: float, truth: DataFrame | None
     return plain.join(out, plain[row_id] == F.col("_i"), "left").drop("_i")
 
 
-def importance(df: DataFrame, target: str) -> DataFrame:
-    """Consensus of several methods on numeric columns."""
-    task = _train.infer_task(df, target)
-    df, found = _typed(df, (target,))
-    columns = found.get("numeric", [])
-    if not columns:
-        raise ValueError("there is no numeric column")
-    classes = task == _train.CLASSIFICATION
-    if classes:
-        parts = {"f": _importance.f_test(df, columns, target), "mi": _importance.mutual_information(df, columns, target), "chi2": _importance.chi_square(df, columns, target)}
-    else:
-        parts = {"f": _importance.f_regression(df, columns, target), "rank": _importance.rank_correlation(df, columns, target)}
-    parts["variance"] = _importance.variance(df, columns)
-    table = None
-    for name, p in parts.items():
-        p = p.withColumn("method", F.lit(name))
-        table = p if table is None else table.unionByName(p)
-    return _importance.consensus(table)
+def importance(df: DataFrame, target: str, methods: list[str] | None = None) -> DataFrame:
+    """Consensus of several methods (see operators.ranking.METHODS) on all columns: numbers, categories, dates and texts."""
+    from tabulon.operators import ranking
 
+    return _importance.consensus(ranking.scores(ranking.encoded(df, target), methods))
 
-def select(df: DataFrame, target: str, most: int) -> list[str]:
+
+def select(df: DataFrame, target: str, most: int, methods: list[str] | None = None) -> list[str]:
     """The most important columns."""
-    return [r["column"] for r in importance(df, target).orderBy("consensus_rank").limit(most).collect()]
+    return [r["column"] for r in importance(df, target, methods).orderBy("consensus_rank").limit(most).collect()]
+
+
+def columns_needed(df: DataFrame, target: str, methods: list[str] | None = None) -> tuple[list[dict], int]:
+    """(points, number): cross-validated scores of the first columns by importance, and how many of them are enough."""
+    from tabulon.operators import ranking
+
+    t = ranking.encoded(df, target)
+    ranked = [r["column"] for r in _importance.consensus(ranking.scores(t, methods)).orderBy("consensus_rank").collect()]
+    return _importance.columns_needed(ranked, ranking.scorer(t))
+
+
+def effects(model: _train.Trained, df: DataFrame, column: str) -> DataFrame:
+    """(value, mean): what a model answers on average when a column takes typical values; of classes, the share of the last one."""
+    said = F.col("predicted") if model.task == _train.REGRESSION else (F.col("predicted") == model.classes[-1]).cast("double")
+    answer = lambda d: model.predict(d).withColumn("prediction", said.cast("double"))
+    numeric = column in model.encoding.numeric and column not in model.encoding.formats
+    return (_importance.effect if numeric else _importance.category_effect)(df, column, answer)

@@ -45,8 +45,8 @@ def parser() -> argparse.ArgumentParser:
     add("evaluate", (("model",), {}), data, target)
     add("explain", (("model",), {}), data, row)
     add("drift", (("reference",), {}), (("new",), {}))
-    add("importance", data, target, *columns)
-    add("select", data, target, (("--top",), {"type": int, "default": 5}))
+    add("importance", data, target, *columns, (("--methods",), {"nargs": "*"}))
+    add("select", data, target, (("--top",), {"type": int, "default": 5}), (("--methods",), {"nargs": "*"}))
     add("cluster", data, (("output",), {}), row, (("--groups",), {"default": "auto"}))
     add("anomaly", data, (("output",), {}), row, (("--contamination",), {"default": "0.05"}))
     add("forecast", data, (("date",), {}), (("value",), {}), (("output",), {}), (("--group",), {"nargs": "*", "default": []}), (("--unit",), {}), (("--horizon",), {"type": int, "default": 14}), (("--inputs",), {"nargs": "*", "default": []}), (("--plans",), {"help": "a table of planned inputs"}), (("--holidays",), {"nargs": "*", "default": []}), (("--combine",), {"default": "sum"}), (("--save",), {"help": "keep the forecaster as JSON"}), (("--use",), {"help": "go on with a kept forecaster"}), (("--only",), {"nargs": "*", "help": "groups to forecast"}))
@@ -150,7 +150,7 @@ def main(argv: list[str] | None = None) -> int:
         save(fitted, str(folder / "model"))
         inputs = sorted({c for _, c in fitted.encoding.columns()})
         about = {"command": "train", "target": a.target, "task": fitted.task, "model": fitted.key, "metric": fitted.metric, "classes": fitted.classes, "threshold": fitted.threshold, "rows": df.count(), "inputs": inputs, "leaderboard": fitted.leaderboard, "skipped": fitted.skipped, "metrics": api.evaluate(fitted, df, a.target), "fingerprint": api.fingerprint(df), "kinds": _rows(api.kinds(df), 1000), "issues": _rows(api.profile(df, a.target)[1], 1000)}
-        about["importance"] = [{"column": c, "score": v} for c, v in api.sensitivity(fitted, df.limit(2_000), a.id).items()]
+        about["importance"] = [{"column": c, "score": v} for c, v in api.sensitivity(fitted, df, a.id).items()]
         if fitted.task == CLASSIFICATION:
             from tabulon.functions.metrics import confusion
 
@@ -172,9 +172,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "tune":
         _show(api.tune(df, a.target, a.id, a.model, a.metric, a.trials, a.folds))
     elif a.command == "importance":
-        _show(_rows(api.importance(df, a.target).orderBy("consensus_rank")))
+        _show(_rows(api.importance(df, a.target, a.methods).orderBy("consensus_rank")))
     elif a.command == "select":
-        print("\n".join(api.select(df, a.target, a.top)))
+        print("\n".join(api.select(df, a.target, a.top, a.methods)))
     elif a.command == "cluster":
         from tabulon.functions.values import parse_range
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.values import show_number
 from tabulon.operators.profile import unpivoted
 from tabulon.operators.quantiles import exact_quantiles, medians
+from tabulon.sources.scratch import stored
 
 
 def _long(df: DataFrame, columns: list[str], *others: Column) -> DataFrame:
@@ -31,7 +32,7 @@ def f_test(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     per = rows.groupBy("column", "y").agg(F.count("*").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("*")).alias("w"))
     whole = rows.groupBy("column").agg(F.avg("x").alias("a"))
     sums = per.join(F.broadcast(whole), "column").groupBy("column").agg(F.sum(F.col("n") * (F.col("m") - F.col("a")) ** 2).alias("b"), F.sum("w").alias("w"), F.count("*").alias("k"), F.sum("n").alias("n"))
-    return sums.select("column", (F.col("b") / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k")))).alias("score"))
+    return sums.select("column", (F.col("b") / (F.col("k") - 1) / F.greatest(F.col("w") / (F.col("n") - F.col("k")), 1e-12 * F.col("b"), F.lit(1e-300))).alias("score"))
 
 
 def f_regression(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -39,8 +40,8 @@ def f_regression(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     y = F.col(target).cast("double")
     out = []
     for c in columns:
-        r, n = F.corr(F.col(c).cast("double"), y), F.count(F.when(F.col(c).isNotNull() & y.isNotNull(), 1))
-        out.append((r * r / (1 - r * r) * (n - 2)).alias(f"{c}__score"))
+        r, n = F.coalesce(F.corr(F.col(c).cast("double"), y), F.lit(0.0)), F.count(F.when(F.col(c).isNotNull() & y.isNotNull(), 1))
+        out.append((r * r / F.greatest(1 - r * r, F.lit(1e-12)) * (n - 2)).alias(f"{c}__score"))
     return unpivoted(df.agg(*out), columns, ["score"])
 
 
@@ -55,12 +56,21 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranks, df[column] == F.col("_v"), "left").drop("_v")
 
 
-def rank_correlation(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(column, score): the absolute correlation of ranks with a numeric target."""
-    rows = average_ranks(df.select(target, *columns), target, "_ry")
-    for c in columns:
-        rows = average_ranks(rows, c, f"_r_{c}")
-    return unpivoted(rows.agg(*[F.abs(F.corr(f"_r_{c}", "_ry")).alias(f"{c}__score") for c in columns]), columns, ["score"])
+def _with_ranks(df: DataFrame, columns: list[str], plain: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with the ranks of columns, and the name of each; those of plain, of two values, are a line through them and stay.
+
+    Each column's ranks are joined to the table as written before, so that a wide table isn't one plan of as many joins.
+    """
+    names = {c: c if c in plain else f"_r_{c}" for c in columns}
+    for k, (c, name) in enumerate((c, n) for c, n in names.items() if n != c):
+        df = average_ranks(stored(df, "ranks") if k else df, c, name)
+    return df, names
+
+
+def rank_correlation(df: DataFrame, columns: list[str], target: str, plain: list[str] = ()) -> DataFrame:
+    """(column, score): the absolute correlation of ranks with a numeric target; columns of plain have two values."""
+    rows, names = _with_ranks(df.select(target, *columns), [target, *columns], list(plain))
+    return unpivoted(rows.agg(*[F.coalesce(F.abs(F.corr(names[c], names[target])), F.lit(0.0)).alias(f"{c}__score") for c in columns]), columns, ["score"])
 
 
 def chi_square(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -101,9 +111,10 @@ def consensus(scores: DataFrame, top: int = 5) -> DataFrame:
     """(column, mean_rank, consensus_rank, agreement, score) from (method, column, score) rows.
 
     A column that a method lacks scores 0 there; ranks share the smallest place; agreement is the share of methods with
-    the column among their top ones; the variance method has no vote.
+    the column among their top ones; the variance method has no vote, unless it is the only one.
     """
     votes = scores.where("method <> 'variance'")
+    votes = votes if not votes.isEmpty() else scores
     grid = votes.select("method").distinct().crossJoin(votes.select("column").distinct())
     full = grid.join(votes, ["method", "column"], "left").na.fill(0.0, ["score"])
     by = Window.partitionBy("method")
@@ -356,16 +367,14 @@ def spread_of_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     return value_shares(df, columns).groupBy("column").agg((1 - F.max("share")).alias("score"))
 
 
-def rank_correlation_of_classes(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(column, score): the largest absolute rank correlation with one class against the others."""
+def rank_correlation_of_classes(df: DataFrame, columns: list[str], target: str, plain: list[str] = ()) -> DataFrame:
+    """(column, score): the largest absolute rank correlation with one class against the others; columns of plain have two values."""
     classes = [r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().orderBy(target).limit(1001).collect()]
     if len(classes) > 1000:
         raise ValueError("the target has over 1000 classes")
     rows = df.where(F.col(target).isNotNull()).select(*columns, *[(F.col(target) == v).cast("double").alias(f"_is{k}") for k, v in enumerate(classes)])
-    for c in columns:
-        rows = average_ranks(rows, c, f"_r_{c}")
-    # ranks of a column of two values are a line through them, which leaves its correlation as it is
-    return unpivoted(rows.agg(*[F.greatest(*[F.coalesce(F.abs(F.corr(f"_r_{c}", f"_is{k}")), F.lit(0.0)) for k in range(len(classes))], F.lit(0.0)).alias(f"{c}__score") for c in columns]), columns, ["score"])
+    rows, names = _with_ranks(rows, columns, list(plain))
+    return unpivoted(rows.agg(*[F.greatest(*[F.coalesce(F.abs(F.corr(names[c], f"_is{k}")), F.lit(0.0)) for k in range(len(classes))], F.lit(0.0)).alias(f"{c}__score") for c in columns]), columns, ["score"])
 
 
 def back_to_columns(df: DataFrame, origin: dict[str, str]) -> DataFrame:

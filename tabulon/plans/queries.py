@@ -681,14 +681,26 @@ def importance_mutual_information(spark, sf_dir):  # noqa: ANN001, ANN201
     return importance.mutual_information(table(spark, sf_dir, "lineitem"), list(_COLS), "l_returnflag")
 
 
-_VOTES = [("a", "x", 3.0), ("a", "y", 1.0), ("a", "z", 2.0), ("b", "x", 0.5), ("b", "z", 0.5), ("variance", "y", 9.0)]
+# votes of three methods on the columns of lineitem
+_VOTES = f"""votes as (
+  select 'f' as method, "column", sum(n * (m - a) ** 2) / (count(*) - 1) / (sum(w) / (sum(n) - count(*))) as score from (select "column", y, count(*) as n, avg(x) as m, var_pop(x) * count(*) as w from ({_UNION}) group by 1, 2) join (select "column", avg(x) as a from ({_UNION}) group by 1) using ("column") group by 2
+  union all
+  select 'chi2', "column", sum((o - e) ** 2 / e) from (select *, n / sum(n) over (partition by "column") * sum(o) over (partition by "column") as e from (select "column", y, sum((x - lo) / (hi - lo)) as o, count(*) as n from ({_UNION}) join (select "column", min(x) as lo, max(x) as hi from ({_UNION}) group by 1) using ("column") group by 1, 2)) group by 2
+  union all
+  select 'variance', "column", var_samp(x) / (max(x) - min(x)) ** 2 from ({_UNION}) group by 2)"""
 
 
-@query(f"""with v(method, "column", score) as (values {', '.join(map(str, _VOTES))}), w as (select * from v where method <> 'variance'), g as (select m.method, c."column", coalesce(w.score, 0) as score from (select distinct method from w) m cross join (select distinct "column" from w) c left join w on w.method = m.method and w."column" = c."column"),
-r as (select *, rank() over (partition by method order by score desc) as r, score / max(score) over (partition by method) as part from g), o as (select "column", avg(r) as mean_rank, avg((r <= 2)::int) as agreement, avg(part) as score from r group by 1)
+@query(f"""with {_VOTES}, w as (select * from votes where method <> 'variance'),
+r as (select *, rank() over (partition by method order by score desc) as r, score / max(score) over (partition by method) as part from w), o as (select "column", avg(r) as mean_rank, avg((r <= 2)::int) as agreement, avg(part) as score from r group by 1)
 select "column", mean_rank, row_number() over (order by mean_rank, "column")::int as consensus_rank, agreement, score from o""", "mean_rank agreement score")
 def importance_consensus(spark, sf_dir):  # noqa: ANN001, ANN201
-    return importance.consensus(spark.createDataFrame(_VOTES, "method string, column string, score double"), top=2)
+    rows = table(spark, sf_dir, "lineitem")
+    found = {"f": importance.f_test(rows, list(_COLS), "l_returnflag"), "chi2": importance.chi_square(rows, list(_COLS), "l_returnflag"), "variance": importance.variance(rows, list(_COLS))}
+    votes = None
+    for name, part in found.items():
+        part = part.select(F.lit(name).alias("method"), "column", "score")
+        votes = part if votes is None else votes.unionByName(part)
+    return importance.consensus(votes, top=2)
 
 
 @query()
