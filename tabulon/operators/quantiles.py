@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a column's values for each doubling, and doublings, of the distance from its least value.
-PER_DOUBLING, DOUBLINGS = 512, 20
+from tabulon.sources.scratch import stored
+
+#: Ranges that a column's values are cut into.
+CUTS = 512
 
 
 def unpivot(df: DataFrame, named: dict[str, Column]) -> DataFrame:
@@ -26,36 +30,46 @@ def distinct_counts(df: DataFrame, named: dict[str, Column]) -> dict[str, int]:
     return {c: n.get(k, 0) for k, c in enumerate(named)}
 
 
-def _range_of(ends: dict[int, tuple[float, float]]) -> Column:
-    """The range that a value x of column k lies in: finer near the column's least value, and rising with x."""
-    out = F.lit(0)
-    for k, (low, high) in ends.items():
-        if high > low:
-            # halves, so that the width of a column of the largest numbers is finite
-            part = (F.col("x") / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
-            place = F.floor(F.log2(1 + part * (1 << DOUBLINGS)) * PER_DOUBLING).cast("int")
-            out = F.when(F.col("k") == k, place).otherwise(out)
-    last = PER_DOUBLING * (DOUBLINGS + 1)
-    return F.when(F.col("x") == float("-inf"), -1).when(F.col("x") == float("inf"), last).otherwise(out)
+def _near(cuts: list[float], share: float) -> tuple[float, float]:
+    """The values between which a quantile lies for certain enough: three cuts to either side of where it should be."""
+    at = math.floor(share * (len(cuts) + 1))
+    low, high = at - 3, at + 3
+    return (cuts[low] if low >= 0 else -math.inf), (cuts[high] if high < len(cuts) else math.inf)
 
 
 def exact_quantiles(df: DataFrame, named: dict[str, Column], shares: list[float]) -> dict[str, list[float] | None]:
     """Quantiles of numeric columns, interpolated between the two nearest values; None for a column without values.
 
-    NaN and null count for nothing. Three passes: least and largest values; counts of rows in a fixed number of ranges
-    of each column, which is all the driver gets; and the distinct values of those few ranges in which a quantile lies,
-    counted before they move and summed up range by range. A range that holds most rows costs its distinct values only.
+    NaN and null count for nothing. Two passes over df: approximate quantiles of all columns, which cut each into CUTS
+    ranges of about as many rows, whatever its values are; then the rows of each range are counted, and in ranges near a
+    wanted quantile those of each value. Partial sums are combined before they move, so a value that most rows share is
+    one row; the driver gets a count for each range. Should a quantile lie outside the ranges that were looked at, these
+    are counted in a further pass.
     """
     if not named:
         return {}
     named = {c: F.nanvl(x.cast("double"), F.lit(None).cast("double")) for c, x in named.items()}
-    finite = {c: F.when(F.abs(x) < float("inf"), x) for c, x in named.items()}
-    row = df.agg(*[f(x).alias(f"{f.__name__}_{k}") for k, x in enumerate(finite.values()) for f in (F.min, F.max)]).first()
-    ends = {k: (row[f"min_{k}"], row[f"max_{k}"]) for k in range(len(named)) if row[f"min_{k}"] is not None}
-    rows = unpivot(df, named).withColumn("b", _range_of(ends))
+    flat = df.select(*[x.alias(f"x{k}") for k, x in enumerate(named.values())])
+    rough = flat.agg(*[F.percentile_approx(f"x{k}", [j / CUTS for j in range(1, CUTS)], 20 * CUTS).alias(f"x{k}") for k in range(len(named))]).first()
+    cuts = {k: rough[f"x{k}"] for k in range(len(named)) if rough[f"x{k}"]}
+    if not cuts:
+        return dict.fromkeys(named)
+    splits = {k: [-math.inf, *sorted({v for v in q if abs(v) < math.inf}), math.inf] for k, q in cuts.items()}
+    bucket = Bucketizer(splitsArray=list(splits.values()), inputCols=[f"x{k}" for k in splits], outputCols=[f"b{k}" for k in splits], handleInvalid="keep")
+    parts = [F.struct(F.lit(k).alias("k"), F.col(f"b{k}").cast("int").alias("b"), F.col(f"x{k}").alias("x")) for k in splits]
+    rows = bucket.transform(flat).select(F.explode(F.array(*parts)).alias("r")).select("r.*").where("x is not null")
+    looked: dict[int, set[int]] = {}
+    for k, q in cuts.items():
+        for share in shares:
+            low, high = _near(q, share)
+            place = lambda v, s=splits[k]: min(bisect.bisect_right(s, v) - 1, len(s) - 2)
+            looked.setdefault(k, set()).update(range(place(low), place(high) + 1))
+    codes = [k * 2 * CUTS + b for k, some in looked.items() for b in sorted(some)]
+    shown = F.when((F.col("k") * 2 * CUTS + F.col("b")).isin(codes), F.col("x"))
+    told = stored(rows.groupBy("k", "b", shown.alias("x")).agg(F.count("*").alias("n")), "quantiles")
     counts: dict[int, dict[int, int]] = {}
-    for r in rows.groupBy("k", "b").count().collect():
-        counts.setdefault(r["k"], {})[r["b"]] = r["count"]
+    for r in told.groupBy("k", "b").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["k"], {})[r["b"]] = r["n"]
     wanted: dict[tuple[int, int, int], None] = {}
     places: dict[tuple[int, int], tuple] = {}
 
@@ -72,15 +86,16 @@ def exact_quantiles(df: DataFrame, named: dict[str, Column], shares: list[float]
             at = (n - 1) * share
             places[k, i] = locate(k, math.floor(at)), locate(k, math.ceil(at)), at % 1
             wanted |= dict.fromkeys(places[k, i][:2])
-    if not wanted:
-        return dict.fromkeys(named)
     spark = df.sparkSession
-    held = spark.createDataFrame(list({(k, b) for k, b, _ in wanted}), "k int, b int")
-    ranks = spark.createDataFrame(list(wanted), "k int, b int, rank long")
-    # as many ranges and ranks as quantiles are asked for, twice at most
-    some = rows.join(F.broadcast(held), ["k", "b"], "left_semi").groupBy("k", "b", "x").agg(F.count("*").alias("n"))
+    ranks = F.broadcast(spark.createDataFrame(list(wanted), "k int, b int, rank long"))
+    some = told
+    missed = {(k, b) for k, b, _ in wanted if b not in looked[k]}
+    if missed:
+        held = F.broadcast(spark.createDataFrame(list(missed), "k int, b int"))
+        some = told.join(held, ["k", "b"], "left_anti").unionByName(rows.join(held, ["k", "b"], "left_semi").groupBy("k", "b", "x").agg(F.count("*").alias("n")))
+    some = some.join(ranks.select("k", "b").distinct(), ["k", "b"], "left_semi")
     some = some.withColumn("upto", F.sum("n").over(Window.partitionBy("k", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    hits = some.join(F.broadcast(ranks), ["k", "b"]).where("rank < upto and rank >= upto - n").select("k", "b", "rank", "x").collect()
+    hits = some.join(ranks, ["k", "b"]).where("rank < upto and rank >= upto - n").select("k", "b", "rank", "x").collect()
     value = {(r["k"], r["b"], r["rank"]): r["x"] for r in hits}
 
     def between(low: tuple, high: tuple, part: float) -> float:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import quantiles, splits
+from tabulon.sources.scratch import stored
 
 
 def test_quantiles_against_numpy(spark):
@@ -38,6 +39,17 @@ def test_quantiles_of_odd_columns(spark):
     assert quantiles.distinct_counts(df, {"b": F.col("b"), "d": F.col("d")}) == {"b": 0, "d": 2} and quantiles.distinct_counts(df, {}) == {}
 
 
+def test_a_sentinel_does_not_fill_one_range(spark, monkeypatch):
+    """One value far out: ranges still hold few rows each, and an answer outside of those looked at is found in a further pass."""
+    df = spark.range(20_001).select(F.when(F.col("id") == 20_000, 1e18).otherwise(F.col("id").cast("double")).alias("x"))
+    kept = []
+    monkeypatch.setattr(quantiles, "stored", lambda t, name: kept.append(stored(t, name)) or kept[-1])
+    assert quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.5, 0.99]) == {"x": [10_000.0, 19_800.0]}
+    assert kept[0].where("x is not null").count() < 1000 and kept[0].groupBy("b").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] < 200
+    monkeypatch.setattr(quantiles, "_near", lambda cuts, share: (cuts[0], cuts[0]))
+    assert quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.5, 0.99]) == {"x": [10_000.0, 19_800.0]}
+
+
 def test_stratified_splits_of_a_hot_class(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") % 50 == 0, "rare").when(F.col("id") % 51 == 0, None).otherwise("hot").alias("y"))
     out = splits.holdout(df, "id", "y").collect()
