@@ -79,20 +79,53 @@ def pronoun_hashes() -> np.ndarray:
     return np.sort(tb.span_hashes(body, np.concatenate([[0], ends[:-1]]), ends))
 
 
-def learn_lexicon(words: Words, toxic: np.ndarray, kind: int, floor: int = 6, least: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that more toxic documents have than others, sorted, and the logarithm of how many times more.
+@dataclass
+class Seen:
+    """Which texts hold which words of one kind: distinct hashes, and for each word of a text the hash's number and the text's."""
 
-    A hash counts from floor toxic documents on, or from a tenth of them, three at least, where they are few.
-    """
-    floor = min(floor, max(3, int(toxic.sum()) // 10))
-    pairs = np.unique(np.stack([words.hashes[kind], words.rows.astype(np.uint64)]), axis=1)
-    found, which = np.unique(pairs[0], return_inverse=True)
-    bad = np.bincount(which, toxic[pairs[1].astype(np.int64)], len(found))
-    all_ = np.bincount(which, minlength=len(found))
-    rate = lambda x, n: (x + 0.5) / (n + 1)
-    score = np.log(rate(bad, toxic.sum())) - np.log(rate(all_ - bad, len(toxic) - toxic.sum()))
-    keep = (bad >= floor) & (score >= least)
-    return found[keep], score[keep]
+    found: np.ndarray
+    which: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Seen:
+        """parts: (hash, text) of blocks of texts, no text in two of them. They are used up."""
+        rows = np.concatenate([r for _, r in parts] or [np.empty(0, np.int32)])
+        hashes = np.concatenate([h for h, _ in parts] or [np.empty(0, np.uint64)])
+        parts.clear()
+        found, which = np.unique(hashes, return_inverse=True)
+        return cls(found, which.astype(np.int32), rows)
+
+    def lexicon(self, toxic: np.ndarray, low: int = 0, high: int = 0, floor: int = 6, least: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes that more toxic texts have than others, sorted, and the logarithm of how many times more; without texts low to high.
+
+        A hash counts from floor toxic texts on, or from a tenth of them, three at least, where they are few.
+        """
+        use = np.ones(len(toxic), bool)
+        use[low:high] = False
+        bad_texts = int(toxic[use].sum())
+        floor = min(floor, max(3, bad_texts // 10))
+        kept = use[self.rows]
+        which, rows = self.which[kept], self.rows[kept]
+        all_ = np.bincount(which, minlength=len(self.found))
+        bad = np.bincount(which, toxic[rows], len(self.found))
+        rate = lambda x, n: (x + 0.5) / (n + 1)
+        score = np.log(rate(bad, bad_texts)) - np.log(rate(all_ - bad, int(use.sum()) - bad_texts))
+        keep = (bad >= floor) & (score >= least)
+        return self.found[keep], score[keep]
+
+
+def _once(words: Words, kind: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of a block, each pair once; its first text's number is first."""
+    own, at = np.unique(words.hashes[kind], return_inverse=True)
+    width = int(words.rows.max(initial=0)) + 1
+    pairs = np.unique(at * width + words.rows)
+    return own[pairs // width], (pairs % width + first).astype(np.int32)
+
+
+def learn_lexicon(words: Words, toxic: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicon of one block of texts."""
+    return Seen.of([_once(words, kind)]).lexicon(toxic)
 
 
 def features(body: np.ndarray, offsets: np.ndarray, lexicons: list[tuple[np.ndarray, np.ndarray]], pronouns: np.ndarray) -> np.ndarray:
@@ -234,13 +267,6 @@ class ToxicityModel:
         return np.clip(0.999 * step + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
-def _part(words: Words, low: int, high: int) -> Words:
-    """The words of all rows but those from low to high, numbered anew."""
-    keep = (words.rows < low) | (words.rows >= high)
-    rows = words.rows[keep]
-    return Words(np.where(rows >= high, rows - (high - low), rows), [h[keep] for h in words.hashes], words.upper, words.hidden)
-
-
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = 8000, folds: int = 5) -> ToxicityModel:
     """Learn from the rows labelled documents with the smallest hash of doc_id that aren't held out: the bounded sample.
 
@@ -257,21 +283,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = 8000,
     y = np.asarray(table.column("toxic").combine_chunks(), np.float64) if len(table) else np.empty(0)
     column = table.column("text").combine_chunks().cast(pa.large_string()) if len(table) else pa.array([], pa.large_string())
     body, offsets, _ = tb.column_bytes(column)
-    parts = [Words(np.empty(0, np.int64), [np.empty(0, np.uint64)] * KINDS, np.empty(0, bool), np.empty(0, bool))]
+    del table
+    parts: list[list] = [[] for _ in range(KINDS)]
     for low, high in tb.blocks(offsets):
         part = words_of(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-        part.rows = part.rows + low
-        parts.append(part)
-    whole = Words(np.concatenate([p.rows for p in parts]), [np.concatenate([p.hashes[k] for p in parts]) for k in range(KINDS)], parts[0].upper, parts[0].hidden)
-    lexicons = [learn_lexicon(whole, y, k) for k in range(KINDS)]
+        for k in range(KINDS):
+            parts[k].append(_once(part, k, low))
+    seen = [Seen.of(p) for p in parts]
+    lexicons = [s.lexicon(y) for s in seen]
     edges = [len(y) * f // folds for f in range(folds + 1)]
     outside = [np.concatenate([y[:low], y[high:]]) for low, high in zip(edges, edges[1:], strict=False)]
     if len(y) < 20 or any(len(set(part.tolist())) < 2 for part in outside):
         return ToxicityModel(lexicons, BoostedTrees(base=-9.0, cuts=[np.empty(0)] * FEATURES), (np.array([0.0]), np.array([float(y.mean()) if len(y) else 0.0])))
     pronouns, x = pronoun_hashes(), np.zeros((len(y), FEATURES))
-    for (first, last), rest in zip(zip(edges, edges[1:], strict=False), outside, strict=True):
-        others = _part(whole, first, last)
-        own = [learn_lexicon(others, rest, k) for k in range(KINDS)]
+    for first, last in zip(edges, edges[1:], strict=False):
+        own = [s.lexicon(y, first, last) for s in seen]
         at = offsets[first : last + 1]
         for low, high in tb.blocks(at - at[0]):
             x[first + low : first + high] = features(body[at[low] : at[high]], at[low : high + 1] - at[low], own, pronouns)
