@@ -11,6 +11,8 @@ from tabulon.llm.common import columns_of, components, discard, stored
 SIGNED = "etaoinsrhldcumpg"
 #: Ids of a broadcast relation at most; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Steps of the search for what two lines begin or end with alike: up to 4,096 characters it is exact but for one.
+HALVINGS = 12
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -111,6 +113,32 @@ def within(one: str, two: str, edits: int) -> Column:
     return (off >= 0) & (off < band) & (F.call_function("shiftright", end, off.cast("int")).bitwiseAND(F.lit(1)) == 1)
 
 
+def _in_front(one: Column, two: Column, least: Column) -> Column:
+    """Characters that two strings begin with alike, or up to least / 2 ** HALVINGS (rounded up) fewer; least: the shorter length."""
+
+    def step(at: Column, j: Column) -> Column:
+        size = F.call_function("shiftright", least + F.call_function("shiftleft", F.lit(1), j) - 1, j)
+        return at + F.when((at + size <= least) & (F.substr(one, at + 1, size) == F.substr(two, at + 1, size)), size).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(j) for j in range(1, HALVINGS + 1)]), F.lit(0), step)
+
+
+def middles(pairs: DataFrame, edits: int) -> DataFrame:
+    """pairs (a, b, one, two) with what is left of one and two between what they begin and end with alike, behind a space.
+
+    Their distance is that of the whole strings. For one edit, all but a character is alike: where more is left than that
+    and what halving can miss, both are null.
+    """
+    rows = pairs.withColumn("least", F.least(F.length("one"), F.length("two")))
+    rows = rows.withColumn("front", _in_front(F.col("one"), F.col("two"), F.col("least")))
+    rows = rows.select("a", "b", "least", F.substr("one", F.col("front") + 1).alias("one"), F.substr("two", F.col("front") + 1).alias("two"), (F.col("least") - F.col("front")).alias("rest"))
+    rows = rows.withColumn("back", _in_front(F.reverse("one"), F.reverse("two"), F.col("rest")))
+    left = F.greatest(F.length("one"), F.length("two")) - F.col("back")
+    fine = left <= 1 + 2 * F.ceil(F.col("least") / (1 << HALVINGS)) if edits == 1 else F.lit(True)
+    cut = lambda c: F.when(fine, F.concat(F.lit(" "), F.substr(c, F.lit(1), F.length(c) - F.col("back")))).alias(c)
+    return rows.select("a", "b", cut("one"), cut("two"))
+
+
 def plausible(one: str, two: str, edits: int) -> Column:
     """Whether all but edits of 4 * (edits + 1) segments of one stand somewhere in two, as they do for strings within edits."""
     length, many = F.length(one), 4 * (edits + 1)
@@ -137,7 +165,8 @@ def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFr
     stand, for each length, finds candidates. The join itself leaves out pairs that their marks rule out: for one edit,
     what the shared segment leaves of a line is cut into halves, of which one must be unchanged as well; for more, the
     signatures of letter counts differ by no more than two bits an edit. A key that many lines share is split by adaptive
-    execution. Of the rest, pairs with too few finer segments in common go, and what is left is verified on whole lines.
+    execution. Of the rest, what both lines begin and end with alike is cut off, which changes no distance; pairs with too
+    few finer segments in common go, and what is left is verified.
     """
     rows = lines_of(columns_of(docs, "doc_id", "text"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "line")
@@ -154,8 +183,10 @@ def line_classes(docs: DataFrame, edits: int = 1, min_chars: int = 16) -> DataFr
     chosen = long.select("id", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     chosen = stored(chosen, "chosen")
     both = pairs.join(chosen.select(F.col("id").alias("a"), F.col("line").alias("one")), "a").join(chosen.select(F.col("id").alias("b"), F.col("line").alias("two")), "b")
-    links = stored(both.where(F.when(plausible("one", "two", edits), within("one", "two", edits)).otherwise(False)).select("a", "b"), "links")
-    for t in (chosen, ids, pairs):
+    between = stored(middles(both, edits), "middles")
+    links = between.where("one is not null").where(F.when(plausible("one", "two", edits), within("one", "two", edits)).otherwise(False))
+    links = stored(links.select("a", "b"), "links")
+    for t in (between, chosen, ids, pairs):
         discard(t)
     found = stored(components(links), "components")
     discard(links)

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import embedding_dedup, suffix_dedup
+from tabulon.llm import embedding_dedup, line_dedup, suffix_dedup
+from tabulon.llm.common import stored
 
 
 def test_embedding_recall_in_a_hot_cluster(spark):
@@ -100,3 +101,24 @@ def test_passages_against_all_windows(spark, least, parts):
     assert not kept & again
     often = {(i, at + k) for found in places.values() if len(found) > 1 for i, at in found for k in range(least)}
     assert kept <= often - again
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_lines_are_verified_between_common_ends(spark, edits):
+    rng = random.Random(7)
+    rows = []
+    for k in range(160):
+        one = "".join(rng.choice("abé ") for _ in range(rng.choice([16, 40, 700, 5000])))
+        two = list(one)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(two))
+            two[at : at + 1] = rng.choice([[], ["z"], [two[at], "z"], [two[at], two[at]]])
+        rows.append((k, k, one, "".join(two)))
+    pairs = spark.createDataFrame(rows, "a long, b long, one string, two string")
+    cut = stored(line_dedup.middles(pairs, edits), "middles")
+    found = {r["a"] for r in cut.where("one is not null").where(line_dedup.within("one", "two", edits)).collect()}
+    near = {r["a"] for r in pairs.where(F.levenshtein("one", "two") <= edits).collect()}
+    assert found == near and 0 < len(near) < 160
+    if edits == 1:
+        # what lies between two edits that are far apart isn't gone through
+        assert cut.agg(F.max(F.length("one"))).first()[0] <= 6
