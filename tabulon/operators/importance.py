@@ -17,6 +17,9 @@ from tabulon.operators.profile import unpivoted
 from tabulon.operators.quantiles import exact_quantiles, medians
 from tabulon.sources.scratch import stored
 
+#: Distinct values whose ranks are broadcast at most; beyond, the join shuffles.
+BROADCAST_VALUES = 1_000_000
+
 
 def _long(df: DataFrame, columns: list[str], *others: Column) -> DataFrame:
     return df.select(*others, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select(*[o for o in _names(others)], "r.*")
@@ -47,23 +50,24 @@ def f_regression(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the rank of column from 1, ties sharing their mean rank; ranks come from counts of distinct values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = stored(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")), "counts")
     cuts = sorted(set(counts.agg(F.percentile_approx("_v", F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1000).alias("c")).first()["c"] or []))
     counts = counts.withColumn("_b", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_v"))) if cuts else F.lit(0))
     before = counts.groupBy("_b").agg(F.sum("_n").alias("_t")).select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_low"))
     w = Window.partitionBy("_b").orderBy("_v")
     ranks = counts.join(F.broadcast(before), "_b").select("_v", (F.col("_low") + F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(name))
-    return df.join(ranks, df[column] == F.col("_v"), "left").drop("_v")
+    few = counts.count() <= BROADCAST_VALUES
+    return df.join(F.broadcast(ranks) if few else ranks, df[column] == F.col("_v"), "left").drop("_v")
 
 
 def _with_ranks(df: DataFrame, columns: list[str], plain: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """df with the ranks of columns, and the name of each; those of plain, of two values, are a line through them and stay.
 
-    Each column's ranks are joined to the table as written before, so that a wide table isn't one plan of as many joins.
+    After every eight columns the table is written, so that a wide one isn't one plan of as many joins.
     """
     names = {c: c if c in plain else f"_r_{c}" for c in columns}
     for k, (c, name) in enumerate((c, n) for c, n in names.items() if n != c):
-        df = average_ranks(stored(df, "ranks") if k else df, c, name)
+        df = average_ranks(stored(df, "ranks") if k and k % 8 == 0 else df, c, name)
     return df, names
 
 
@@ -130,10 +134,13 @@ def _vector(df: DataFrame, columns: list[str]) -> DataFrame:
 def redundancy(df: DataFrame, columns: list[str], least: float = 0.9) -> tuple[list[list[str]], list[tuple[str, str, float]], dict[str, float]]:
     """Groups and pairs of columns with a rank correlation of at least least, and variance inflation factors.
 
-    The correlation matrix, columns squared, is all that reaches the driver.
+    Nulls count as 0. Ranks come from counts of distinct values. The correlation matrix, columns squared, is all that
+    reaches the driver.
     """
-    m = Correlation.corr(_vector(df.select(*columns), columns), "features", "spearman").first()[0].toArray()
-    p = Correlation.corr(_vector(df.select(*columns), columns), "features", "pearson").first()[0].toArray()
+    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    ranked, names = _with_ranks(filled, columns, [])
+    both = Correlation.corr(_vector(ranked, [*columns, *names.values()]), "features", "pearson").first()[0].toArray()
+    p, m = both[: len(columns), : len(columns)], both[len(columns) :, len(columns) :]
     pairs = [(columns[i], columns[j], float(m[i, j])) for i, j in itertools.combinations(range(len(columns)), 2) if abs(m[i, j]) >= least]
     up = {c: c for c in columns}
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.operators import anomaly, forecast
+from tabulon.operators import anomaly, forecast, importance
 from tabulon.plans import queries
 
 
@@ -155,3 +155,15 @@ def test_fingerprint(spark, sf_dir):
     assert one == got(spark, sf_dir, "table_fingerprint")["fingerprint"][0] and len(one) == 16
     nation = queries.table(spark, sf_dir, "nation")
     assert queries.writers.fingerprint(nation.orderBy(F.desc("n_name")).repartition(3)) == one != queries.writers.fingerprint(nation.where("n_nationkey > 0"))
+
+
+def test_redundancy_ranks_by_counts_of_values(spark, monkeypatch):
+    methods = []
+    corr = importance.Correlation.corr
+    monkeypatch.setattr(importance.Correlation, "corr", staticmethod(lambda df, c, method: methods.append(method) or corr(df, c, method)))
+    df = spark.sql("select id % 7 as a, case when id % 5 > 0 then cast(id * id % 101 as double) end as b, exp(id % 7 + id % 3) as c from range(500)")
+    _, pairs, vif = importance.redundancy(df, ["a", "b", "c"], 0.0)
+    want = df.toPandas().fillna(0.0).rank().corr()
+    assert len(pairs) == 3 and all(abs(r - want.loc[a, b]) < 1e-9 for a, b, r in pairs)
+    # Spark's own Spearman numbers and sorts all rows of each column
+    assert methods == ["pearson"] and set(vif) == {"a", "b", "c"}
