@@ -104,7 +104,7 @@ def described(texts: DataFrame, k: int, percent: int, often: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        for batch in batches:
+        for batch in (whole.slice(low, 1024) for whole in batches for low in range(0, len(whole), 1024)):
             size, one, two, rare, cost, bulk, odd = [], [], [], [], [], [], []
             for _, found in shingle_sets(batch, 1, k):
                 n = len(found)
@@ -206,8 +206,8 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percen
     both, total = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
     near = near.select("a", "b", both.alias("i"), total.alias("u")).where(F.col("i") * (100 + percent) >= F.col("u") * percent)
     out = stored(near.select("a", "b").distinct(), "links")
-    discard(whole)
-    discard(ids)
+    for t in (whole, ids, pairs):
+        discard(t)
     return out
 
 
@@ -235,12 +235,15 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, limit: int |
     spark = docs.sparkSession
     prepare(spark)
     texts = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    about = stored(described(texts, k, percent, sketch(texts, k)), "sets")
+    about = stored(described(texts, k, percent, sketch(texts, k)).withColumn("row", F.monotonically_increasing_id()), "sets")
     same = ["n", "f1", "f2"]
     least = 100 // (100 - percent) - 1 if percent < 100 else 1 << 62
     # one representative of each set; the smallest sets can only equal each other
-    groups = about.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("rare", "doc_id").alias("rare"), F.min("cost").alias("cost"), F.min_by("bulk", "doc_id").alias("bulk"), F.min_by("odd", "doc_id").alias("odd"))
-    reps = stored(groups.drop("f1", "f2").where(F.col("n") >= least), "reps")
+    groups = about.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("one"))
+    groups = stored(groups.select(*same, F.col("one.doc_id").alias("rep"), F.col("one.row").alias("row")), "groups")
+    # summaries and tokens pass by a table of ids, which is all that is held or sorted
+    kept = groups.where(F.col("n") >= least).select("row", "rep").hint("shuffle_hash")
+    reps = stored(about.drop("doc_id", "f1", "f2").join(kept, "row").drop("row"), "reps")
     lists = postings(reps, percent, boundary(reps, percent) if limit is None else limit)
     heads = lists.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("head")).where("size > 1")
     shared = stored(lists.join(heads, "key"), "lists")
@@ -251,6 +254,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, limit: int |
     # members of one list in different components
     placed = shared.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "head", F.coalesce("component", "rep").alias("component"))
     placed = stored(placed, "lists")
+    discard(shared)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = placed.where("rep > head").join(mixed, "key").join(reps.select("rep", "odd"), "rep")
     left = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("odd").alias("oa"))

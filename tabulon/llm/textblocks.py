@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -41,7 +41,7 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     if len(_POWERS[0]) < n:
-        n = max(n, BLOCK + BLOCK // 4)
+        n = max(n + n // 4, BLOCK + BLOCK // 4)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             line = np.full(n, base, np.uint64)
             line[0] = 1
