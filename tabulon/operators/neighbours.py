@@ -14,6 +14,8 @@ from tabulon.sources.scratch import stored
 
 #: Distinct points that a cell is meant to hold, the most pivots, and queries that meet a cell in one task.
 CELL, PIVOTS, CHUNK = 1000, 4096, 8192
+#: Numbers in a table of distances: a task takes as many rows at once as fit, so its memory doesn't grow with pivots or cells.
+BLOCK = 1 << 18
 _FOUND = "key long, near array<struct<d: double, key: long>>"
 
 
@@ -38,17 +40,29 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def _at_once(columns: int, most: int) -> int:
+    return int(np.clip(BLOCK // max(1, columns), 1, most))
+
+
+def _lists(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Arrays of distances and keys as an Arrow column of lists of both."""
+    ends = np.concatenate([[0], np.cumsum([len(d) for d, _ in found])]).astype(np.int32)
+    d, e = (np.concatenate([*[x[k] for x in found], np.empty(0, t)]).astype(t) for k, t in enumerate((np.float64, np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(d), pa.array(e)], ["d", "key"]))
+
+
 def _closest(q: np.ndarray, own: np.ndarray, reach: np.ndarray, p: np.ndarray, keys: np.ndarray, k: int, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the distances and keys of up to k points within its reach, the nearest first, ties by key."""
     scale = float((p**2).sum(1).max()) if len(p) else 0.0
-    for low in range(0, len(q), 256):
-        part = q[low : low + 256]
+    some = _at_once(len(p), 256)
+    for low in range(0, len(q), some):
+        part = q[low : low + some]
         d = _squares(part, p)
         if apart:
-            d[own[low : low + 256, None] == keys[None]] = np.inf
+            d[own[low : low + some, None] == keys[None]] = np.inf
         slack = 1e-9 * (scale + (part**2).sum(1) + 1)  # products lose digits: candidates are measured anew
-        most = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1] if len(p) > k else np.inf, reach[low : low + 256] ** 2) + slack
-        for row, limit, x, far in zip(d, most, part, reach[low : low + 256], strict=True):
+        most = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1] if len(p) > k else np.inf, reach[low : low + some] ** 2) + slack
+        for row, limit, x, far in zip(d, most, part, reach[low : low + some], strict=True):
             at = np.flatnonzero(row <= limit)
             exact = np.sqrt(((p[at] - x) ** 2).sum(1))
             if apart:
@@ -77,8 +91,9 @@ class Cells:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low in range(0, len(batch), 4096):
-                    part = batch.slice(low, 4096)
+                some = _at_once(len(pivots), 4096)
+                for low in range(0, len(batch), some):
+                    part = batch.slice(low, some)
                     x = _matrix(part.column(1), width)
                     cell = _squares(x, pivots).argmin(1) if len(x) else np.zeros(0, np.int64)
                     to = np.sqrt(((x - pivots[cell]) ** 2).sum(1)) if len(x) else np.zeros(0)
@@ -98,8 +113,7 @@ class Cells:
             p, keys = _matrix(right.column("x"), width), right.column("key").to_numpy()
             own = left.column("key").to_numpy()
             found = list(_closest(_matrix(left.column("x"), width), own, left.column("reach").to_numpy(), p, keys, k, apart)) if len(p) and len(own) else []
-            near = [[{"d": float(a), "key": int(b)} for a, b in zip(d, e, strict=True)] for d, e in found]
-            return pa.table({"key": pa.array(own[: len(near)], pa.int64()), "near": pa.array(near, pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64())])))})
+            return pa.table({"key": pa.array(own[: len(found)], pa.int64()), "near": _lists(found)})
 
         return chunked.select("cell", "chunk", "key", "x", "reach").groupBy("cell", "chunk").cogroup(points.groupBy("cell", "chunk")).applyInArrow(run, _FOUND)
 
@@ -118,8 +132,9 @@ class Cells:
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low in range(0, len(batch), 1024):
-                    part = batch.slice(low, 1024)
+                some = _at_once(len(pivots), 1024)
+                for low in range(0, len(batch), some):
+                    part = batch.slice(low, some)
                     if not len(part):
                         continue
                     x, cell = _matrix(part.column(1), width), part.column(2).to_numpy()

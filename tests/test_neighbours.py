@@ -1,6 +1,7 @@
 """Nearest neighbours and what is built on them, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,25 @@ def test_lof_over_all_rows(spark):
     density = 1 / (np.maximum(dist, dist[:, -1][near]).mean(1) + 1e-10)
     assert np.allclose(got, density[near].mean(1) / density, rtol=1e-6)
     assert set(np.argsort(-got)[:3]) <= set(range(n - 20, n))
+
+
+def test_tables_of_distances_stay_small(monkeypatch):
+    """However many pivots there are, a task holds no more than BLOCK distances at once."""
+    sizes, squares = [], neighbours._squares
+    monkeypatch.setattr(neighbours, "_squares", lambda a, b: sizes.append(len(a) * len(b)) or squares(a, b))
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((5000, 2))
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x))], names=["key", "x"])
+            return pa.Table.from_batches(list(run([batch])))
+
+    cells = neighbours.Cells.__new__(neighbours.Cells)
+    cells.width, cells.pivots = 2, rng.standard_normal((neighbours.PIVOTS, 2))
+    got = cells._assigned(Rows())
+    assert max(sizes) <= neighbours.BLOCK and got.num_rows == 5000
+    assert got["cell"].to_pylist()[:200] == [int(((cells.pivots - v) ** 2).sum(1).argmin()) for v in x[:200]]
