@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,10 +17,40 @@ ROOT = str(Path(__file__).resolve().parents[2])
 SPACE = r"[\x20\x09-\x0D]+"
 #: Scratch folders of local sessions without spark.checkpoint.dir.
 _OWN: dict[str, str] = {}
+#: Rows of a batch at most, between Spark and a Python worker: both hold a batch whole, with its texts.
+BATCH = 2000
+#: The model that a worker holds, by its operator and what it was made from.
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The model under key, made if the worker doesn't hold it; a worker holds one, so those of operators before go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def lean(run: Callable) -> Callable:
+    """run over batches, after which the worker gives memory back: the allocator else keeps what a task has freed."""
+
+    @functools.wraps(run)
+    def task(*batches: Iterator) -> Iterator:
+        try:
+            yield from run(*batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return task
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package by its path, and give memory back that they no longer need."""
+    """Let Python workers import this package by its path, get batches of BATCH rows at most and give memory back that they no longer need."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH:
+        spark.conf.set(size, str(BATCH))
     env = spark.sparkContext.environment
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     env.setdefault("MALLOC_ARENA_MAX", "1")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textblocks as tb
-from tabulon.llm.common import columns_of, components, discard, prepare, stored
+from tabulon.llm.common import columns_of, components, discard, lean, prepare, stored
 
 #: Cells of the frequency sketch that orders shingles, and cells in one of its rows.
 CELLS, ROW = 1 << 20, 1 << 12
@@ -57,7 +57,7 @@ def sketch(texts: DataFrame, k: int) -> np.ndarray:
 
     out = np.zeros((CELLS // ROW, ROW), np.int64)
     kind = "line int, counts binary"
-    for r in texts.mapInArrow(count, kind).repartition("line").mapInArrow(add, kind).collect():
+    for r in texts.mapInArrow(lean(count), kind).repartition("line").mapInArrow(lean(add), kind).collect():
         out[r["line"]] = np.frombuffer(r["counts"], np.int64)
     return out.ravel()
 
@@ -120,7 +120,7 @@ def described(texts: DataFrame, k: int, percent: int, often: np.ndarray) -> Data
                 odd.append(parities(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(cost, pa.float64()), pa.array(bulk, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n", "f1", "f2", "rare", "cost", "bulk", "odd"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, rare array<long>, cost double, bulk binary, odd array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, n long, f1 long, f2 long, rare array<long>, cost double, bulk binary, odd array<long>")
 
 
 def boundary(reps: DataFrame, percent: int) -> int:
@@ -164,7 +164,7 @@ def postings(reps: DataFrame, percent: int, limit: int) -> DataFrame:
                     keys, reps, sizes = [], [], []
             yield _rows(keys, reps, sizes)
 
-    return reps.select("rep", "n", "rare").mapInArrow(run, "key long, rep long, n long")
+    return reps.select("rep", "n", "rare").mapInArrow(lean(run), "key long, rep long, n long")
 
 
 def _rows(keys: list, *numbers: list) -> pa.RecordBatch:
@@ -183,7 +183,7 @@ def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bulk").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
-    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percen
     pairs = stored(possible(pairs, reps, percent), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    whole = stored(texts.join(chosen, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, tokens array<long>"), "sets")
+    whole = stored(texts.join(chosen, "doc_id", "left_semi").mapInArrow(lean(sets), "doc_id long, tokens array<long>"), "sets")
     one = whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s"))
     two = whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t"))
     near = pairs.join(one, "a").join(two, "b")

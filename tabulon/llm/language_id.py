@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tabulon.llm import textblocks as tb
-from tabulon.llm.common import prepare
+from tabulon.llm.common import held, lean, prepare
 
 #: Classes of characters: 0 what isn't a letter, 1 a letter that training text lacks, then one for each letter it has.
 GAP, RARE, ALPHABET = 0, 1, 96
 #: Characters that are parsed at once from an empty match; a text is the sum of its stretches.
 STRETCH = 256
-_models: dict[tuple, CrossParser] = {}
 _letters: list[np.ndarray] = []
 
 
@@ -173,10 +172,7 @@ def language_id(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...]
     frozen = tuple(sorted(samples.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _models.get(frozen)
-        if parser is None and frozen:
-            _models.clear()
-            parser = _models[frozen] = CrossParser(dict(frozen))
+        parser = held(("language ID", frozen), lambda: CrossParser(dict(frozen))) if frozen else None
         for batch in batches:
             body, offsets, _ = tb.column_bytes(batch.column(1))
             rows = len(offsets) - 1
@@ -205,4 +201,4 @@ def language_id(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...]
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("_text"), *[docs[c] for c in keep])
     kind = StructType([*StructType.fromDDL("doc_id long, lang_pred string, score double, phrase_rate double").fields, *rows.schema.fields[2:]])
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(lean(run), kind)

@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textblocks as tb
-from tabulon.llm.common import columns_of, prepare, stored
+from tabulon.llm.common import columns_of, held, lean, prepare, stored
 from tabulon.llm.pretokens import Encoder
 
 _PIECE = "doc_id long, start long, length long, payload binary, doc_tokens long, sequence_id long, offset long, part long, tail boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("payload", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("tail", pa.bool_())])
-_encoders: dict[str, Encoder] = {}
 
 
 class Packer:
@@ -117,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, open_windows: int =
     digest = payload == "crc32"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = held(("packing", tokenizer), lambda: Encoder(tokenizer))
         out = _Output(TaskContext.get().partitionId(), 0, digest)
         packer = Packer(size, open_windows, out.window)
         stop = np.array([separator], np.uint32)
@@ -152,13 +151,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, open_windows: int =
 
         return run
 
-    done = stored(columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(first, _PIECE), "packed")
+    done = stored(columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(first), _PIECE), "packed")
     parts, level, result = (done.where("tail").agg(F.max("part")).first()[0] or 0) + 1, 0, done.where("not tail")
     tails = done.where("tail")
     while parts > 1:
         level += 1
         groups = tails.repartition(max(1, -(-parts // fan_in)), F.floor(F.col("part") / fan_in)).sortWithinPartitions("part", "offset")
-        merged = stored(groups.mapInArrow(merge(level), _PIECE), "packed")
+        merged = stored(groups.mapInArrow(lean(merge(level)), _PIECE), "packed")
         result = result.unionByName(merged.where("not tail"))
         tails, parts = merged.where("tail"), -(-parts // fan_in)
     if digest:

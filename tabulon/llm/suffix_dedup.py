@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textblocks as tb
-from tabulon.llm.common import columns_of, prepare, stored
+from tabulon.llm.common import columns_of, lean, prepare, stored
 
 #: Bytes of a word's hash in the contexts that are compared.
 GRAIN = 3
@@ -83,7 +83,7 @@ def anchors(texts: DataFrame, size: int, window: int) -> DataFrame:
                 places.append(at)
             yield _batch(["key", "doc_id", "pos"], [np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(places)], [pa.int64(), pa.int64(), pa.int32()])
 
-    return texts.mapInArrow(run, "key long, doc_id long, pos int")
+    return texts.mapInArrow(lean(run), "key long, doc_id long, pos int")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def repeated(found: DataFrame) -> DataFrame:
         if held is not None:
             yield held
 
-    return found.repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(run, "key long, doc_id long, pos int")
+    return found.repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(lean(run), "key long, doc_id long, pos int")
 
 
 _SUFFIX = "key long, after binary, before binary, doc_id long, pos int"
@@ -338,11 +338,11 @@ def marks(texts: DataFrame, some: DataFrame, size: int, least: int, reach: int)
     per_doc = some.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     ids = stored(some.select("doc_id").distinct(), "ids")
     chosen = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    suffixes = chosen.join(per_doc, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts, _SUFFIX)
+    suffixes = chosen.join(per_doc, "doc_id").select("doc_id", "text", "places").mapInArrow(lean(contexts), _SUFFIX)
     order = ["key", "after", "before", "doc_id", "pos"]
     # more partitions than a shuffle has otherwise, as each is held in memory with its contexts
     parts = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    swept = stored(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(sweep, _MARKS), "marks")
+    swept = stored(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(sweep), _MARKS), "marks")
     plain = ["doc_id", "pos", "left", "right", "first_doc", "again"]
     heads = swept.where(f"kind = {HEAD}").select("h", F.col("left").alias("j"), "right", "part", "doc_id", "pos")
     groups = heads.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("c"), F.sum("right").alias("n"), F.max("j").alias("j")).where("n > 1")
@@ -425,7 +425,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, size: int | None = None,
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield _batch(["doc_id", "start_word", "n_words", "first_doc_id", "kept"], columns, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
 
-    return placed.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")).mapInArrow(unite, "doc_id long, start_word long, n_words long, first_doc_id long, kept boolean")
+    return placed.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")).mapInArrow(lean(unite), "doc_id long, start_word long, n_words long, first_doc_id long, kept boolean")
 
 
 def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -459,6 +459,6 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return touched.mapInArrow(cut, docs.schema).unionByName(others)
+    return touched.mapInArrow(lean(cut), docs.schema).unionByName(others)
 
 

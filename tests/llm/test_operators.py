@@ -7,13 +7,15 @@ import hashlib
 import itertools
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, packing, pretokens, queries, sentencepieces, suffix_dedup, toxicity, url_filters
+from tabulon.llm import common, embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, packing, pretokens, queries, sentencepieces, suffix_dedup, toxicity, url_filters
 from tabulon.llm import textblocks as tb
 from tabulon.llm.common import components
 
@@ -59,6 +61,31 @@ def test_components(spark):
 # --- 1 language ID
 
 
+def test_workers_get_small_batches_and_give_memory_back(spark):
+    common.prepare(spark)
+    sizes = spark.range(0, 9000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"]) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 9000 and max(r["n"] for r in sizes) <= common.BATCH
+    mb = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    kept = []
+
+    def run(batches):
+        for n in batches:
+            x = [bytearray(20_000) for _ in range(n)]
+            kept.append(x[-1])
+            yield mb()
+
+    before = mb()
+    (most,) = common.lean(run)(iter([10_000]))
+    assert most - before > 150 and mb() - before < 60
+
+
+def test_a_worker_holds_one_model():
+    made = []
+    ask = lambda *key: common.held(key, lambda: made.append(weakref.ref(x := set(key))) or x)
+    assert ask("a", 1) is ask("a", 1) and len(made) == 1
+    assert ask("b", 1) == {"b", 1} and made[0]() is None and made[1]() is not None
+
+
 def test_cross_parsing_counts_greedy_phrases():
     sample = "the cat sat on the mat and the dog"
     parser = language_id.CrossParser({"x": sample})
