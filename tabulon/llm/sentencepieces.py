@@ -21,6 +21,8 @@ MARK = "▁"
 CACHE, PAIRS = 200_000, 600_000
 #: Characters of new units that are indexed at once.
 INDEXED = 1 << 18
+#: Bytes of text whose new units are indexed together: each index is searched for all pieces, so smaller blocks cost more.
+BLOCK = 1 << 21
 _models: dict[str, Pieces] = {}
 
 
@@ -90,6 +92,7 @@ class Pieces:
         self.width = max([4, *(len(n) for n, _ in self.known)])
         self.width += -self.width % 4
         self.lengths = np.array([len(n) for n, _ in self.known], np.int64)
+        self.ids = np.array([i for _, i in self.known], np.int64)
         classes = np.zeros((len(self.known), self.width), np.uint16)
         for k, (name, _) in enumerate(self.known):
             classes[k, : len(name)] = [self.class_of[c] for c in name]
@@ -97,6 +100,8 @@ class Pieces:
         self.high = self._keys(np.where(classes == 0, np.uint16(0xFFFF), classes))
         self.fits: dict[int, bool] = {}
         self.cache: dict[int, list[int]] = {}
+        self.body = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.edges = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
 
     @staticmethod
     def _keys(classes: np.ndarray) -> np.ndarray:
@@ -191,14 +196,20 @@ class Pieces:
                 last[end[head[good]]] = piece[head[good]]
                 group = np.cumsum(first) - 1
                 todo = todo[~first & ~good[group]]
-        out = []
-        for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            ids, at = [], s + n
-            while at > s:
-                name, i = self.known[last[at]]
-                ids += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(name.encode())]
-                at -= len(name)
-            out.append(ids[::-1])
+        # back from the ends of all units at once; a unit's pieces come last one first
+        at, unit, found, of = starts + sizes, np.arange(len(units)), [], []
+        while len(unit):
+            ends = last[at]
+            found.append(ends)
+            of.append(unit)
+            at = at - self.lengths[ends]
+            unit, at = unit[at > starts[unit]], at[at > starts[unit]]
+        found, of = np.concatenate(found)[::-1], np.concatenate(of)[::-1]
+        ids = self.ids[found[np.argsort(of, kind="stable")]].tolist()
+        edges = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(units)))]).tolist()
+        out = [ids[a:b] for a, b in itertools.pairwise(edges)]
+        for k in np.unique(of[self.ids[found] < 0]).tolist():  # characters that no piece spells out become bytes
+            out[k] = [x for i in out[k] for x in ([i] if i >= 0 else [self.byte_ids[b] for b in self.letters[-i].encode()])]
         return out
 
     @staticmethod
@@ -290,6 +301,20 @@ class Pieces:
         take = np.repeat(first[which] - (ends - size), size) + np.arange(int(ends[-1]))
         return flat[take], np.concatenate([[0], ends])[np.searchsorted(begins, rows)]
 
+    def spelt(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts' ids one after the other, and where each text's begin, without the space that the model puts before a text."""
+        first = self.edges[ids]
+        size = self.edges[ids + 1] - first
+        stop = np.cumsum(size)
+        body = self.body[np.repeat(first - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        at = np.concatenate([[0], stop])[ends]
+        if self.prefix:
+            heads = at[:-1][at[:-1] < at[1:]]
+            drop = np.zeros(len(body), bool)
+            drop[heads] = body[heads] == 32
+            body, at = body[~drop], at - np.concatenate([[0], np.cumsum(drop)])[at]
+        return body, at
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.bytes_of[i] if 0 <= i < len(self.bytes_of) else b"" for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -320,14 +345,16 @@ def encode(docs: DataFrame, model: str, digest: bool = False) -> DataFrame:
         pieces = _model(model)
         for batch in batches:
             body, offsets, _ = tb.column_bytes(batch.column(1))
-            for low, high in tb.blocks(offsets):
+            for low, high in tb.blocks(offsets, BLOCK):
                 part, at = pieces.normalised(body[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 ids, ends = pieces.block(part, at)
                 raw = ids.astype("<i4").tobytes()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in itertools.pairwise(ends.tolist())]
                 if digest:
-                    whole, spans = part.tobytes(), itertools.pairwise(at.tolist())
-                    same = [pieces.decode(ids[a:b].tolist()) == whole[c:d].decode("utf-8").replace(MARK, " ") for (a, b), (c, d) in zip(itertools.pairwise(ends.tolist()), spans, strict=True)]
+                    whole, (back, sides) = part.tobytes(), pieces.spelt(ids, ends)
+                    back = back.tobytes()
+                    spans = zip(itertools.pairwise(sides.tolist()), itertools.pairwise(at.tolist()), strict=True)
+                    same = [back[a:b] == whole[c:d].replace(MARK.encode(), b" ") for (a, b), (c, d) in spans]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
                     continue
                 texts = pa.Array.from_buffers(pa.large_string(), high - low, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))])

@@ -234,6 +234,17 @@ def test_sentencepieces_equal_the_library(spark):
     assert sentencepieces.encode(frame(spark, []), path).count() == 0
 
 
+def test_pieces_are_searched_for_once_in_many_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([words(rng, 9000) for _ in range(20)])], names=["doc_id", "text"])
+    searches = []
+    monkeypatch.setattr(sentencepieces.Pieces, "encode_units", lambda self, units, f=sentencepieces.Pieces.encode_units: searches.append(len(units)) or f(self, units))
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, kind: list(run(iter([batch]))))
+    got = sentencepieces.encode(frame(spark, []), path, digest=True)
+    assert batch.column(1).nbytes > 3 * tb.BLOCK and len(searches) == 1 and all(r for part in got for r in part.column("round_trip").to_pylist())
+
+
 def test_pieces_stand_side_by_side():
     model = sentencepieces.Pieces(queries.tokenizer_file("piece_bpe_32k.model"))
     rng = random.Random(13)
