@@ -117,3 +117,14 @@ def test_summary_equals_the_comparison(spark):
     for r in kept:
         w = want[r["column"]]
         assert np.isclose(r["psi"], w["psi"]) and np.isclose(r["outside"], w["outside"]) and r["status"] == w["status"]
+
+
+def test_fitting_reads_many_partitions(spark, tmp_path, monkeypatch):
+    # a small file with many rows is one task's if read as it lies, and sorted shuffles of few bytes are joined to one
+    spark.range(0, 4000, 1, 1).selectExpr("id", "id * 2.0 as a", "if(id % 3 = 0, 'x', 'y') as y").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(train, "ROWS", 500, raising=False)
+    fitted_on = []
+    monkeypatch.setattr(train, "_fit", lambda model, rows, *a, f=train._fit: fitted_on.append(rows.rdd.getNumPartitions()) or f(model, rows, *a))
+    train.train(df, "y", "id", ["baseline"], k=2, encoding=encode.fit_encoding(df, ["a"], []))
+    assert len(fitted_on) == 3 and min(fitted_on) == 8
