@@ -424,7 +424,8 @@ def train(df: DataFrame, target: str, row_id: str, models: list[str] | None = No
     stack of the three best models as ensemble and stacking.
     """
     size = df.count()
-    df = spread(df, row_id, size).persist()
+    df = spread(df, row_id, size)
+    dealt = [df.persist()] if size > ROWS else []  # a small table is the caller's own, cached or not
     task = infer_task(df, target)
     rows, classes = prepare_target(df, target, task)
     if log_target:
@@ -501,7 +502,7 @@ def train(df: DataFrame, target: str, row_id: str, models: list[str] | None = No
         cut = best_threshold(held, "label", "s") if "probability" in model.transform(table.limit(1)).columns else None
     numbers = [c for c in final.numeric if c not in final.formats]
     summary = drift.summarise(base, numbers, list(final.categories))
-    for t in (df, base, table, *tests):
+    for t in (*dealt, base, table, *tests):
         t.unpersist()
     return Trained(task, classes, final, model, best, board, metric, skipped, cut, log_target, summary)
 
